@@ -29,18 +29,26 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
 
 
 def global_order(df: DataFrame, order: list[Column], rank_col: str = "rank",
-                 cumulative: dict[str, Column] | None = None, num_partitions: int | None = None) -> DataFrame:
+                 cumulative: dict[str, Column] | None = None, partition_by: list[str] | None = None,
+                 num_partitions: int | None = None) -> DataFrame:
     """Add ``rank_col`` (1..n following ``order``) and inclusive running sums.
 
     ``order`` must end with a unique key so the order is total and deterministic.
     ``cumulative`` maps an output name to a numeric column to cumulate.
+    ``partition_by`` restarts rank and sums per group (groups are contiguous in
+    the range order; only a G-row table of group totals is windowed).
     """
     cumulative = cumulative or {}
+    groups = list(partition_by or [])
+    full_order = [F.col(g).asc_nulls_first() for g in groups] + list(order)
     p = _partitions(df, num_partitions)
     base = df.withColumns({f"_v_{k}": v for k, v in cumulative.items()}) if cumulative else df
-    ranged = base.repartitionByRange(p, *order).withColumn("_pid", F.spark_partition_id())
+    # Materialise the slice id once (reliable checkpoint folder): the range
+    # partitioner samples its input, and input order after a shuffle is not
+    # deterministic, so two evaluations could cut different slices.
+    ranged = base.repartitionByRange(p, *full_order).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
 
-    w = Window.partitionBy("_pid").orderBy(*order)
+    w = Window.partitionBy("_pid").orderBy(*full_order)
     wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumns({
         "_lrn": F.row_number().over(w),
@@ -60,7 +68,50 @@ def global_order(df: DataFrame, order: list[Column], rank_col: str = "rank",
         **{k: F.col(f"_o_{k}") + F.col(f"_c_{k}") for k in cumulative},
     })
     drop = ["_pid", "_lrn", "_off"] + [f"{pfx}_{k}" for k in cumulative for pfx in ("_v", "_c", "_o")]
-    return out.drop(*drop)
+    out = out.drop(*drop)
+    if not groups:
+        return out
+    # group start offsets: G-row table of group sizes / totals, windowed in group order
+    gt = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_gn"),
+                                   *[F.sum(f"_v_{k}").alias(f"_gt_{k}") for k in cumulative])
+    gw = Window.orderBy(*[F.col(g).asc_nulls_first() for g in groups]).rowsBetween(Window.unboundedPreceding, -1)
+    goff = gt.select(*groups, F.coalesce(F.sum("_gn").over(gw), F.lit(0)).alias("_goff"),
+                     *[F.coalesce(F.sum(f"_gt_{k}").over(gw), F.lit(0)).alias(f"_go_{k}") for k in cumulative])
+    out = out.join(goff, [out[g].eqNullSafe(goff[g]) for g in groups]).drop(*[goff[g] for g in groups])
+    out = out.withColumns({
+        rank_col: F.col(rank_col) - F.col("_goff"),
+        **{k: F.col(k) - F.col(f"_go_{k}") for k in cumulative},
+    })
+    return out.drop("_goff", *[f"_go_{k}" for k in cumulative], *[f"_v_{k}" for k in cumulative])
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: list[float], key: str,
+                    partition_by: list[str] | None = None) -> DataFrame:
+    """Exact linearly interpolated quantiles (numpy / pandas default, DuckDB ``quantile_cont``).
+
+    Distributed: the values are ranked once with ``global_order``; only the two
+    neighbouring order statistics of each requested probability are kept, so no
+    task ever holds a whole column. NULL values are ignored.
+    Returns one row per (group, prob): ``prob``, ``q``.
+    """
+    groups = list(partition_by or [])
+    vals = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_x"), key)
+    ranked = global_order(vals, [F.col("_x").asc(), F.col(key).asc()], "_r", partition_by=groups)
+    sizes = vals.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    probs_df = df.sparkSession.createDataFrame([(i, float(q)) for i, q in enumerate(probs)], "_i int, prob double")
+    # the probability list is a fixed, caller-given handful of rows
+    want = sizes.crossJoin(F.broadcast(probs_df)).withColumn("_pos", F.col("prob") * (F.col("_n") - 1))
+    want = want.withColumns({"_lo": F.floor("_pos").cast("long") + 1, "_hi": F.ceil("_pos").cast("long") + 1,
+                             "_frac": F.col("_pos") - F.floor("_pos")})
+    need = want.select(*groups, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_r")).distinct()
+    picked = ranked.join(need, [*groups, "_r"] if not groups else
+                         [ranked[g].eqNullSafe(need[g]) for g in groups] + [ranked["_r"] == need["_r"]], "left_semi")
+    picked = picked.select(*groups, "_r", "_x")
+    lo = picked.withColumnsRenamed({"_r": "_lo", "_x": "_xlo"})
+    hi = picked.withColumnsRenamed({"_r": "_hi", "_x": "_xhi"})
+    out = want.join(lo, [*groups, "_lo"]).join(hi, [*groups, "_hi"])
+    q = F.col("_xlo") + (F.col("_xhi") - F.col("_xlo")) * F.col("_frac")
+    return out.select(*groups, "_i", "prob", q.alias("q"))
 
 
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
@@ -69,7 +120,8 @@ def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     Each partition's rows keep their scan order; a P-row table of partition
     sizes gives every partition its offset.
     """
-    tagged = df.withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
+    tagged = df.withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}).checkpoint(
+        eager=True)
     local = tagged.withColumn("_lrn", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33) + 1)
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

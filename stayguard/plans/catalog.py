@@ -209,3 +209,8 @@ register("insights_segment", _insight_sql("market_segment", top=10))(_insight("m
 register("insights_deposit", _insight_sql("deposit_type"))(_insight("deposit_type"))
 register("insights_actions", _insight_sql("recommended_action", with_risk=False))(
     _insight("recommended_action", with_risk=False))
+
+
+def _load_all():
+    """Import the query modules so that they register themselves."""
+    from . import analysis_queries, evaluation_queries, ranking_queries  # noqa: F401
