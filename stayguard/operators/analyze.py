@@ -14,15 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import round_binary
 from .ordered import exact_quantiles
 
 
 def group_loss(pred: DataFrame, group: str, with_risk: bool = True, top: int | None = None,
                prob_col: str = "cancellation_probability") -> DataFrame:
     """Count (non-null ids), expected loss and mean risk per group, optional top-N by loss."""
-    aggs = [F.count("booking_id").alias("count"), F.round(F.sum("expected_loss"), 6).alias("expected_loss")]
+    aggs = [F.count("booking_id").alias("count"), round_binary(F.sum("expected_loss"), 6).alias("expected_loss")]
     if with_risk:
-        aggs.append(F.round(F.avg(prob_col), 6).alias("avg_risk"))
+        aggs.append(round_binary(F.avg(prob_col), 6).alias("avg_risk"))
     out = pred.groupBy(group).agg(*aggs)
     if top:
         out = out.orderBy(F.desc("expected_loss"), F.asc(group)).limit(top)

@@ -52,9 +52,9 @@ def persist_predictions(spark: SparkSession, root: str, raw: DataFrame, predicti
     write_audit(spark, root, "batch_created", "scoring_batch", batch_id, {"source": source})
     scored = predictions.select(*PREDICTION_COLUMNS).checkpoint(eager=True)
     raw_rows = raw.select(
-        F.col("booking_id").cast("string").alias("booking_id"),
-        F.substring(F.col("arrival_date").cast("string"), 1, 10).alias("arrival_date"),
-        F.to_json(F.struct(*[F.col(c) for c in raw.columns])).alias("raw_json"),
+        F.col("booking_id").cast("string").alias("booking_id") if "booking_id" in raw.columns
+        else F.lit(None).cast("string").alias("booking_id"),
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns])).alias("raw_json"),
     ).withColumn("batch_id", F.lit(batch_id))
     raw_rows.write.mode("append").partitionBy("batch_id").parquet(f"{root}/bookings")
     (scored.withColumn("booking_id", F.col("booking_id").cast("string"))

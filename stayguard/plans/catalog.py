@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import inputs
+from ..functions.columns import round_binary
 from .oracle_base import BASE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,7 +31,7 @@ def register(name: str, sql: str | None = None, base: bool = True):
 
 def r6(c: str | Column, name: str | None = None) -> Column:
     col = F.col(c) if isinstance(c, str) else c
-    out = F.round(col.cast("double"), 6)
+    out = round_binary(col.cast("double"), 6)
     return out.alias(name or (c if isinstance(c, str) else "value"))
 
 

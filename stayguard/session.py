@@ -16,6 +16,10 @@ ENGINE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture for error messages walks the Python stack and makes a JVM
+    # round trip on every DataFrame API call; plans here are built from hundreds
+    # of expressions, so it is switched off (errors still carry the JVM context).
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

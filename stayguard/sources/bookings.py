@@ -17,13 +17,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import round_binary
+
 # Split cutoffs on the booking creation date (parameters of the engine).
 TRAIN_CUTOFF = "1999-06-30"
 VALID_CUTOFF = "2000-06-30"
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Parquet table of the given folder; the resolved relation is reused within a session
+    (file listing and footer reads happen once per table, not once per query)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark._jsparkSession), path)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 def _int(c: Column) -> Column:
@@ -100,7 +111,7 @@ def booking_view(spark: SparkSession, sf_dir: str, train_cutoff: str = TRAIN_CUT
         F.when(F.col("o_orderstatus") == "P", "Transient-Party").otherwise("Transient").alias("customer_type"),
         F.when(ck % 7 == 0, F.lit(None).cast("string")).otherwise((ck % 97).cast("string")).alias("agent"),
         F.when(ck % 17 == 0, (ck % 31).cast("string")).otherwise(F.lit(None).cast("string")).alias("company_raw"),
-        F.round(F.col("o_totalprice") / 1000.0, 2).alias("adr"),
+        round_binary(F.col("o_totalprice") / 1000.0, 2).alias("adr"),
         _int(F.when(ok % 9 == 0, 1).otherwise(0)).alias("required_car_parking_spaces"),
         _int(F.coalesce(F.col("n_lines"), F.lit(0)) % 4).alias("total_of_special_requests"),
     )
