@@ -113,3 +113,42 @@ def error_type(y: Column, pred: Column) -> Column:
     """B9"""
     return (F.when((y == 1) & (pred == 1), "TP").when((y == 0) & (pred == 0), "TN")
             .when((y == 0) & (pred == 1), "FP").otherwise("FN"))
+
+
+# --- older notebook rule set (B7, M2) ------------------------------------------
+
+def notebook_rule_score() -> Column:
+    """M2 (before normalisation): weighted sum of six indicators."""
+    from .constants import (
+        NB_RULE_LEAD_90, NB_RULE_NO_DEPOSIT, NB_RULE_NO_PARKING, NB_RULE_NO_REQUESTS, NB_RULE_PREV_CANCEL,
+        NB_RULE_SEGMENT, NB_RULE_SEGMENTS,
+    )
+    s = F.lit(0.0)
+    s = s + _term(_n("lead_time") > 90, NB_RULE_LEAD_90)
+    s = s + _term(F.col("deposit_type") == "No Deposit", NB_RULE_NO_DEPOSIT)
+    s = s + _term(_n("previous_cancellations") > 0, NB_RULE_PREV_CANCEL)
+    s = s + _term(_n("total_of_special_requests") == 0, NB_RULE_NO_REQUESTS)
+    s = s + _term(_n("required_car_parking_spaces") == 0, NB_RULE_NO_PARKING)
+    s = s + _term(F.col("market_segment").isin(*NB_RULE_SEGMENTS), NB_RULE_SEGMENT)
+    return s
+
+
+def notebook_action(category: Column, deposit_type: Column) -> Column:
+    """Action by deposit type first, then by category."""
+    from .constants import (
+        NB_ACTION_MEDIUM, NB_ACTION_NO_DEPOSIT, NB_ACTION_NON_REFUND, NB_ACTION_NONE, NB_ACTION_REFUNDABLE,
+    )
+    return (F.when(deposit_type == "Non Refund", NB_ACTION_NON_REFUND)
+            .when(is_high(category) & (deposit_type == "No Deposit"), NB_ACTION_NO_DEPOSIT)
+            .when(is_high(category) & (deposit_type == "Refundable"), NB_ACTION_REFUNDABLE)
+            .when(category == "Medium", NB_ACTION_MEDIUM)
+            .otherwise(NB_ACTION_NONE))
+
+
+def notebook_why_risky() -> Column:
+    """The first matching reason."""
+    from .constants import NB_WHY_DEFAULT, NB_WHY_LONG_LEAD, NB_WHY_NO_REQUESTS, NB_WHY_PREV_CANCEL
+    return (F.when((_n("total_of_special_requests") == 0) & (_n("required_car_parking_spaces") == 0), NB_WHY_NO_REQUESTS)
+            .when(_n("lead_time") > 90, NB_WHY_LONG_LEAD)
+            .when(_n("previous_cancellations") > 0, NB_WHY_PREV_CANCEL)
+            .otherwise(NB_WHY_DEFAULT))

@@ -37,6 +37,7 @@ class EncoderModel:
     prior: DataFrame   # one row: prior
     columns: list[str]
     smoothing: float
+    small: bool | None = None  # set once: are all lookup tables under the broadcast bound?
 
 
 def fit_target_encoder(train: DataFrame, target: str = "is_canceled", columns: list[str] | None = None,
@@ -62,10 +63,12 @@ def transform_target_encoder(df: DataFrame, model: EncoderModel, max_broadcast_r
     """Left-join lookups; unseen -> prior (target mean) / 0 (frequency)."""
     out = df.crossJoin(F.broadcast(model.prior))
     stats = model.stats
+    if model.small is None:  # one bounded count per fitted model, not per lookup
+        model.small = stats.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
     for col in model.columns:
         lookup = stats.where(F.col("column") == col).select(
             F.col("key").alias(f"_k_{col}"), F.col("n").alias(f"_n_{col}"), F.col("smooth_mean").alias(f"_s_{col}"))
-        lookup = sized_broadcast(lookup, max_broadcast_rows)
+        lookup = F.broadcast(lookup) if model.small else lookup
         key = unknown_if_missing(F.col(col)) if col in df.columns else F.lit("Unknown")
         out = out.withColumn(f"_key_{col}", key).join(lookup, F.col(f"_key_{col}") == F.col(f"_k_{col}"), "left")
         p = _prefix(col)

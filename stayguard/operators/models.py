@@ -46,6 +46,7 @@ class CategoryTables:
     """Train-only category state: the text mode of each column (one row) and the kept categories."""
     modes: DataFrame   # one row: _mode_<column>
     kept: DataFrame    # column, value  (categories seen >= min_frequency times in train)
+    small: bool | None = None
 
 
 def fit_category_tables(train: DataFrame, columns: list[str], min_frequency: int = 10) -> CategoryTables:
@@ -63,9 +64,11 @@ def apply_category_tables(df: DataFrame, tables: CategoryTables, columns: list[s
     j = df.crossJoin(F.broadcast(tables.modes))
     out = j.withColumns({c: F.coalesce(F.col(c), F.col(f"_mode_{c}")) for c in columns}).drop(
         *[f"_mode_{c}" for c in columns])
+    if tables.small is None:  # size checked once per fitted model
+        tables.small = tables.kept.limit(ENC.MAX_BROADCAST_ROWS + 1).count() <= ENC.MAX_BROADCAST_ROWS
     for c in columns:
         kept = tables.kept.where(F.col("column") == c).select(F.col("value").alias(f"_kept_{c}"))
-        kept = ENC.sized_broadcast(kept)
+        kept = F.broadcast(kept) if tables.small else kept
         out = out.join(kept, F.col(c) == F.col(f"_kept_{c}"), "left").withColumn(
             c, F.when(F.col(f"_kept_{c}").isNotNull(), F.col(c)).otherwise(F.lit("infrequent"))).drop(f"_kept_{c}")
     return out
@@ -166,8 +169,13 @@ def apply_calibration(df: DataFrame, calibrator, score: str = "raw_score", out:
 
 
 def evaluate_scores(df: DataFrame, score: str, label: str = LABEL) -> dict:
-    """M19 reduced to the metrics used for selection (one small job per metric table)."""
-    row = EV.evaluation_row(df, label, score, KEY, rounding="floor").first().asDict()
+    """M19 reduced to the metrics used for selection.
+
+    The (id, label, score) triple is written once to the checkpoint folder, so the
+    model is applied once and every metric reads the narrow table.
+    """
+    narrow = df.select(KEY, label, score).checkpoint(eager=True)
+    row = EV.evaluation_row(narrow, label, score, KEY, rounding="floor").first().asDict()
     return {k: (float(v) if v is not None else None) for k, v in row.items()}
 
 
@@ -263,6 +271,37 @@ def load_model(spark, path: str, require_trained: bool = False) -> TrainedModel
                         calibrator=cal, name=meta.get("name", ""), metrics=meta.get("metrics", {}))
 
 
+def text_model(texts: DataFrame, reg_params=(1e-4, 1e-3, 1e-2), text_col: str = "booking_text",
+               min_df: float = 5.0, vocab_size: int = 12000) -> tuple[object, list[dict]]:
+    """Word 1- and 2-gram TF-IDF (min document frequency 5, 12k terms) + logistic loss,
+    regularisation chosen on the validation split by ROC-AUC. ``texts`` needs split / label / id."""
+    from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer
+    train = texts.where(F.col("split") == "train").checkpoint(eager=True)
+    valid = texts.where(F.col("split") == "valid")
+    tok = RegexTokenizer(inputCol=text_col, outputCol="_uni", pattern="\\w\\w+", gaps=False, toLowercase=True)
+    big = NGram(n=2, inputCol="_uni", outputCol="_bi")
+    feats = Pipeline(stages=[tok, big]).fit(train)
+
+    def terms(df):
+        return feats.transform(df).withColumn("_terms", F.concat("_uni", "_bi"))
+
+    cv = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=min_df, vocabSize=vocab_size)
+    idf = IDF(inputCol="_tf", outputCol="features")
+    vec = Pipeline(stages=[cv, idf]).fit(terms(train))
+    tr = class_weight_column(vec.transform(terms(train)))
+    va = vec.transform(terms(valid))
+    best, report = None, []
+    for rp in reg_params:
+        lr = LogisticRegression(featuresCol="features", labelCol=LABEL, weightCol="weight", regParam=rp, maxIter=100)
+        m = lr.fit(tr)
+        scored = m.transform(va).withColumn("raw_score", vector_to_array("probability").getItem(1))
+        auc = EV.roc_auc(scored.select(KEY, LABEL, "raw_score"), LABEL, "raw_score").first()["roc_auc"]
+        report.append({"regParam": rp, "valid_roc_auc": auc})
+        if best is None or auc > best[0]:
+            best = (auc, (feats, vec, m))
+    return best[1], report
+
+
 def score_bookings(spark, prepared: DataFrame, model_path: str | None = None, require_trained: bool = False) -> DataFrame:
     """M21 entry: trained model when present, else the deterministic rule score (M1)."""
     from .business import enrich_predictions, score_with_rules

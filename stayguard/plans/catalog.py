@@ -214,4 +214,4 @@ register("insights_actions", _insight_sql("recommended_action", with_risk=False)
 
 def _load_all():
     """Import the query modules so that they register themselves."""
-    from . import analysis_queries, evaluation_queries, ranking_queries  # noqa: F401
+    from . import analysis_queries, evaluation_queries, model_queries, ranking_queries  # noqa: F401

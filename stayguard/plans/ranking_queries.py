@@ -206,18 +206,8 @@ FROM t
 """)
 def q_booking_text(spark, sf):
     """Row to labelled text (input of the text + table model)"""
-    raw = inputs.raw(spark, sf).withColumn("nights", F.col("stays_in_weekend_nights") + F.col("stays_in_week_nights"))
-    b = R.equal_count_bins(raw, "adr", 5, out="adr_q")
-    s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("nan"))
-    lead = F.coalesce(right_closed_bin(F.col("lead_time"), NB_LEAD_EDGES, NB_LEAD_LABELS), F.lit("nan"))
-    nights = F.coalesce(right_closed_bin(F.col("nights"), NB_NIGHTS_EDGES, NB_NIGHTS_LABELS), F.lit("nan"))
-    adr_bin = F.element_at(F.array(*[F.lit(x) for x in NB_ADR_LABELS]), F.col("adr_q"))
-    text = F.concat_ws(" ", F.lit("hotel"), s("hotel"), F.lit("market"), s("market_segment"), F.lit("channel"),
-                       s("distribution_channel"), F.lit("deposit"), s("deposit_type"), F.lit("customer"),
-                       s("customer_type"), F.lit("room"), s("reserved_room_type"), F.lit("lead"), lead,
-                       F.lit("nights"), nights, F.lit("adr"), adr_bin, F.lit("special_requests"),
-                       s("total_of_special_requests"), F.lit("repeated_guest"), s("is_repeated_guest"))
-    return b.select("booking_id", text.alias("booking_text"))
+    from ..operators.text import booking_text
+    return booking_text(inputs.raw(spark, sf)).select("booking_id", "booking_text")
 
 
 @register("prediction_records", """

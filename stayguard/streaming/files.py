@@ -77,9 +77,11 @@ def score_files_batch(spark: SparkSession, paths: list[str], root: str, batch_id
 
 def start_file_scoring(spark: SparkSession, input_dir: str, root: str, checkpoint: str,
                        available_now: bool = True, max_files_per_trigger: int | None = None,
-                       glob: str = "*.csv"):
+                       glob: str = "*.csv", recursive: bool = False):
     """Start the stream; returns the StreamingQuery."""
     reader = spark.readStream.format("binaryFile").schema(PATH_SCHEMA).option("pathGlobFilter", glob)
+    if recursive:
+        reader = reader.option("recursiveFileLookup", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     paths = reader.load(input_dir).select("path")
