@@ -86,7 +86,8 @@ def describe(df: DataFrame, columns: list[str], key: str, percentiles=(0.01, 0.0
     from the distributed exact quantile operator, never from a whole-column buffer.
     """
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
-    long = df.selectExpr(key, f"stack({len(columns)}, {pairs}) as (column, value)")
+    # narrow long table read by the moments and by the quantiles: materialise once
+    long = df.selectExpr(key, f"stack({len(columns)}, {pairs}) as (column, value)").checkpoint(eager=True)
     stats = long.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))

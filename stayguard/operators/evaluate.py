@@ -80,14 +80,12 @@ def topk(df: DataFrame, label: str, score: str, key: str, frac: float = 0.2, rou
     """
     g = list(groups or [])
     ranked = global_order(df.select(*g, key, label, score), [F.col(score).desc(), F.col(key).asc()], "_rk",
-                          partition_by=g)
-    sizes = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.sum(_y(label)).alias("_pos"))
+                          partition_by=g, size_col="_n")
     kf = F.floor(F.col("_n") * F.lit(frac)) if rounding == "floor" else F.ceil(F.col("_n") * F.lit(frac))
-    sizes = sizes.withColumn("_k", F.greatest(F.lit(1), kf.cast("long")))
-    j = ranked.join(F.broadcast(sizes), g) if g else ranked.crossJoin(F.broadcast(sizes))
-    agg = j.where(F.col("_rk") <= F.col("_k")).groupBy(*g).agg(
-        F.sum(_y(label)).alias("_hit"), F.first("_k").alias("_k"), F.first("_pos").alias("_pos"),
-        F.first("_n").alias("_n"))
+    k = F.greatest(F.lit(1), kf.cast("long"))
+    agg = ranked.groupBy(*g).agg(
+        F.sum(F.when(F.col("_rk") <= k, _y(label)).otherwise(F.lit(0))).alias("_hit"), F.max(k).alias("_k"),
+        F.sum(_y(label)).alias("_pos"), F.max("_n").alias("_n"))
     pct = int(round(frac * 100))
     precision = F.col("_hit") / F.col("_k")
     return agg.select(
@@ -135,6 +133,7 @@ def f2_threshold(df: DataFrame, label: str, score: str, key: str) -> DataFrame:
     number of grid thresholds it reaches (``score >= t``): one pass, then a
     suffix sum over at most 62 buckets.
     """
+    df = df.select(key, score, label).checkpoint(eager=True)  # read by the grid and by the bucket pass
     grid = threshold_grid(df, score, key)
     arr = grid.agg(F.array_sort(F.collect_list(F.struct("grid_index", "t"))).alias("_g"))  # 61 entries
     y = _y(label)
@@ -177,14 +176,22 @@ def selection_score(roc: Column, ap: Column, lift20: Column) -> Column:
     return 0.50 * roc + 0.30 * ap + 0.20 * lift20 / 3.0
 
 
-def segment_quality(df: DataFrame, segment_col: str, label: str, score: str, key: str, loss: str,
+def segment_quality(df: DataFrame, segment_cols: list[str] | str, label: str, score: str, key: str, loss: str,
                     min_rows: int = 50) -> DataFrame:
-    """Per-segment quality; segments under ``min_rows`` rows are dropped. No driver loop."""
-    g = [segment_col]
-    base = df.groupBy(*g).agg(F.count(F.lit(1)).alias("rows"), F.avg(_y(label)).alias("cancel_rate"),
-                              F.sum(loss).alias("expected_loss_sum"))
-    out = (base.join(roc_auc(df, label, score, g), g).join(average_precision(df, label, score, g), g)
-           .join(topk(df, label, score, key, 0.20, "ceil", g), g))
+    """Per-segment quality for one or many segment columns; segments under ``min_rows``
+    rows are dropped. No driver loop: the segment columns are unpivoted to
+    (segment, value) and every metric runs once, grouped by that pair."""
+    cols = [segment_cols] if isinstance(segment_cols, str) else list(segment_cols)
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
+    long = df.selectExpr(f"`{key}`", f"`{label}`", f"`{score}`", f"`{loss}`",
+                         f"stack({len(cols)}, {pairs}) as (segment, value)")
+    # the narrow long table feeds four metric plans: materialise it once (reliable checkpoint)
+    long = long.checkpoint(eager=True)
+    g = ["segment", "value"]
+    base = long.groupBy(*g).agg(F.count(F.lit(1)).alias("rows"), F.avg(_y(label)).alias("cancel_rate"),
+                                F.sum(loss).alias("expected_loss_sum"))
+    out = (base.join(roc_auc(long, label, score, g), g).join(average_precision(long, label, score, g), g)
+           .join(topk(long, label, score, key, 0.20, "ceil", g), g))
     return out.where(F.col("rows") >= min_rows).select(
-        F.lit(segment_col).alias("segment"), F.col(segment_col).cast("string").alias("value"), "rows",
-        "cancel_rate", "roc_auc", "pr_auc", "precision_at_20", "recall_at_20", "lift_at_20", "expected_loss_sum")
+        "segment", "value", "rows", "cancel_rate", "roc_auc", "pr_auc", "precision_at_20", "recall_at_20",
+        "lift_at_20", "expected_loss_sum")

@@ -30,13 +30,15 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
 
 def global_order(df: DataFrame, order: list[Column], rank_col: str = "rank",
                  cumulative: dict[str, Column] | None = None, partition_by: list[str] | None = None,
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, size_col: str | None = None) -> DataFrame:
     """Add ``rank_col`` (1..n following ``order``) and inclusive running sums.
 
     ``order`` must end with a unique key so the order is total and deterministic.
     ``cumulative`` maps an output name to a numeric column to cumulate.
     ``partition_by`` restarts rank and sums per group (groups are contiguous in
     the range order; only a G-row table of group totals is windowed).
+    ``size_col`` adds the number of rows of the table (or of the row's group),
+    taken from the materialised slices, so the input is not read again.
     """
     cumulative = cumulative or {}
     groups = list(partition_by or [])
@@ -70,19 +72,24 @@ def global_order(df: DataFrame, order: list[Column], rank_col: str = "rank",
     drop = ["_pid", "_lrn", "_off"] + [f"{pfx}_{k}" for k in cumulative for pfx in ("_v", "_c", "_o")]
     out = out.drop(*drop)
     if not groups:
+        if size_col:
+            total = totals.agg(F.sum("_n").cast("long").alias(size_col))
+            out = out.crossJoin(F.broadcast(total))
         return out
     # group start offsets: G-row table of group sizes / totals, windowed in group order
-    gt = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_gn"),
+    gt = ranged.groupBy(*groups).agg(F.count(F.lit(1)).alias("_gn"),
                                    *[F.sum(f"_v_{k}").alias(f"_gt_{k}") for k in cumulative])
     gw = Window.orderBy(*[F.col(g).asc_nulls_first() for g in groups]).rowsBetween(Window.unboundedPreceding, -1)
-    goff = gt.select(*groups, F.coalesce(F.sum("_gn").over(gw), F.lit(0)).alias("_goff"),
+    goff = gt.select(*groups, "_gn", F.coalesce(F.sum("_gn").over(gw), F.lit(0)).alias("_goff"),
                      *[F.coalesce(F.sum(f"_gt_{k}").over(gw), F.lit(0)).alias(f"_go_{k}") for k in cumulative])
     out = out.join(goff, [out[g].eqNullSafe(goff[g]) for g in groups]).drop(*[goff[g] for g in groups])
     out = out.withColumns({
         rank_col: F.col(rank_col) - F.col("_goff"),
         **{k: F.col(k) - F.col(f"_go_{k}") for k in cumulative},
     })
-    return out.drop("_goff", *[f"_go_{k}" for k in cumulative], *[f"_v_{k}" for k in cumulative])
+    if size_col:
+        out = out.withColumn(size_col, F.col("_gn").cast("long"))
+    return out.drop("_goff", "_gn", *[f"_go_{k}" for k in cumulative], *[f"_v_{k}" for k in cumulative])
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], key: str,
@@ -96,8 +103,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], key: str,
     """
     groups = list(partition_by or [])
     vals = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_x"), key)
-    ranked = global_order(vals, [F.col("_x").asc(), F.col(key).asc()], "_r", partition_by=groups)
-    sizes = vals.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = global_order(vals, [F.col("_x").asc(), F.col(key).asc()], "_r", partition_by=groups, size_col="_n")
+    sizes = ranked.groupBy(*groups).agg(F.max("_n").alias("_n"))
     probs_df = df.sparkSession.createDataFrame([(i, float(q)) for i, q in enumerate(probs)], "_i int, prob double")
     # the probability list is a fixed, caller-given handful of rows
     want = sizes.crossJoin(F.broadcast(probs_df)).withColumn("_pos", F.col("prob") * (F.col("_n") - 1))

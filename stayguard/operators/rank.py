@@ -30,9 +30,7 @@ def top_n(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
 
 def top_fraction_rank(df: DataFrame, score: str = "business_priority_score") -> DataFrame:
     """Rank by priority (1 = highest) with the table size attached."""
-    ranked = global_order(df, [F.desc_nulls_last(score), F.asc(KEY)], "priority_rank")
-    n = df.agg(F.count(F.lit(1)).alias("_rows"))
-    return ranked.crossJoin(F.broadcast(n))
+    return global_order(df, [F.desc_nulls_last(score), F.asc(KEY)], "priority_rank", size_col="_rows")
 
 
 def economics(df: DataFrame, shares=(0.1, 0.2, 0.3), success_rate: float = 0.25,
@@ -90,11 +88,10 @@ def prefix_optimum(df: DataFrame, success_rate: float = 0.25, cost_per_action: f
 
 def equal_count_bins(df: DataFrame, value: str, q: int = 5, out: str = "bin") -> DataFrame:
     """``qcut(rank(method='first'), q)`` = greatest(1, ceil((rn-1)*q/(n-1)))."""
-    ranked = global_order(df, [F.asc_nulls_last(value), F.asc(KEY)], "_rn")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    ranked = global_order(df, [F.asc_nulls_last(value), F.asc(KEY)], "_rn", size_col="_n")
     b = F.when(F.col("_n") <= 1, F.lit(1)).otherwise(
         F.greatest(F.lit(1), F.ceil((F.col("_rn") - 1) * F.lit(q) / (F.col("_n") - 1)).cast("int")))
-    return ranked.crossJoin(F.broadcast(n)).withColumn(out, b).drop("_rn", "_n")
+    return ranked.withColumn(out, b).drop("_rn", "_n")
 
 
 def quantile_edge_bins(df: DataFrame, value: Column, q: int = 5, out: str = "bin") -> DataFrame:
@@ -115,8 +112,7 @@ def quantile_edge_bins(df: DataFrame, value: Column, q: int = 5, out: str = "bin
 def chronological_split(df: DataFrame, date_col: str = "arrival_date", train: float = 0.70,
                         valid: float = 0.85) -> DataFrame:
     """70/15/15 by position in (date, id) order."""
-    ranked = global_order(df, [F.asc_nulls_last(date_col), F.asc(KEY)], "_pos")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    ranked = global_order(df, [F.asc_nulls_last(date_col), F.asc(KEY)], "_pos", size_col="_n")
     c1, c2 = F.floor(F.col("_n") * F.lit(train)), F.floor(F.col("_n") * F.lit(valid))
     label = F.when(F.col("_pos") <= c1, "train").when(F.col("_pos") <= c2, "valid").otherwise("test")
-    return ranked.crossJoin(F.broadcast(n)).withColumn("chrono_split", label).drop("_pos", "_n")
+    return ranked.withColumn("chrono_split", label).drop("_pos", "_n")

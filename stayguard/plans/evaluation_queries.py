@@ -195,10 +195,7 @@ WHERE b.rows >= 50""")
 def q_segment_quality(spark, sf):
     """Per-segment quality for four segment columns, groups under 50 rows dropped"""
     s = inputs.scored(spark, sf)
-    out = None
-    for seg in SEGMENTS:
-        q = EV.segment_quality(s, seg, "is_canceled", "risk_score", "booking_id", "expected_loss")
-        out = q if out is None else out.unionByName(q)
+    out = EV.segment_quality(s, SEGMENTS, "is_canceled", "risk_score", "booking_id", "expected_loss")
     return out.select("segment", "value", "rows", r6("cancel_rate"), r6("roc_auc"), r6("pr_auc"),
                       r6("precision_at_20"), r6("recall_at_20"), r6("lift_at_20"), r6("expected_loss_sum"))
 

@@ -20,6 +20,10 @@ ENGINE_CONF = {
     # round trip on every DataFrame API call; plans here are built from hundreds
     # of expressions, so it is switched off (errors still carry the JVM context).
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Feature preparation is one wide projection; when a whole-stage method grows
+    # past the JIT's 8000-byte limit it would run interpreted (4-5x slower), so
+    # Spark falls back to per-expression codegen for such a stage instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
