@@ -196,7 +196,8 @@ def train_model(prepared: DataFrame, candidates=None, calibration: str = "platt"
     train = train.checkpoint(eager=True)
     encoder = ENC.fit_target_encoder(train, LABEL)
     categories = fit_category_tables(train, CATEGORICAL_FEATURES)
-    enc_train = class_weight_column(_encode(train, encoder, categories))
+    # every candidate fit (and each of its iterations) reads the encoded train set: materialise it once
+    enc_train = class_weight_column(_encode(train, encoder, categories)).checkpoint(eager=True)
     numeric = [c for c in NUMERIC_FEATURES]
     best = None
     report = []

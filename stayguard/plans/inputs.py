@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.business import enrich_predictions, score_with_rules
 from ..operators.features import prepare_features
+from ..session import ensure_checkpoint_dir
 from ..sources.bookings import booking_view
 
 CARRY = ("is_canceled", "split", "booking_creation_date")
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # several operators cut lineage with checkpoint(): make sure the session names a
+    # checkpoint folder (the cluster's setting is kept; a scratch one only when unset)
+    ensure_checkpoint_dir(spark)
     return booking_view(spark, sf_dir)
 
 

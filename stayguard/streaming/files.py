@@ -76,7 +76,7 @@ def score_files_batch(spark: SparkSession, paths: list[str], root: str, batch_id
 
 
 def start_file_scoring(spark: SparkSession, input_dir: str, root: str, checkpoint: str,
-                       available_now: bool = True, max_files_per_trigger: int | None = None,
+                       available_now: bool = True, max_files_per_trigger: int | None = 1000,
                        glob: str = "*.csv", recursive: bool = False):
     """Start the stream; returns the StreamingQuery."""
     reader = spark.readStream.format("binaryFile").schema(PATH_SCHEMA).option("pathGlobFilter", glob)
