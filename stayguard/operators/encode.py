@@ -65,6 +65,23 @@ def transform_target_encoder(df: DataFrame, model: EncoderModel, max_broadcast_r
     stats = model.stats
     if model.small is None:  # one bounded count per fitted model, not per lookup
         model.small = stats.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
+    if model.small:
+        # proven small: the statistics travel as one broadcast row of two maps keyed by
+        # (column, key); each lookup is a map access instead of a join
+        sep = "\u0001"
+        k = F.concat_ws(sep, "column", "key")
+        maps = stats.agg(F.map_from_entries(F.collect_list(F.struct(k, F.col("n")))).alias("_nmap"),
+                         F.map_from_entries(F.collect_list(F.struct(k, F.col("smooth_mean")))).alias("_smap"))
+        out = out.crossJoin(F.broadcast(maps))
+        adds = {}
+        for col in model.columns:
+            key = unknown_if_missing(F.col(col)) if col in df.columns else F.lit("Unknown")
+            mk = F.concat_ws(sep, F.lit(col), key)
+            p = _prefix(col)
+            adds[f"{p}_target_mean_smooth"] = F.coalesce(F.try_element_at("_smap", mk), F.col("prior"))
+            if col in ("agent", "company_raw"):
+                adds[f"{p}_freq_log"] = F.log1p(F.coalesce(F.try_element_at("_nmap", mk).cast("double"), F.lit(0.0)))
+        return out.withColumns(adds).drop("prior", "_nmap", "_smap")
     for col in model.columns:
         lookup = stats.where(F.col("column") == col).select(
             F.col("key").alias(f"_k_{col}"), F.col("n").alias(f"_n_{col}"), F.col("smooth_mean").alias(f"_s_{col}"))

@@ -66,6 +66,14 @@ def apply_category_tables(df: DataFrame, tables: CategoryTables, columns: list[s
         *[f"_mode_{c}" for c in columns])
     if tables.small is None:  # size checked once per fitted model
         tables.small = tables.kept.limit(ENC.MAX_BROADCAST_ROWS + 1).count() <= ENC.MAX_BROADCAST_ROWS
+    if tables.small:
+        # proven small: one broadcast row holding the kept set as a map, one lookup per column
+        kmap = tables.kept.agg(F.map_from_entries(F.collect_list(F.struct(
+            F.concat_ws("\u0001", "column", "value"), F.lit(True)))).alias("_kept_map"))
+        out = out.crossJoin(F.broadcast(kmap))
+        out = out.withColumns({c: F.when(F.try_element_at("_kept_map", F.concat_ws("\u0001", F.lit(c), F.col(c))),
+                                          F.col(c)).otherwise(F.lit("infrequent")) for c in columns})
+        return out.drop("_kept_map")
     for c in columns:
         kept = tables.kept.where(F.col("column") == c).select(F.col("value").alias(f"_kept_{c}"))
         kept = F.broadcast(kept) if tables.small else kept
