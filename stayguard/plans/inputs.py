@@ -1,4 +1,10 @@
-"""Shared inputs of the query catalogue: raw, prepared and scored bookings."""
+"""Shared inputs of the query catalogue: raw, prepared and scored bookings.
+
+The three views are logical plans (nothing is executed or cached here). They are
+built once per session and table folder and then reused by every query: a
+DataFrame is an immutable plan, so reuse only saves the Python-side plan
+construction, and each query still reads the tables in full.
+"""
 
 from __future__ import annotations
 
@@ -11,17 +17,26 @@ from ..sources.bookings import booking_view
 
 CARRY = ("is_canceled", "split", "booking_creation_date")
 
+_PLANS: dict[tuple[int, str, str], DataFrame] = {}
+
+
+def _memo(spark: SparkSession, sf_dir: str, kind: str, build) -> DataFrame:
+    key = (id(spark._jsparkSession), sf_dir.rstrip("/"), kind)
+    if key not in _PLANS:
+        _PLANS[key] = build()
+    return _PLANS[key]
+
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     # several operators cut lineage with checkpoint(): make sure the session names a
     # checkpoint folder (the cluster's setting is kept; a scratch one only when unset)
     ensure_checkpoint_dir(spark)
-    return booking_view(spark, sf_dir)
+    return _memo(spark, sf_dir, "raw", lambda: booking_view(spark, sf_dir))
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare_features(raw(spark, sf_dir), keep=CARRY)
+    return _memo(spark, sf_dir, "prepared", lambda: prepare_features(raw(spark, sf_dir), keep=CARRY))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich_predictions(score_with_rules(prepared(spark, sf_dir)))
+    return _memo(spark, sf_dir, "scored", lambda: enrich_predictions(score_with_rules(prepared(spark, sf_dir))))
