@@ -41,25 +41,33 @@ def economics(df: DataFrame, shares=(0.1, 0.2, 0.3), success_rate: float = 0.25,
     cost = n_sel*cost, net. Empty input gives zeros.
     """
     ranked = top_fraction_rank(df.select(KEY, "business_priority_score", "expected_loss", "deposit_type"))
-    scen = df.sparkSession.createDataFrame([(float(s),) for s in shares], "top_share double")
-    k = F.floor(F.col("_rows") * F.col("top_share")) if rounding == "floor" else F.ceil(F.col("_rows") * F.col("top_share"))
-    # the scenario table is a handful of caller-given rows: broadcast
-    sizes = ranked.select("_rows").limit(1).crossJoin(F.broadcast(scen)).withColumn("_k", F.greatest(F.lit(1), k.cast("long")))
-    joined = ranked.join(F.broadcast(sizes.drop("_rows")), F.col("priority_rank") <= F.col("_k"))
-    agg = joined.groupBy("top_share", "_k").agg(
-        F.sum("expected_loss").alias("expected_loss"),
-        F.avg((F.col("deposit_type") == "No Deposit").cast("double")).alias("share_no_deposit"),
-        F.avg((F.col("deposit_type") == "Non Refund").cast("double")).alias("share_non_refund"))
-    out = scen.join(agg, "top_share", "left")
-    return out.select(
-        "top_share", F.coalesce(F.col("_k"), F.lit(0)).cast("double").alias("selected_bookings"),
-        F.coalesce("expected_loss", F.lit(0.0)).alias("expected_loss"),
-        (F.coalesce("expected_loss", F.lit(0.0)) * F.lit(success_rate)).alias("gross_protected_revenue"),
-        (F.coalesce(F.col("_k"), F.lit(0)) * F.lit(cost_per_action)).alias("intervention_cost"),
-        (F.coalesce("expected_loss", F.lit(0.0)) * F.lit(success_rate)
-         - F.coalesce(F.col("_k"), F.lit(0)) * F.lit(cost_per_action)).alias("net_effect"),
-        "share_no_deposit", "share_non_refund",
-    )
+
+    def k_of(share: float) -> Column:
+        x = F.col("_rows") * F.lit(float(share))
+        return F.greatest(F.lit(1), (F.floor(x) if rounding == "floor" else F.ceil(x)).cast("long"))
+
+    # one pass with a conditional aggregate per scenario (no row multiplication)
+    no_dep = (F.col("deposit_type") == "No Deposit").cast("double")
+    non_ref = (F.col("deposit_type") == "Non Refund").cast("double")
+    aggs = []
+    for i, s in enumerate(shares):
+        sel = F.col("priority_rank") <= k_of(s)
+        aggs += [F.sum(F.when(sel, F.col("expected_loss"))).alias(f"_l{i}"), F.count_if(sel).alias(f"_c{i}"),
+                 F.sum(F.when(sel, no_dep)).alias(f"_nd{i}"), F.sum(F.when(sel, non_ref)).alias(f"_nr{i}"),
+                 F.max(k_of(s)).alias(f"_k{i}")]
+    wide = ranked.agg(*aggs)
+    rows = []
+    for i, s in enumerate(shares):
+        k = F.when(F.col(f"_c{i}") > 0, F.col(f"_k{i}")).otherwise(F.lit(0))
+        loss = F.coalesce(F.col(f"_l{i}"), F.lit(0.0))
+        rows.append(F.struct(
+            F.lit(float(s)).alias("top_share"), k.cast("double").alias("selected_bookings"), loss.alias("expected_loss"),
+            (loss * F.lit(success_rate)).alias("gross_protected_revenue"),
+            (k * F.lit(cost_per_action)).cast("double").alias("intervention_cost"),
+            (loss * F.lit(success_rate) - k * F.lit(cost_per_action)).alias("net_effect"),
+            F.try_divide(F.col(f"_nd{i}"), F.col(f"_c{i}")).alias("share_no_deposit"),
+            F.try_divide(F.col(f"_nr{i}"), F.col(f"_c{i}")).alias("share_non_refund")))
+    return wide.select(F.explode(F.array(*rows)).alias("_s")).select("_s.*")
 
 
 def prefix_optimum(df: DataFrame, success_rate: float = 0.25, cost_per_action: float = 150.0,

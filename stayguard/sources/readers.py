@@ -16,8 +16,21 @@ from pyspark.sql import functions as F
 
 
 def csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Column names of one CSV file (reads its header only: no inference pass)."""
-    return tuple(spark.read.option("header", True).option("inferSchema", False).csv(path).columns)
+    """Header line of one CSV file, read through the cluster's Hadoop file system (the
+    first line only: no Spark job, no scan). Falls back to Spark's header parsing."""
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        stream = hpath.getFileSystem(conf).open(hpath)
+        try:
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+            line = reader.readLine()
+        finally:
+            stream.close()
+        return (line or "").lstrip("﻿").rstrip("\r"),
+    except Exception:  # noqa: BLE001
+        return tuple(spark.read.option("header", True).option("inferSchema", False).csv(path).columns)
 
 
 def read_csv_files(spark: SparkSession, paths: list[str]) -> DataFrame:
