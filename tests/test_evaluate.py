@@ -73,6 +73,19 @@ def test_global_order_ranks_and_running_sums(spark):
         assert sorted(part["rk"]) == list(range(1, len(part) + 1))
 
 
+def test_global_order_splits_a_hot_value(spark):
+    """A third of the rows share one score: the slices stay balanced and ranks stay exact."""
+    n = 9000
+    df = spark.range(1, n + 1).withColumn("v", F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise(F.rand(5)))
+    out = global_order(df, [F.desc("v"), F.asc("id")], "rk", num_partitions=6)
+    sizes = [r["c"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("c")).collect()]
+    pdf = out.toPandas().sort_values("rk")
+    assert pdf["rk"].tolist() == list(range(1, n + 1))
+    ref = df.toPandas().sort_values(["v", "id"], ascending=[False, True])
+    assert pdf["id"].tolist() == ref["id"].tolist()
+    assert max(sizes) < n / 2  # the 3,000 tied rows do not land in one task
+
+
 def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=1001)
