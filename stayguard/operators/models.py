@@ -195,8 +195,16 @@ DEFAULT_CANDIDATES = [
 
 def train_model(prepared: DataFrame, candidates=None, calibration: str = "platt", seed: int = 42) -> TrainedModel:
     """M17 + M22: fit each candidate on train, select by 0.5 ROC + 0.3 AP + 0.2 Lift@20/3 on valid,
-    calibrate on valid, report test metrics. ``prepared`` needs ``split`` and ``is_canceled``."""
+    calibrate on valid, report test metrics. ``prepared`` needs ``is_canceled``; the split
+    is the existing column, else creation-date cutoffs, else chronological (D8, D10, W7);
+    an empty test or valid split falls back to seeded hash buckets (U4)."""
+    from .rank import assign_split, random_split
     candidates = candidates or DEFAULT_CANDIDATES
+    prepared, strategy = assign_split(prepared)
+    sizes = {r["split"]: r["n"] for r in prepared.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes.get("test") or not sizes.get("valid"):  # three labels at most: a tiny driver-side table
+        prepared, strategy = random_split(prepared.drop("split"), seed), "random_fallback"
+        sizes = {r["split"]: r["n"] for r in prepared.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
     train = prepared.where(F.col("split") == "train")
     valid = prepared.where(F.col("split") == "valid")
     test = prepared.where(F.col("split") == "test")
@@ -227,6 +235,8 @@ def train_model(prepared: DataFrame, candidates=None, calibration: str = "platt"
     raw = evaluate_scores(t, "raw_score")
     model.metrics = {
         "model": model.name + (" + Platt calibration" if calibration == "platt" else " + isotonic calibration"),
+        "split_strategy": strategy, "rows_train": sizes.get("train", 0), "rows_calibration": sizes.get("valid", 0),
+        "rows_test": sizes.get("test", 0),
         "roc_auc": cal["roc_auc"], "pr_auc": cal["pr_auc"], "brier": cal["brier"],
         "roc_auc_raw": raw["roc_auc"], "pr_auc_raw": raw["pr_auc"], "brier_raw": raw["brier"],
         "precision@20": raw["precision_at_20"], "recall@20": raw["recall_at_20"], "lift@20": raw["lift_at_20"],
@@ -311,6 +321,24 @@ def text_model(texts: DataFrame, reg_params=(1e-4, 1e-3, 1e-2), text_col: str =
     return best[1], report
 
 
+def select_feature_columns(df: DataFrame, deny: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
+    """Numeric and categorical model inputs from the schema (driver-side metadata),
+    minus the target, the date, the leakage columns and a caller's deny list."""
+    from pyspark.sql import types as T
+    from ..functions.constants import LEAKAGE_COLUMNS
+    excluded = {LABEL, "arrival_date", "booking_text", *LEAKAGE_COLUMNS, *deny}
+    cols = [f for f in df.schema.fields if f.name not in excluded]
+    numeric = [f.name for f in cols if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
+    categorical = [f.name for f in cols if f.name not in numeric and isinstance(f.dataType, T.StringType)]
+    return numeric, categorical
+
+
+def cross_dataset_validation(model: TrainedModel, other_prepared: DataFrame) -> dict:
+    """Score a second source with a model trained on the first and evaluate it."""
+    scored = apply_calibration(raw_probability(model, other_prepared), model.calibrator)
+    return evaluate_scores(scored, "calibrated")
+
+
 def score_bookings(spark, prepared: DataFrame, model_path: str | None = None, require_trained: bool = False) -> DataFrame:
     """M21 entry: trained model when present, else the deterministic rule score (M1)."""
     from .business import enrich_predictions, score_with_rules

@@ -117,6 +117,35 @@ def quantile_edge_bins(df: DataFrame, value: Column, q: int = 5, out: str = "bin
                           f"{out}_upper": F.element_at("_edges", F.col(out) + 1)}).drop("_edges", "_val")
 
 
+def assign_split(df: DataFrame, created_col: str = "booking_creation_date", train_cutoff: str = "1999-06-30",
+                 valid_cutoff: str = "2000-06-30") -> tuple[DataFrame, str]:
+    """D8 + D10 + W7: the split strategy of training.
+
+    An existing ``split`` column wins. Otherwise cutoffs on the creation date are
+    used when *every* creation date is known (one ``bool_and`` aggregate decides the
+    branch on the driver); else the 70/15/15 chronological fallback.
+    """
+    from ..sources.bookings import split_label
+    if "split" in df.columns:
+        return df, "existing_split_column"
+    if created_col in df.columns:
+        all_known = df.agg(F.bool_and(F.col(created_col).isNotNull()).alias("ok")).first()["ok"]
+        if all_known:
+            return (df.withColumn("split", split_label(F.col(created_col), train_cutoff, valid_cutoff)),
+                    "booking_creation_date")
+    out = chronological_split(df).withColumnRenamed("chrono_split", "split")
+    return out, "arrival_date_fallback"
+
+
+def random_split(df: DataFrame, seed: int = 42, test_pct: int = 20, valid_pct: int = 20) -> DataFrame:
+    """U4: hash-bucket split when a split is empty: test = test_pct % of rows, valid =
+    valid_pct % of the remainder; depends only on the id and the seed."""
+    from .filters import hash_bucket
+    b = hash_bucket(F.col(KEY), seed)
+    rest = hash_bucket(F.col(KEY), seed + 1)
+    return df.withColumn("split", F.when(b < test_pct, "test").when(rest < valid_pct, "valid").otherwise("train"))
+
+
 def chronological_split(df: DataFrame, date_col: str = "arrival_date", train: float = 0.70,
                         valid: float = 0.85) -> DataFrame:
     """70/15/15 by position in (date, id) order."""
