@@ -505,3 +505,24 @@ def q_seeded_sample(spark, sf):
     """Reproducible sample of at most N rows (independent of partitioning)"""
     from ..operators.filters import seeded_sample
     return seeded_sample(inputs.raw(spark, sf), 500, seed=7).select("booking_id", "hotel")
+
+
+@register("validation_report", """
+SELECT COUNT(*) AS row_count, 28 AS column_count, 'green' AS quality_status, 1.0::DOUBLE AS schema_confidence,
+  0.0::DOUBLE AS defaulted_ratio, '' AS defaulted_columns, 'reservation_status' AS leakage_removed,
+  'booking_creation_date, country, split' AS ignored_columns,
+  'Целевая переменная is_canceled найдена и будет исключена из inference-признаков. | '
+  || 'Post-factum признаки обнаружены и будут удалены: reservation_status | '
+  || 'Лишние колонки не используются моделью: booking_creation_date, country, split' AS warnings
+FROM bookings
+""")
+def q_validation_report(spark, sf):
+    """P1-P6 + X6: schema mapping and quality grade of the booking view (strict mode);
+    only the row count needs a job, the rest is driver-side metadata"""
+    from ..operators.schema import validate_input
+    v = validate_input(spark, inputs.raw(spark, sf), allow_defaults=False)
+    return v.select("row_count", "column_count", "quality_status", "schema_confidence", "defaulted_ratio",
+                    F.array_join("defaulted_columns", ", ").alias("defaulted_columns"),
+                    F.array_join("leakage_removed", ", ").alias("leakage_removed"),
+                    F.array_join("ignored_columns", ", ").alias("ignored_columns"),
+                    F.array_join("warnings", " | ").alias("warnings"))
