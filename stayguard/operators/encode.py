@@ -44,11 +44,18 @@ def fit_target_encoder(train: DataFrame, target: str = "is_canceled", columns: l
                        smoothing: float = ENCODER_SMOOTHING) -> EncoderModel:
     """A28 + A29: per-key count and smoothed target mean, (mean*n + prior*m) / (n + m)."""
     cols = list(columns or TARGET_ENCODED_COLUMNS)
-    prior = train.agg(F.coalesce(F.avg(F.col(target).cast("double")), F.lit(ENCODER_DEFAULT_PRIOR)).alias("prior"))
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols if c in train.columns)
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" if c in train.columns else f"'{c}', CAST(NULL AS STRING)"
+                      for c in cols)
     long = train.selectExpr(f"CAST(`{target}` AS DOUBLE) AS _y", f"stack({len(cols)}, {pairs}) as (column, key)")
     long = long.withColumn("key", unknown_if_missing("key"))
-    grp = long.groupBy("column", "key").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("_mean"))
+    # one pass over the train rows; the (column, key) table is small and read again by the
+    # prior, the size check and the lookups, so it is materialised once
+    grp = long.groupBy("column", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("_sy")).checkpoint(
+        eager=True)
+    grp = grp.withColumn("_mean", F.col("_sy") / F.col("n"))
+    # the prior is the train mean: every row appears once under the first column's keys
+    prior = grp.where(F.col("column") == cols[0]).agg(
+        F.coalesce(F.sum("_sy") / F.sum("n"), F.lit(ENCODER_DEFAULT_PRIOR)).alias("prior"))
     m = F.lit(float(smoothing))
     stats = grp.crossJoin(F.broadcast(prior)).select(
         "column", "key", "n", ((F.col("_mean") * F.col("n") + F.col("prior") * m) / (F.col("n") + m)).alias("smooth_mean"))

@@ -45,10 +45,21 @@ def read_csv_files(spark: SparkSession, paths: list[str]) -> DataFrame:
         # aliases are mapped per header group, before the union, so that every
         # group's columns land on the canonical names
         renamed = resolve_columns(f).renamed
-        frames.append(f.select([F.col(f"`{c}`").alias(renamed.get(c, c)) for c in f.columns]))
+        frames.append(f.select([_na_to_null(c).alias(renamed.get(c, c)) for c in f.columns]))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+# Text cells a CSV reader of the pandas family treats as missing (its documented default
+# NA tokens); Spark's CSV reader knows only one null token, so the rest are mapped here.
+NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+             "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
+def _na_to_null(c: str):
+    col = F.col(f"`{c}`")
+    return F.when(col.isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(col)
+
+
 def read_json_records(spark: SparkSession, path: str) -> DataFrame:
     """JSON records; the schema is the union of the keys seen."""
     return spark.read.json(path)
