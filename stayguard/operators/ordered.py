@@ -102,18 +102,24 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], key: str,
     Returns one row per (group, prob): ``prob``, ``q``.
     """
     groups = list(partition_by or [])
-    vals = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_x"), key)
-    ranked = global_order(vals, [F.col("_x").asc(), F.col(key).asc()], "_r", partition_by=groups, size_col="_n")
-    sizes = ranked.groupBy(*groups).agg(F.max("_n").alias("_n"))
+    vals = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_x"))
+    # Rank distinct values with their multiplicities: a value repeated by many rows is
+    # one row here (partial aggregation), so low-cardinality columns order almost nothing.
+    # Value v covers the 1-based order statistics (_cum - _c, _cum].
+    dist = vals.groupBy(*groups, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = global_order(dist, [F.col("_x").asc()], "_k", cumulative={"_cum": F.col("_c")}, partition_by=groups)
+    sizes = ranked.groupBy(*groups).agg(F.sum("_c").alias("_n"))
     probs_df = df.sparkSession.createDataFrame([(i, float(q)) for i, q in enumerate(probs)], "_i int, prob double")
     # the probability list is a fixed, caller-given handful of rows
     want = sizes.crossJoin(F.broadcast(probs_df)).withColumn("_pos", F.col("prob") * (F.col("_n") - 1))
     want = want.withColumns({"_lo": F.floor("_pos").cast("long") + 1, "_hi": F.ceil("_pos").cast("long") + 1,
                              "_frac": F.col("_pos") - F.floor("_pos")})
     need = want.select(*groups, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_r")).distinct()
-    picked = ranked.join(need, [*groups, "_r"] if not groups else
-                         [ranked[g].eqNullSafe(need[g]) for g in groups] + [ranked["_r"] == need["_r"]], "left_semi")
-    picked = picked.select(*groups, "_r", "_x")
+    # need holds at most 2 x len(probs) ranks per group: broadcast it against the ranked values
+    cond = [(F.col("_r") > F.col("_cum") - F.col("_c")) & (F.col("_r") <= F.col("_cum"))]
+    n2 = need.select(*[F.col(g).alias(f"_g_{g}") for g in groups], "_r")
+    cond += [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]
+    picked = ranked.join(F.broadcast(n2), cond).select(*groups, "_r", "_x")
     lo = picked.withColumnsRenamed({"_r": "_lo", "_x": "_xlo"})
     hi = picked.withColumnsRenamed({"_r": "_hi", "_x": "_xhi"})
     out = want.join(lo, [*groups, "_lo"]).join(hi, [*groups, "_hi"])
