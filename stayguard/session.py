@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -34,7 +36,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("STAYGUARD_DRIVER_MEMORY", "16g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.driver.memory", os.environ.get("STAYGUARD_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for k, v in ENGINE_CONF.items():
@@ -46,15 +49,23 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; create a scratch one only when unset (tests).
+    """The session's checkpoint folder, set at most once.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
+    A folder that is already set is returned as it is (setting it again would nest a
+    new folder in it each time), else the one that ``spark.checkpoint.dir`` names is
+    set. A scratch folder is made only for a session that runs in one process
+    (``local[...]``, as in tests) and is removed when that process ends; on a cluster a
+    missing setting is an error, because a folder of one machine is not shared.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
     if current:
-        spark.sparkContext.setCheckpointDir(current)
         return current
-    path = tempfile.mkdtemp(prefix="stayguard-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(path)
-    return path
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="stayguard-ckpt-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
