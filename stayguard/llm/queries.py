@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import pattern_pack
+from . import flow_mix, pattern_pack, preference, radix_suffix, robust_quality, secret_ownership, token_rollup, toxicity, weighted_minhash
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -28,3 +28,53 @@ def query(name: str, sql: str | None = None):
 @query("op8_pattern_pack")
 def op8(spark, sf):
     return pattern_pack.packed(table(spark, sf, "documents"), public_tokenizers.path(WORD_BPE))
+
+
+@query("op4_flow_mix")
+def op4(spark, sf):
+    return flow_mix.mixed(table(spark, sf, "documents"))
+
+
+@query("op10_token_rollup", r"""
+WITH counted AS (
+  SELECT source, lang, substr(md5(coalesce(text, '')), 1, 1) < '5' AS gone, coalesce(lang, '') >= 'en' AS moved,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_words,
+    coalesce(len(regexp_extract_all(text, '[A-Za-z]+|[^\x20\x09-\x0DA-Za-z]')), 0) AS n_pieces
+  FROM documents
+)
+SELECT source, lang, CASE WHEN moved THEN 'pieces-2' ELSE 'words-1' END AS version, COUNT(*) AS n_docs,
+  CAST(SUM(CASE WHEN moved THEN n_pieces ELSE n_words END) AS BIGINT) AS n_tokens
+FROM counted WHERE NOT gone GROUP BY ALL
+""")
+def op10(spark, sf):
+    return token_rollup.maintained(table(spark, sf, "documents"))
+
+
+@query("op1_mcd_outliers")
+def op1(spark, sf):
+    return robust_quality.judged(table(spark, sf, "documents"))
+
+
+@query("op2_secret_ownership")
+def op2(spark, sf):
+    return secret_ownership.scanned(table(spark, sf, "documents")).drop("found", "digest")
+
+
+@query("op5_preference", preference.SQL)
+def op5(spark, sf):
+    return preference.preference_rows(table(spark, sf, "conversations"))
+
+
+@query("op6_radix_suffix")
+def op6(spark, sf):
+    return radix_suffix.removed(table(spark, sf, "documents"))
+
+
+@query("op3_weighted_minhash")
+def op3(spark, sf):
+    return weighted_minhash.classes(table(spark, sf, "documents"))
+
+
+@query("op7_bigru_toxicity")
+def op7(spark, sf):
+    return toxicity.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))

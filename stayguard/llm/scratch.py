@@ -36,4 +36,4 @@ def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Spark's own size estimate of ``df`` (file sizes for a scan); no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
