@@ -147,10 +147,20 @@ def mix(items: DataFrame, quota: dict, id_col: str = "doc_id", members_col: str
     settled = placed.filter("_more is not null")
     inside = Window.partitionBy("_pattern", "_bucket").orderBy("_hash", id_col, size_col)
     edge = placed.filter("_more is null") \
-        .withColumn("_at", F.col("_before") + F.sum(size_col).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size_col) / 2) \
+        .withColumn("_at", F.col("_before") + F.sum(size_col).over(inside.rowsBetween(Window.unboundedPreceding, 0))) \
         .withColumn("_more", (F.col("_at") <= F.col("_rest")).cast("int")).drop("_at")
-    out = settled.unionByName(edge)
-    return out.select(*items.columns, (F.col(size_col) * (F.col("_times") + F.col("_more"))).cast("bigint").alias("taken"))
+    out = saved(settled.unionByName(edge).drop("_before"), "placed")
+
+    # what is still missing is less than one document: use once more the one whose size comes nearest
+    used = out.groupBy("_pattern").agg((F.first("_rest") - F.sum(F.col(size_col) * F.col("_more"))).alias("_miss"))
+    spare = out.filter("_more = 0").groupBy("_pattern", "_hash", F.col(id_col).alias("_id"), F.col(size_col).alias("_size")) \
+        .agg((F.count("*") * F.first(size_col)).alias("_whole")).join(used, "_pattern")  # equal rows go together
+    gap = F.abs(F.col("_whole") - F.col("_miss"))
+    last = spare.filter(gap < F.col("_miss")).groupBy("_pattern").agg(F.min_by(F.struct("_hash", "_id", "_size"), F.struct(gap, F.col("_hash"), F.col("_size"))).alias("l"))
+    last = last.select(F.col("_pattern").alias("_p"), F.col("l._hash").alias("_h"), F.col("l._id").alias("_i"), F.col("l._size").alias("_s"))
+    hit = (F.col("_pattern") == F.col("_p")) & (F.col("_hash") == F.col("_h")) & F.col(id_col).eqNullSafe(F.col("_i")) & (F.col(size_col) == F.col("_s"))
+    times = F.col("_times") + F.col("_more") + (F.col("_s").isNotNull() & (F.col("_more") == 0)).cast("int")
+    return out.join(last, hit, "left").select(*items.columns, (F.col(size_col) * times).cast("bigint").alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from . import flow_mix, pattern_pack, preference, radix_suffix, robust_quality, secret_ownership, token_rollup, toxicity, weighted_minhash
+from . import (flow_mix, multi_index, pattern_pack, preference, radix_suffix, robust_quality, secret_ownership, token_rollup, toxicity,
+               weighted_minhash)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -78,3 +81,13 @@ def op3(spark, sf):
 @query("op7_bigru_toxicity")
 def op7(spark, sf):
     return toxicity.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op9_multi_index")
+def op9(spark, sf):
+    return multi_index.searched(table(spark, sf, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf):
+    return corpus_pipeline.run(spark, sf)

@@ -33,16 +33,18 @@ from pyspark.sql import functions as F
 
 from .bytewise import SPACE, flat, hashes, mix, runs, words
 from .scratch import saved
+from .tokens import batches
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
+SLICE_BYTES = 1 << 20
 SHARE = 0.75  # of a group's rows that the determinant is minimised over
 STEPS = 4
 MIN_GROUP = 50
 REJECT = 1 - 1e-5  # chi-square quantile
 REWEIGHT = 0.975
 #: Least standard deviation of each transformed statistic.
-FLOORS = (0.25, 0.08, 0.05, 0.10, 0.10)
+FLOORS = (0.25, 0.08, 0.05, 0.15, 0.15)
 P = len(FLOORS)
 STARTS = ("median", "signs", "tanh")
 
@@ -65,9 +67,8 @@ def _again(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return later, shared
 
 
-def text_counts(column: pa.Array) -> list[np.ndarray]:
-    """The counts of COUNTS for each text of an Arrow column."""
-    data, offsets = flat(column)
+def text_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The counts of COUNTS for each of the texts that lie end to end."""
     n = len(offsets) - 1
     if not len(data):
         return [np.zeros(n, np.int64) for _ in COUNTS]
@@ -103,9 +104,10 @@ def base_counts(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text")
     """The kept columns, then one column for each of COUNTS."""
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            for at in range(0, b.num_rows, 512):  # bounds the arrays made for the bytes of a slice
-                s = b.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([*s.columns[:-1], *(pa.array(x, pa.int64()) for x in text_counts(s.columns[-1]))],
+            data, offsets = flat(b.columns[-1])
+            for a, z in batches(data, offsets, SLICE_BYTES):  # bounds the arrays made for the bytes
+                counts = text_counts(data[offsets[a]:offsets[z]], offsets[a:z + 1] - offsets[a])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, z - a) for c in b.columns[:-1]), *(pa.array(x, pa.int64()) for x in counts)],
                                                  names=[*keep, *COUNTS])
 
     narrow = docs.select(*keep, text_col)

@@ -376,17 +376,17 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """id, kept columns, held_out, score, predicted for every row."""
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, id_col, text_col))  # bounded by the training sample
     kept = (id_col, *keep)
+    sent = kept if text_col in kept else (*kept, text_col)
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import batches
         for b in parts:
-            data, offsets = flat(b.columns[-1])
+            data, offsets = flat(b.column(text_col))
             out = np.empty(b.num_rows)
             for a, z in batches(data, offsets, SLICE_BYTES):
                 out[a:z] = model.value.scores(data[offsets[a]:offsets[z]], offsets[a:z + 1] - offsets[a])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out)], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(out)], names=[*kept, "score"])
 
-    narrow = docs.select(*kept, F.col(text_col).alias("_text") if text_col in kept else text_col)
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
-    out = narrow.mapInArrow(score, fields + "score double")
+    out = docs.select(*sent).mapInArrow(score, fields + "score double")
     return out.select(*kept, held_out(id_col).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
