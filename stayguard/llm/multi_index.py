@@ -3,13 +3,15 @@
 Each vector is cut into two halves and each half is quantised by its own centroids; a pair of
 centroids is a cell. A query visits cells by the sum of its two squared distances to the
 cell's centroids, least first, taken from a heap that grows over the two sorted lists of
-centroids, until the cells visited hold ``least`` entries. All entries of those cells are then
-ranked by their exact Euclidean distance, in double precision, on the original vectors.
+centroids, until the cells visited hold the wanted share of all entries. The entries of those
+cells are then ranked by their exact Euclidean distance, in double precision, on the original
+vectors. Cells with the same first centroid are ranked together, so a query's vector travels
+once to each of those regions, with the list of its cells there.
 
 Centroids are fitted (Lloyd's steps) on at most ``SAMPLE`` vectors, the least by a hash of the
 id; every vector is indexed. The number of centroids grows with the fourth root of the
-table, up to ``MOST_CENTROIDS``; cells that hold more than ``PART`` entries are cut into parts
-that are ranked apart, so a crowded cell is never one task's work. Equal vectors are one entry
+table, up to ``MOST_CENTROIDS``; regions of more than ``PART`` entries are cut into parts that
+are ranked apart, so a crowded cell is never one task's work. Equal vectors are one entry
 that keeps its least ``k + 1`` ids, which is all that a query can need of them.
 
 Rows: a null or zero vector, one with a null or non-finite component, one of another length
@@ -34,8 +36,11 @@ K_NEAREST = 10
 SAMPLE = 20_000
 MOST_CENTROIDS = 256
 CELL_ENTRIES = 24  # entries of a cell that the number of centroids aims at
-LEAST = 3000  # entries that a query visits at least
+#: Share of all entries that a query visits, and their least number. A large share is what vectors with
+#: independent components need; clustered ones are found with far less.
+SHARE, LEAST = 0.5, 3000
 PART = 2048
+CHUNK = 256  # queries ranked at a time
 STEPS = 12
 
 
@@ -101,7 +106,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def searched(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K_NEAREST,
-             least: int = LEAST) -> DataFrame:
+             share: float = SHARE, least: int = LEAST) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: for each query its k nearest found among the other rows.
 
     ``is_query`` is a condition on the column ``id``. Queries with equal vectors are searched once.
@@ -134,6 +139,8 @@ def searched(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vecto
         counts[r["cell"]] = r["count"]
     held = spark.sparkContext.broadcast(counts)
 
+    wanted, region = max(least, int(np.ceil(share * n))), counts.reshape(len(first), -1).sum(axis=1)
+
     def probe(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = books.value
         for b in parts:
@@ -141,19 +148,23 @@ def searched(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vecto
                 continue
             x, y = halves(_matrix(b.column("vector")))
             da, db = _distances(x, first), _distances(y, second) if y.shape[1] else np.zeros((b.num_rows, 1))
-            rows, where, part = [], [], []
+            rows, where, part, lists = [], [], [], []
             for q in range(b.num_rows):
-                for cell in visited(da[q], db[q], held.value, least):
-                    for p in range(-(-int(held.value[cell]) // PART)):
+                cells = np.array(visited(da[q], db[q], held.value, wanted), np.int64)
+                for r in np.unique(cells // len(second)):
+                    own = (cells[cells // len(second) == r] % len(second)).tolist()
+                    for p in range(-(-int(region[r]) // PART)):
                         rows.append(q)
-                        where.append(cell)
+                        where.append(r)
                         part.append(p)
-            taken = b.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(part, pa.int32()), *taken.columns], names=["cell", "part", *b.schema.names])
-
-    probes = asked.select("asked", "vector").mapInArrow(probe, "cell int, part int, asked bigint, vector array<double>")
-    nearest = parted(placed).groupBy("cell", "part").cogroup(probes.groupBy("cell", "part")).applyInPandas(
-        lambda left, right: _nearest(left, right, k + 1), "asked bigint, id bigint, score double")
+                        lists.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(part, pa.int32()), *b.take(pa.array(rows, pa.int64())).columns,
+                                              pa.array(lists, pa.list_(pa.int32()))], names=["region", "part", *b.schema.names, "seconds"])
+
+    probes = asked.select("asked", "vector").mapInArrow(probe, "region int, part int, asked bigint, vector array<double>, seconds array<int>")
+    width = len(second)
+    nearest = parted(placed, width).groupBy("region", "part").cogroup(probes.groupBy("region", "part")).applyInPandas(
+        lambda left, right: _nearest(left, right, k + 1, width), "asked bigint, id bigint, score double")
     best = F.row_number().over(Window.partitionBy("asked").orderBy("score", "id"))
     nearest = nearest.withColumn("_nth", best).filter(F.col("_nth") <= k + 1).drop("_nth")
     each = queries.select(F.col("id").alias("query_id"), "vector").join(asked, "vector").select("query_id", "asked")
@@ -162,23 +173,35 @@ def searched(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vecto
         "query_id", "rank", F.col("id").alias(id_col), "score")
 
 
-def parted(placed: DataFrame) -> DataFrame:
-    """Entries with the part of their cell that they are ranked in."""
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / PART).alias("_parts"))
-    return placed.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("ids"), F.col("_parts")).cast("int")).drop("_parts")
+def parted(placed: DataFrame, width: int) -> DataFrame:
+    """Entries with their region, their second centroid, and the part of the region that they are ranked in."""
+    rows = placed.select((F.col("cell") / width).cast("int").alias("region"), (F.col("cell") % width).alias("second"), "vector", "ids")
+    sizes = rows.groupBy("region").agg(F.ceil(F.count("*") / PART).alias("_parts"))
+    return rows.join(sizes, "region").withColumn("part", F.pmod(F.xxhash64("ids"), F.col("_parts")).cast("int")).drop("_parts")
 
 
-def _nearest(entries: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest ids that a part of a cell has for each vector asked."""
+def _nearest(entries: pd.DataFrame, queries: pd.DataFrame, k: int, width: int) -> pd.DataFrame:
+    """The k nearest ids that a part of a region has for each vector asked, among the cells it visits."""
     out = []
     if len(entries) and len(queries):
         x = np.stack(entries["vector"].to_numpy()).astype(np.float64)
-        ids = entries["ids"].to_list()
-        owner = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-        flat = np.concatenate([np.asarray(i, np.int64) for i in ids])
-        for asked, vector in zip(queries["asked"], queries["vector"]):
-            gap = x - np.asarray(vector, np.float64)
-            score = np.sqrt((gap * gap).sum(axis=1))[owner]
-            best = np.lexsort((flat, score))[:k]
-            out.append(pd.DataFrame({"asked": asked, "id": flat[best], "score": score[best]}))
+        second, ids, norms = entries["second"].to_numpy(), entries["ids"].to_list(), (x * x).sum(axis=1)
+        for at in range(0, len(queries), CHUNK):
+            some = queries.iloc[at:at + CHUNK]
+            q = np.stack(some["vector"].to_numpy()).astype(np.float64)
+            visits = np.zeros((len(q), width), bool)
+            for i, cells in enumerate(some["seconds"]):
+                visits[i, cells] = True
+            rough = np.where(visits[:, second], norms - 2 * q @ x.T + (q * q).sum(axis=1)[:, None], np.inf)
+            edge = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(q), np.inf)
+            slack = 1e-9 * (norms.max() + (q * q).sum(axis=1))  # above the rounding of the rough distances
+            for i, asked in enumerate(some["asked"]):
+                near = np.flatnonzero((rough[i] <= edge[i] + slack[i]) & (rough[i] < np.inf))
+                if not len(near):
+                    continue
+                gap = x[near] - q[i]
+                score = np.repeat(np.sqrt((gap * gap).sum(axis=1)), [len(ids[e]) for e in near])
+                found = np.concatenate([np.asarray(ids[e], np.int64) for e in near])
+                best = np.lexsort((found, score))[:k]
+                out.append(pd.DataFrame({"asked": asked, "id": found[best], "score": score[best]}))
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"asked": [], "id": [], "score": []})

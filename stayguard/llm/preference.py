@@ -101,17 +101,17 @@ _RENDER = "list_aggregate(list_transform({t}, lambda x: '<|' || x.role || '|>' |
 _MASK = """coalesce(list_aggregate(list_filter(list_transform(range(len({t})), lambda i:
   CASE WHEN {t}[i + 1].role = 'assistant' THEN
     CAST(coalesce(list_sum(list_transform({t}[1:i], lambda x: length(x.role) + length(x.text) + 13)), 0) + length({t}[i + 1].role) + 5 AS BIGINT) || ':' ||
-    CAST(coalesce(list_sum(list_transform({t}[1:i + 1], lambda x: length(x.role) + length(x.text) + 13)), 0) AS BIGINT) END),
+    CAST(coalesce(list_sum(list_transform({t}[1:(i + 1)], lambda x: length(x.role) + length(x.text) + 13)), 0) AS BIGINT) END),
   lambda s: s IS NOT NULL), 'string_agg', ','), '')"""
 SQL = """
 WITH convs AS (
   SELECT conv_id AS conv, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
 ), marked AS (
-  SELECT conv, turns, list_filter(range(len(turns)), lambda i: turns[i + 1].role = 'assistant') AS at FROM convs
+  SELECT conv, turns, list_filter(range(len(turns)), lambda i: turns[i + 1].role = 'assistant') AS spots FROM convs
 ), stale AS (
-  SELECT 'stale:' || conv AS pair_id, turns[1:at[-1] + 1] AS chosen, list_concat(turns[1:at[-1]], [turns[at[-2] + 1]]) AS rejected
-  FROM marked WHERE len(at) >= 2
+  SELECT 'stale:' || conv AS pair_id, turns[1:(spots[-1] + 1)] AS chosen, list_concat(turns[1:spots[-1]], [turns[spots[-2] + 1]]) AS rejected
+  FROM marked WHERE len(spots) >= 2
 ), firsts AS (
   SELECT turns[1] AS opening, MIN(conv) AS first FROM convs GROUP BY turns[1] HAVING COUNT(*) > 1
 ), shared AS (
@@ -121,7 +121,7 @@ WITH convs AS (
   SELECT *, coalesce(list_min(list_filter(range(least(len(chosen), len(rejected))), lambda i: chosen[i + 1] IS DISTINCT FROM rejected[i + 1])),
                      least(len(chosen), len(rejected))) AS n_common FROM pairs
 ), tails AS (
-  SELECT pair_id, n_common, chosen[1:n_common] AS p, chosen[n_common + 1:] AS c, rejected[n_common + 1:] AS r FROM cut
+  SELECT pair_id, n_common, chosen[1:n_common] AS p, chosen[(n_common + 1):] AS c, rejected[(n_common + 1):] AS r FROM cut
 )
 SELECT pair_id, CAST(n_common AS BIGINT) AS n_common, """ + ", ".join(
     f"coalesce({_RENDER.format(t=t)}, '') AS {n}" for t, n in (("p", "prompt"), ("c", "chosen"), ("r", "rejected"))) + ", " + ", ".join(
