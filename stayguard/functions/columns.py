@@ -60,12 +60,13 @@ def round_binary(c: Column, digits: int) -> Column:
 
 
 def clip(c: Column, lo: float | None = None, hi: float | None = None) -> Column:
+    """Bounded value; NULL stays NULL (``greatest`` and ``least`` alone would skip it)."""
     out = c
     if lo is not None:
         out = F.greatest(out, F.lit(lo))
     if hi is not None:
         out = F.least(out, F.lit(hi))
-    return out
+    return F.when(c.isNotNull(), out)
 
 
 def finite0(c: str | Column) -> Column:
@@ -98,11 +99,11 @@ def _month_name_array() -> Column:
     return F.expr("array(" + ", ".join(f"'{m}'" for m in MONTH_NAMES) + ")")
 
 
-def _month_alias_map() -> Column:
-    # full lower-case names and three-letter prefixes -> canonical name (rule-built)
-    aliases = {m.lower(): m for m in MONTH_NAMES}
-    aliases.update({m[:3].lower(): m for m in MONTH_NAMES})
-    return F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in aliases.items()) + ")")
+def _month_from_text(t: Column) -> Column:
+    """Month name of a text that is a month's name, or its first three letters, in any case."""
+    names, low = _month_name_array(), F.lower(t)
+    found = F.filter(names, lambda m: (F.lower(m) == low) | ((F.length(low) == 3) & F.startswith(F.lower(m), low)))
+    return F.get(found, F.lit(0))
 
 
 def month_name_from_num(m: Column) -> Column:
@@ -123,7 +124,7 @@ def normalize_month(c: Column, dtype: T.DataType) -> Column:
     t = F.trim(c.cast("string"))
     as_int = F.when(t.rlike("^[0-9]+$"), t.try_cast("int"))
     return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(
-        F.coalesce(month_name_from_num(as_int), F.element_at(_month_alias_map(), F.lower(t)), t))
+        F.coalesce(month_name_from_num(as_int), _month_from_text(t), t))
 
 
 def season(month_num: Column) -> Column:

@@ -14,16 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import round_binary
 from .ordered import exact_quantiles
 
 
 def group_loss(pred: DataFrame, group: str, with_risk: bool = True, top: int | None = None,
                prob_col: str = "cancellation_probability") -> DataFrame:
     """Count (non-null ids), expected loss and mean risk per group, optional top-N by loss."""
-    aggs = [F.count("booking_id").alias("count"), round_binary(F.sum("expected_loss"), 6).alias("expected_loss")]
+    aggs = [F.count("booking_id").alias("count"), F.sum("expected_loss").alias("expected_loss")]
     if with_risk:
-        aggs.append(round_binary(F.avg(prob_col), 6).alias("avg_risk"))
+        aggs.append(F.avg(prob_col).alias("avg_risk"))
     out = pred.groupBy(group).agg(*aggs)
     if top:
         out = out.orderBy(F.desc("expected_loss"), F.asc(group)).limit(top)
@@ -57,26 +56,34 @@ def missing_report(df: DataFrame, columns: list[str] | None = None) -> DataFrame
                   *[F.count_if(F.col(c).isNull()).alias(f"_m{i}") for i, c in enumerate(cols)])
     pairs = ", ".join(f"'{c}', _m{i}" for i, c in enumerate(cols))
     long = wide.selectExpr("_rows", f"stack({len(cols)}, {pairs}) as (column, missing)")
-    return long.select("column", "missing", (F.col("missing") / F.col("_rows")).alias("missing_share"))
+    return long.select("column", "missing", F.coalesce(F.try_divide("missing", "_rows"), F.lit(0.0)).alias("missing_share"))
 
 
-def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def column_profile(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """Missing count / rate and the number of distinct values counting NULL as one value.
 
-    ``count(DISTINCT c)`` per column is exact; on wide tables at scale
-    ``approx=True`` style HyperLogLog (``approx_count_distinct``) is the opt-in.
+    Exact: the cells in long form, made distinct with partial aggregation before the shuffle, so
+    a column of few values costs a few rows per task. ``approx`` counts all columns in one pass
+    with sketches of bounded size (relative error about 2 %).
     """
     cols = columns or df.columns
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cols):
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"_m{i}"),
-                 (F.count_distinct(F.col(c)) + F.max(F.col(c).isNull().cast("int"))).alias(f"_u{i}")]
-    wide = df.agg(*aggs)
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    pairs = ", ".join(f"'{c}', '{types[c]}', _m{i}, _u{i}" for i, c in enumerate(cols))
-    long = wide.selectExpr("_rows", f"stack({len(cols)}, {pairs}) as (column, dtype, missing, n_unique)")
-    return long.select("column", "dtype", "missing", (F.col("missing") / F.col("_rows")).alias("missing_rate"),
-                       F.col("n_unique").cast("long").alias("n_unique"))
+    types = df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields if f.name in cols], "column string, dtype string")
+    if approx:
+        wide = df.agg(F.count(F.lit(1)).alias("_rows"), *[x for i, c in enumerate(cols) for x in (
+            F.count_if(F.col(f"`{c}`").isNull()).alias(f"_m{i}"), F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(f"_u{i}"))])
+        pairs = ", ".join(f"'{c}', _m{i}, _u{i} + cast(_m{i} > 0 as int)" for i, c in enumerate(cols))
+        counts = wide.selectExpr("_rows", f"stack({len(cols)}, {pairs}) as (column, missing, n_unique)")
+    else:
+        pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
+        cells = df.selectExpr(f"stack({len(cols)}, {pairs}) as (column, value)").groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
+        counts = cells.groupBy("column").agg(
+            F.sum("_n").alias("_rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("_n"))), F.lit(0)).alias("missing"),
+            F.count(F.lit(1)).alias("n_unique"))
+    out = types.join(counts, "column", "left")  # an empty table still lists its columns
+    zero = F.lit(0).cast("long")
+    return out.select("column", "dtype", F.coalesce("missing", zero).cast("long").alias("missing"),
+                      F.coalesce(F.try_divide("missing", "_rows"), F.lit(0.0)).alias("missing_rate"),
+                      F.coalesce("n_unique", zero).cast("long").alias("n_unique"))
 
 
 def describe(df: DataFrame, columns: list[str], key: str, percentiles=(0.01, 0.05, 0.5, 0.95, 0.99)) -> DataFrame:
@@ -95,7 +102,7 @@ def describe(df: DataFrame, columns: list[str], key: str, percentiles=(0.01, 0.0
     names = [f"p{int(round(p * 100)):02d}" for p in percentiles]
     wide_q = qs.groupBy("column").pivot("_i", list(range(len(percentiles)))).agg(F.first("q"))
     wide_q = wide_q.select("column", *[F.col(str(i)).alias(n) for i, n in enumerate(names)])
-    return stats.join(wide_q, "column")
+    return stats.join(wide_q, "column", "left")  # a column without values has no percentiles
 
 
 def quality_checks(raw: DataFrame) -> DataFrame:
@@ -109,7 +116,7 @@ def quality_checks(raw: DataFrame) -> DataFrame:
                    *[F.count_if(F.coalesce(p, F.lit(False))).alias(f"_c{i}") for i, p in enumerate(preds)])
     pairs = ", ".join(f"'{n}', _c{i}" for i, n in enumerate(QUALITY_CHECK_NAMES))
     long = wide.selectExpr("_rows", f"stack({len(preds)}, {pairs}) as (check, count)")
-    return long.select("check", "count", (F.col("count") / F.col("_rows")).alias("share"))
+    return long.select("check", "count", F.coalesce(F.try_divide("count", "_rows"), F.lit(0.0)).alias("share"))
 
 
 def sanity_filter(df: DataFrame) -> DataFrame:
@@ -142,7 +149,8 @@ def domain_complete_counts(df: DataFrame, source: str, bin_col: Column, bins: li
     bins_df = spark.createDataFrame([(b, i) for i, b in enumerate(bins)], "bin string, bin_order int")
     sources = df.select(F.col(source).alias("source")).distinct()
     domain = sources.crossJoin(F.broadcast(bins_df))
-    return (domain.join(counts, ["source", "bin"], "left")
+    counts = counts.select(F.col("source").alias("_s"), F.col("bin").alias("_b"), "count")
+    return (domain.join(counts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bin") == F.col("_b")), "left")
             .select("source", "bin", "bin_order", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 

@@ -10,19 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip
-from ..functions.constants import MIN_ACTION_EXPECTED_LOSS
+from ..functions.constants import MIN_ACTION_EXPECTED_LOSS, PREDICTION_COLUMNS
 from ..functions.rules import (
     actionable, deposit_loss_factor, expected_loss, financial_priority, is_high, recommended_action,
     risk_category, rule_score, tariff_protected_loss, top_factors,
 )
 
-PREDICTION_COLUMNS = [
-    "booking_id", "hotel", "arrival_date", "market_segment", "distribution_channel", "deposit_type",
-    "customer_type", "adr", "total_nights", "booking_value", "risk_score", "cancellation_probability",
-    "risk_category", "expected_loss", "business_priority_score", "deposit_loss_factor", "actionable",
-    "financial_priority", "recommended_action", "top_factors",
-]
-
 
 def score_with_rules(prepared: DataFrame, out_col: str = "raw_score") -> DataFrame:
     """M1 on prepared bookings."""
@@ -64,22 +57,24 @@ def predictions(prepared: DataFrame, **kw) -> DataFrame:
 
 
 def batch_summary(pred: DataFrame) -> DataFrame:
-    """A3 + A4: one global aggregate; zeros (not NULL) for an empty input; category map."""
+    """A3 + A4: one aggregate by category, rolled up; zeros (not NULL) for an empty input; category map."""
     p = F.coalesce(F.col("cancellation_probability"), F.col("risk_score"))
     act = F.coalesce(F.col("actionable"), is_high(F.col("risk_category"))
                      & (F.col("expected_loss") >= MIN_ACTION_EXPECTED_LOSS))
-    counts = pred.groupBy("risk_category").agg(F.count(F.lit(1)).alias("n"))
-    cmap = counts.agg(F.map_from_entries(F.collect_list(F.struct("risk_category", "n"))).alias("category_counts"))
-    totals = pred.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.avg(p), F.lit(0.0)).alias("avg_risk_score"),
-        F.count_if(is_high(F.col("risk_category"))).alias("high_or_critical"),
-        F.count_if(act).alias("actionable_count"),
-        F.coalesce(F.sum("expected_loss"), F.lit(0.0)).alias("expected_loss_total"),
-        F.coalesce(F.sum(F.when(act, F.col("expected_loss"))), F.lit(0.0)).alias("actionable_expected_loss_total"),
-        F.coalesce(F.sum("booking_value"), F.lit(0.0)).alias("booking_value_total"),
-    )
-    return totals.crossJoin(cmap)
+    # one pass: a row per category, rolled up into one
+    by = pred.groupBy("risk_category").agg(
+        F.count(F.lit(1)).alias("n"), F.count(p).alias("_np"), F.sum(p).alias("_sp"), F.count_if(act).alias("_act"),
+        F.sum("expected_loss").alias("_loss"), F.sum(F.when(act, F.col("expected_loss"))).alias("_act_loss"),
+        F.sum("booking_value").alias("_value"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    return by.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.coalesce(F.try_divide(F.sum("_sp"), F.sum("_np")), F.lit(0.0)).alias("avg_risk_score"),
+        F.coalesce(F.sum(F.when(is_high(F.col("risk_category")), F.col("n"))), F.lit(0)).alias("high_or_critical"),
+        F.coalesce(F.sum("_act"), F.lit(0)).alias("actionable_count"),
+        zero("_loss").alias("expected_loss_total"), zero("_act_loss").alias("actionable_expected_loss_total"),
+        zero("_value").alias("booking_value_total"),
+        F.map_from_entries(F.collect_list(F.when(F.col("risk_category").isNotNull(), F.struct("risk_category", "n")))).alias("category_counts"))
 
 
 def batch_header(pred: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ the keys up with left joins and falls back to the prior (target mean) or 0
 (frequency) for unseen keys. Fit and transform are separate functions, so the
 validation and test rows can never leak into the statistics.
 
-Lookup tables are as large as the number of distinct keys. They are broadcast
-only after their size is checked (``max_broadcast_rows``); beyond it the join
-is left to the planner (sort-merge, AQE may still switch at runtime).
+Lookup tables are as large as the number of distinct keys. Each column is one left
+equi-join on the key without a hint: the planner broadcasts a side it has measured
+to be small, and splits a hot key ("Unknown") otherwise.
 """
 
 from __future__ import annotations
@@ -22,22 +22,12 @@ from ..functions.columns import unknown_if_missing
 from ..functions.constants import ENCODER_DEFAULT_PRIOR, ENCODER_SMOOTHING, TARGET_ENCODED_COLUMNS
 from .ordered import exact_quantiles
 
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-def sized_broadcast(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the table is proven small (one cheap count on a small aggregate)."""
-    n = table.limit(max_rows + 1).count()
-    return F.broadcast(table) if n <= max_rows else table
-
-
 @dataclass
 class EncoderModel:
     stats: DataFrame   # column, key, n, smooth_mean
     prior: DataFrame   # one row: prior
     columns: list[str]
     smoothing: float
-    small: bool | None = None  # set once: are all lookup tables under the broadcast bound?
 
 
 def fit_target_encoder(train: DataFrame, target: str = "is_canceled", columns: list[str] | None = None,
@@ -48,8 +38,8 @@ def fit_target_encoder(train: DataFrame, target: str = "is_canceled", columns: l
                       for c in cols)
     long = train.selectExpr(f"CAST(`{target}` AS DOUBLE) AS _y", f"stack({len(cols)}, {pairs}) as (column, key)")
     long = long.withColumn("key", unknown_if_missing("key"))
-    # one pass over the train rows; the (column, key) table is small and read again by the
-    # prior, the size check and the lookups, so it is materialised once
+    # one pass over the train rows; the (column, key) table is read again by the prior and by
+    # each lookup, so it is materialised once
     grp = long.groupBy("column", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("_sy")).checkpoint(
         eager=True)
     grp = grp.withColumn("_mean", F.col("_sy") / F.col("n"))
@@ -62,44 +52,27 @@ def fit_target_encoder(train: DataFrame, target: str = "is_canceled", columns: l
     return EncoderModel(stats=stats, prior=prior, columns=cols, smoothing=smoothing)
 
 
+#: Columns whose log frequency is a feature too.
+FREQUENCY_COLUMNS = ("agent", "company_raw")
+
+
 def _prefix(col: str) -> str:
     return "company" if col == "company_raw" else col
 
 
-def transform_target_encoder(df: DataFrame, model: EncoderModel, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def transform_target_encoder(df: DataFrame, model: EncoderModel) -> DataFrame:
     """Left-join lookups; unseen -> prior (target mean) / 0 (frequency)."""
-    out = df.crossJoin(F.broadcast(model.prior))
-    stats = model.stats
-    if model.small is None:  # one bounded count per fitted model, not per lookup
-        model.small = stats.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-    if model.small:
-        # proven small: the statistics travel as one broadcast row of two maps keyed by
-        # (column, key); each lookup is a map access instead of a join
-        sep = "\u0001"
-        k = F.concat_ws(sep, "column", "key")
-        maps = stats.agg(F.map_from_entries(F.collect_list(F.struct(k, F.col("n")))).alias("_nmap"),
-                         F.map_from_entries(F.collect_list(F.struct(k, F.col("smooth_mean")))).alias("_smap"))
-        out = out.crossJoin(F.broadcast(maps))
-        adds = {}
-        for col in model.columns:
-            key = unknown_if_missing(F.col(col)) if col in df.columns else F.lit("Unknown")
-            mk = F.concat_ws(sep, F.lit(col), key)
-            p = _prefix(col)
-            adds[f"{p}_target_mean_smooth"] = F.coalesce(F.try_element_at("_smap", mk), F.col("prior"))
-            if col in ("agent", "company_raw"):
-                adds[f"{p}_freq_log"] = F.log1p(F.coalesce(F.try_element_at("_nmap", mk).cast("double"), F.lit(0.0)))
-        return out.withColumns(adds).drop("prior", "_nmap", "_smap")
+    out = df.crossJoin(F.broadcast(model.prior))  # one row
     for col in model.columns:
-        lookup = stats.where(F.col("column") == col).select(
-            F.col("key").alias(f"_k_{col}"), F.col("n").alias(f"_n_{col}"), F.col("smooth_mean").alias(f"_s_{col}"))
-        lookup = F.broadcast(lookup) if model.small else lookup
-        key = unknown_if_missing(F.col(col)) if col in df.columns else F.lit("Unknown")
-        out = out.withColumn(f"_key_{col}", key).join(lookup, F.col(f"_key_{col}") == F.col(f"_k_{col}"), "left")
         p = _prefix(col)
-        adds = {f"{p}_target_mean_smooth": F.coalesce(F.col(f"_s_{col}"), F.col("prior"))}
-        if col in ("agent", "company_raw"):
-            adds[f"{p}_freq_log"] = F.log1p(F.coalesce(F.col(f"_n_{col}").cast("double"), F.lit(0.0)))
-        out = out.withColumns(adds).drop(f"_key_{col}", f"_k_{col}", f"_n_{col}", f"_s_{col}")
+        lookup = model.stats.where(F.col("column") == col).select(
+            F.col("key").alias("_key"), F.col("n").alias("_n"), F.col("smooth_mean").alias("_mean"))
+        key = unknown_if_missing(F.col(col)) if col in df.columns else F.lit("Unknown")
+        adds = {f"{p}_target_mean_smooth": F.coalesce(F.col("_mean"), F.col("prior"))}
+        if col in FREQUENCY_COLUMNS:
+            adds[f"{p}_freq_log"] = F.log1p(F.coalesce(F.col("_n").cast("double"), F.lit(0.0)))
+        out = out.withColumn("_own", key).join(lookup, F.col("_own") == F.col("_key"), "left")
+        out = out.withColumns(adds).drop("_own", "_key", "_n", "_mean")
     return out.drop("prior")
 
 

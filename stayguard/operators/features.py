@@ -10,15 +10,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import (
     clip, cyclic, date_from_parts, finite0, flag, floor0, month_name_from_num, month_num_from_name,
-    num0, parse_date, quarter_from_month, season, to_double, unknown_if_missing, weekday_monday0,
+    num0, quarter_from_month, season, to_double, unknown_if_missing, weekday_monday0,
 )
 from ..functions.constants import (
     CATEGORICAL_FEATURES, FEATURE_COLUMNS, NUMERIC_FEATURES, REQUIRED_COLUMNS, TARGET_ENCODING_OUTPUT_FEATURES,
 )
-from .schema import drop_leakage, ensure_columns, normalize_input_schema
+from .schema import calendar_date, day_number, drop_leakage, ensure_columns, normalize_input_schema, require_complete
 
 FLOORED = [
     "lead_time", "adr", "stays_in_weekend_nights", "stays_in_week_nights", "required_car_parking_spaces",
@@ -32,22 +33,26 @@ def prepare_features(df: DataFrame, strict: bool = False, keep: tuple[str, ...]
     ``keep`` names extra input columns to carry through (e.g. ``is_canceled``, ``split``).
     """
     out, mapping = normalize_input_schema(df)
-    if strict and mapping.defaulted:
-        raise ValueError("Не хватает обязательных колонок: " + ", ".join(mapping.defaulted))
+    if strict:
+        require_complete(mapping)
     out = drop_leakage(out)
     out = ensure_columns(out, REQUIRED_COLUMNS + ["country", "arrival_date_week_number", "booking_id", "agent",
                                                   "company_raw"])
-    if "booking_id" not in df.columns and "booking_id" not in mapping.renamed.values():
+    if "booking_id" not in mapping.mapped:
         from .ordered import with_row_index
         out = with_row_index(out.drop("booking_id"), "booking_id")
+    else:
+        out = _with_ids(out)
 
     has_company_given = "has_company" in out.columns
     has_date = "arrival_date" in out.columns
-    arrival_src = parse_date(F.col("arrival_date"), out.schema["arrival_date"].dataType) if has_date else None
-    schema = out.schema
+    date_type = out.schema["arrival_date"].dataType if has_date else None
+    arrival_src = calendar_date(F.col("arrival_date"), date_type) if has_date else None
+    is_day = day_number(F.col("arrival_date"), date_type).isNotNull() if has_date else None
+    given_num = F.coalesce(to_double("arrival_month_num"), to_double(month_num_from_name(F.col("arrival_date_month")))) \
+        if "arrival_month_num" in out.columns else to_double(month_num_from_name(F.col("arrival_date_month")))
 
     # stage 1: coercion, missing flags taken before the fill
-    month_num_raw = month_num_from_name(F.col("arrival_date_month"))
     s1 = {
         "children": num0("children"),
         "babies": num0("babies"),
@@ -59,7 +64,7 @@ def prepare_features(df: DataFrame, strict: bool = False, keep: tuple[str, ...]
         "agent_missing": F.col("agent").isNull().cast("int"),
         "agent": unknown_if_missing("agent"),
         "company_raw": unknown_if_missing("company_raw"),
-        "arrival_month_num": clip(F.coalesce(to_double(month_num_raw), F.lit(1.0)), 1.0, 12.0),
+        "arrival_month_num": clip(F.coalesce(given_num, F.lit(1.0)), 1.0, 12.0),
     }
     out = out.withColumns(s1)
     derived_company = (F.lower(F.col("company_raw")) != "unknown").cast("int")
@@ -70,14 +75,13 @@ def prepare_features(df: DataFrame, strict: bool = False, keep: tuple[str, ...]
         out = out.withColumn("has_company", derived_company)
 
     # stage 2: calendar
-    if has_date:
-        arrival = arrival_src
-    else:
-        arrival = date_from_parts(
-            F.coalesce(to_double("arrival_date_year"), F.lit(2017.0)),
-            F.col("arrival_month_num"),
-            clip(F.coalesce(to_double("arrival_date_day_of_month"), F.lit(1.0)), 1.0, 28.0),
-        )
+    from_parts = date_from_parts(
+        F.coalesce(to_double("arrival_date_year"), F.lit(2017.0)),
+        F.col("arrival_month_num"),
+        clip(F.coalesce(to_double("arrival_date_day_of_month"), F.lit(1.0)), 1.0, 28.0),
+    )
+    # a value that is only a day of the month is completed from the other parts
+    arrival = F.when(is_day, from_parts).otherwise(arrival_src) if has_date else from_parts
     out = out.withColumn("arrival_date", arrival)
     d = F.col("arrival_date")
     mnum = F.col("arrival_month_num")
@@ -139,6 +143,16 @@ def prepare_features(df: DataFrame, strict: bool = False, keep: tuple[str, ...]
     return out.select("booking_id", "arrival_date", *FEATURE_COLUMNS, *extra)
 
 
+def _with_ids(df: DataFrame) -> DataFrame:
+    """Ids as given; a row whose id is NULL gets one of its own, ``row-<k>`` as text or ``-<k>``
+    as a number, so that it never meets a given one. Decided row by row: no job runs."""
+    dtype = df.schema["booking_id"].dataType
+    k = F.monotonically_increasing_id() + 1
+    if isinstance(dtype, T.NumericType):
+        return df.withColumn("booking_id", F.coalesce(F.col("booking_id").cast("long"), -k))
+    return df.withColumn("booking_id", F.coalesce(F.col("booking_id").cast("string"), F.concat(F.lit("row-"), k.cast("string"))))
+
+
 def model_matrix(df: DataFrame) -> DataFrame:
     """The model's input columns."""
     return df.select(*FEATURE_COLUMNS)

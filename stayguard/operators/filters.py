@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Lehmer (Park-Miller) step on the id: portable integer arithmetic, so the same
-# sample can be reproduced by any SQL engine; it depends on the id and the seed
-# only, never on partitioning.
-_MOD = 2147483647
-_MUL = 48271
-
 
 def id_hash(key: Column, seed: int) -> Column:
-    return (F.pmod(key.cast("long"), F.lit(_MOD)) * _MUL + F.lit(int(seed))) % _MOD
+    """60 bits of the md5 of seed and id as text: any type of id, any SQL engine can repeat it, draws
+    of different seeds are independent, and partitioning does not matter."""
+    text = F.concat(F.lit(f"{int(seed)}:"), F.coalesce(key.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def hash_bucket(key: Column, seed: int, buckets: int = 100) -> Column:

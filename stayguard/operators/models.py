@@ -14,7 +14,6 @@ our own and are never claimed to equal the original numbers.
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -25,7 +24,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+from ..functions.constants import CATEGORICAL_FEATURES, NUMERIC_FEATURES, TARGET_ENCODING_OUTPUT_FEATURES as ENCODED_FEATURES
 from . import encode as ENC
 from . import evaluate as EV
 
@@ -46,7 +45,6 @@ class CategoryTables:
     """Train-only category state: the text mode of each column (one row) and the kept categories."""
     modes: DataFrame   # one row: _mode_<column>
     kept: DataFrame    # column, value  (categories seen >= min_frequency times in train)
-    small: bool | None = None
 
 
 def fit_category_tables(train: DataFrame, columns: list[str], min_frequency: int = 10) -> CategoryTables:
@@ -64,31 +62,21 @@ def apply_category_tables(df: DataFrame, tables: CategoryTables, columns: list[s
     j = df.crossJoin(F.broadcast(tables.modes))
     out = j.withColumns({c: F.coalesce(F.col(c), F.col(f"_mode_{c}")) for c in columns}).drop(
         *[f"_mode_{c}" for c in columns])
-    if tables.small is None:  # size checked once per fitted model
-        tables.small = tables.kept.limit(ENC.MAX_BROADCAST_ROWS + 1).count() <= ENC.MAX_BROADCAST_ROWS
-    if tables.small:
-        # proven small: one broadcast row holding the kept set as a map, one lookup per column
-        kmap = tables.kept.agg(F.map_from_entries(F.collect_list(F.struct(
-            F.concat_ws("\u0001", "column", "value"), F.lit(True)))).alias("_kept_map"))
-        out = out.crossJoin(F.broadcast(kmap))
-        out = out.withColumns({c: F.when(F.try_element_at("_kept_map", F.concat_ws("\u0001", F.lit(c), F.col(c))),
-                                          F.col(c)).otherwise(F.lit("infrequent")) for c in columns})
-        return out.drop("_kept_map")
     for c in columns:
-        kept = tables.kept.where(F.col("column") == c).select(F.col("value").alias(f"_kept_{c}"))
-        kept = F.broadcast(kept) if tables.small else kept
-        out = out.join(kept, F.col(c) == F.col(f"_kept_{c}"), "left").withColumn(
-            c, F.when(F.col(f"_kept_{c}").isNotNull(), F.col(c)).otherwise(F.lit("infrequent"))).drop(f"_kept_{c}")
+        kept = tables.kept.where(F.col("column") == c).select(F.col("value").alias("_kept"))
+        out = out.join(kept, F.col(c) == F.col("_kept"), "left").withColumn(
+            c, F.when(F.col("_kept").isNotNull(), F.col(c)).otherwise(F.lit("infrequent"))).drop("_kept")
     return out
 
 
-def classifier(kind: str, params: dict | None = None, seed: int = 42):
-    """M10-M12"""
+def classifier(kind: str, params: dict | None = None, seed: int = 42, rows: int = 1):
+    """M10-M12. The inverse strength ``C`` of the logistic loss summed over ``rows`` weighted rows is
+    ``1 / (C * rows)`` for Spark's mean loss."""
     params = dict(params or {})
     if kind == "logreg":
         return LogisticRegression(featuresCol="features", labelCol=LABEL, weightCol="weight",
                                   standardization=False, maxIter=params.get("maxIter", 200),
-                                  regParam=params.get("regParam", 1e-4))
+                                  regParam=params.get("regParam", 1.0 / (params.get("C", 1.0) * max(1, rows))))
     if kind == "random_forest":
         return RandomForestClassifier(featuresCol="features", labelCol=LABEL, weightCol="weight", seed=seed,
                                       numTrees=params.get("numTrees", 160), maxDepth=params.get("maxDepth", 16),
@@ -103,7 +91,8 @@ def classifier(kind: str, params: dict | None = None, seed: int = 42):
 
 
 def feature_stages(numeric: list[str], categorical: list[str]) -> list:
-    """M5, M7, M8, M9: imputer -> indexer (unknown kept, its slot dropped = all zeros) -> one-hot -> assemble -> scale."""
+    """M5, M7, M8, M9: imputer -> scaled numeric block; indexer (unknown kept, its slot dropped = all
+    zeros) -> one-hot; both assembled. Only the numeric block is scaled."""
     imp_out = [f"{c}__imp" for c in numeric]
     idx_out = [f"{c}__idx" for c in categorical]
     ohe_out = [f"{c}__ohe" for c in categorical]
@@ -111,8 +100,9 @@ def feature_stages(numeric: list[str], categorical: list[str]) -> list:
         Imputer(strategy="median", inputCols=numeric, outputCols=imp_out, relativeError=0.0001),
         StringIndexer(inputCols=categorical, outputCols=idx_out, handleInvalid="keep", stringOrderType="alphabetAsc"),
         OneHotEncoder(inputCols=idx_out, outputCols=ohe_out, handleInvalid="keep", dropLast=True),
-        VectorAssembler(inputCols=imp_out + ohe_out, outputCol="raw_features", handleInvalid="keep"),
-        StandardScaler(inputCol="raw_features", outputCol="features", withMean=False, withStd=True),
+        VectorAssembler(inputCols=imp_out, outputCol="numeric_block", handleInvalid="keep"),
+        StandardScaler(inputCol="numeric_block", outputCol="numeric_scaled", withMean=False, withStd=True),
+        VectorAssembler(inputCols=["numeric_scaled"] + ohe_out, outputCol="features", handleInvalid="keep"),
     ]
 
 
@@ -187,24 +177,34 @@ def evaluate_scores(df: DataFrame, score: str, label: str = LABEL) -> dict:
     return {k: (float(v) if v is not None else None) for k, v in row.items()}
 
 
+def _split_sizes(df: DataFrame) -> dict[str, int]:
+    """Rows of the three splits that training knows; other labels are not counted."""
+    return df.agg(*[F.count_if(F.col("split") == s).alias(s) for s in ("train", "valid", "test")]).first().asDict()
+
+
 DEFAULT_CANDIDATES = [
     ("GBT conservative", "gbt", {"maxIter": 40, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 70}),
     ("GBT stronger", "gbt", {"maxIter": 60, "stepSize": 0.08, "maxDepth": 6, "minInstancesPerNode": 45}),
 ]
 
 
-def train_model(prepared: DataFrame, candidates=None, calibration: str = "platt", seed: int = 42) -> TrainedModel:
+def train_model(prepared: DataFrame, candidates=None, calibration: str = "platt", seed: int = 42,
+                max_rows: int | None = None) -> TrainedModel:
     """M17 + M22: fit each candidate on train, select by 0.5 ROC + 0.3 AP + 0.2 Lift@20/3 on valid,
     calibrate on valid, report test metrics. ``prepared`` needs ``is_canceled``; the split
     is the existing column, else creation-date cutoffs, else chronological (D8, D10, W7);
-    an empty test or valid split falls back to seeded hash buckets (U4)."""
-    from .rank import assign_split, random_split
+    an empty test or valid split falls back to seeded hash buckets (U4). ``max_rows`` bounds
+    the labelled rows (a seeded sample, the same on every run)."""
+    from .filters import seeded_sample
+    from .rank import assign_split, fill_empty_splits
     candidates = candidates or DEFAULT_CANDIDATES
+    if max_rows:
+        prepared = seeded_sample(prepared, max_rows, seed)
     prepared, strategy = assign_split(prepared)
-    sizes = {r["split"]: r["n"] for r in prepared.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes.get("test") or not sizes.get("valid"):  # three labels at most: a tiny driver-side table
-        prepared, strategy = random_split(prepared.drop("split"), seed), "random_fallback"
-        sizes = {r["split"]: r["n"] for r in prepared.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = _split_sizes(prepared)
+    prepared, moved = fill_empty_splits(prepared, sizes, seed)
+    if moved:
+        strategy, sizes = "random_fallback", _split_sizes(prepared)
     train = prepared.where(F.col("split") == "train")
     valid = prepared.where(F.col("split") == "valid")
     test = prepared.where(F.col("split") == "test")
@@ -214,25 +214,27 @@ def train_model(prepared: DataFrame, candidates=None, calibration: str = "platt"
     categories = fit_category_tables(train, CATEGORICAL_FEATURES)
     # every candidate fit (and each of its iterations) reads the encoded train set: materialise it once
     enc_train = class_weight_column(_encode(train, encoder, categories)).checkpoint(eager=True)
+    rows = sizes.get("train", 0)
     numeric = [c for c in NUMERIC_FEATURES]
     best = None
     report = []
     for name, kind, params in candidates:
-        pipe = Pipeline(stages=feature_stages(numeric, CATEGORICAL_FEATURES) + [classifier(kind, params, seed)])
+        pipe = Pipeline(stages=feature_stages(numeric, CATEGORICAL_FEATURES) + [classifier(kind, params, seed, rows)])
         fitted = pipe.fit(enc_train)
         tm = TrainedModel(pipeline=fitted, encoder=encoder, categories=categories, name=name)
-        v = raw_probability(tm, valid)
+        v = raw_probability(tm, valid).select(KEY, LABEL, "raw_score").checkpoint(eager=True)  # for choice and calibration
         m = evaluate_scores(v, "raw_score")
-        sel = 0.50 * m["roc_auc"] + 0.30 * m["pr_auc"] + 0.20 * m["lift_at_20"] / 3.0
+        sel = EV.selection_score(m["roc_auc"], m["pr_auc"], m["lift_at_20"])
         report.append({"name": name, "valid_roc_auc": m["roc_auc"], "valid_pr_auc": m["pr_auc"],
                        "valid_lift@20": m["lift_at_20"], "selection_score": sel})
         if best is None or sel > best[0]:
             best = (sel, tm, v)
     _, model, valid_scored = best
     model.calibrator = fit_platt(valid_scored) if calibration == "platt" else fit_isotonic(valid_scored)
-    t = apply_calibration(raw_probability(model, test), model.calibrator)
+    scored_test = raw_probability(model, test).select(KEY, LABEL, "raw_score").checkpoint(eager=True)
+    t = apply_calibration(scored_test, model.calibrator)
     cal = evaluate_scores(t, "calibrated")
-    raw = evaluate_scores(t, "raw_score")
+    raw = evaluate_scores(scored_test, "raw_score")
     model.metrics = {
         "model": model.name + (" + Platt calibration" if calibration == "platt" else " + isotonic calibration"),
         "split_strategy": strategy, "rows_train": sizes.get("train", 0), "rows_calibration": sizes.get("valid", 0),
@@ -267,14 +269,23 @@ def save_model(model: TrainedModel, path: str) -> None:
                           "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
+def model_exists(spark, path: str) -> bool:
+    """Asks the file system of the path (any address that Spark can read)."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
+    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
+
+
 def load_model(spark, path: str, require_trained: bool = False) -> TrainedModel | None:
-    """The saved model, or None (caller falls back to the rule score) unless one is required."""
-    try:
-        pipeline = PipelineModel.load(f"{path}/pipeline")
-    except Exception:
+    """The saved model; None (the caller falls back to the rule score) only where there is none.
+
+    ``meta`` is written last by ``save_model``, so it stands for a complete model. A model
+    that is there but cannot be read is an error.
+    """
+    if not model_exists(spark, path):
         if require_trained:
             raise FileNotFoundError(f"trained model not found at {path}")
         return None
+    pipeline = PipelineModel.load(f"{path}/pipeline")
     meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
     cal = None
     if meta.get("calibrator") == "LogisticRegressionModel":
@@ -290,34 +301,48 @@ def load_model(spark, path: str, require_trained: bool = False) -> TrainedModel
                         calibrator=cal, name=meta.get("name", ""), metrics=meta.get("metrics", {}))
 
 
-def text_model(texts: DataFrame, reg_params=(1e-4, 1e-3, 1e-2), text_col: str = "booking_text",
-               min_df: float = 5.0, vocab_size: int = 12000) -> tuple[object, list[dict]]:
-    """Word 1- and 2-gram TF-IDF (min document frequency 5, 12k terms) + logistic loss,
-    regularisation chosen on the validation split by ROC-AUC. ``texts`` needs split / label / id."""
+TEXT_ALPHAS = (1e-5, 3e-5, 1e-4, 3e-4, 1e-3)
+
+
+def text_model(rows: DataFrame, reg_params=TEXT_ALPHAS, text_col: str = "booking_text", numeric: list[str] | None = None,
+               categorical: list[str] | None = None, min_df: float = 5.0, vocab_size: int = 12000,
+               min_frequency: int = 30) -> tuple[object, list[dict]]:
+    """Numeric features (median, scaled), categories (mode, one-hot, rare ones pooled) and word 1- and
+    2-gram TF-IDF in one vector; logistic loss with balanced classes, regularisation chosen on the
+    validation split by ROC-AUC. ``vocab_size`` is the published bound of the vocabulary; the report
+    says how many terms of the wanted document frequency it leaves out. ``rows`` needs split, label, id."""
     from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer
-    train = texts.where(F.col("split") == "train").checkpoint(eager=True)
-    valid = texts.where(F.col("split") == "valid")
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_uni", pattern="\\w\\w+", gaps=False, toLowercase=True)
-    big = NGram(n=2, inputCol="_uni", outputCol="_bi")
-    feats = Pipeline(stages=[tok, big]).fit(train)
-
-    def terms(df):
-        return feats.transform(df).withColumn("_terms", F.concat("_uni", "_bi"))
-
-    cv = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=min_df, vocabSize=vocab_size)
-    idf = IDF(inputCol="_tf", outputCol="features")
-    vec = Pipeline(stages=[cv, idf]).fit(terms(train))
-    tr = class_weight_column(vec.transform(terms(train)))
-    va = vec.transform(terms(valid))
+    numeric = list(numeric if numeric is not None else [c for c in NUMERIC_FEATURES if c in rows.columns and c not in ENCODED_FEATURES])
+    categorical = list(categorical if categorical is not None else [c for c in CATEGORICAL_FEATURES if c in rows.columns])
+    words = Pipeline(stages=[RegexTokenizer(inputCol=text_col, outputCol="_uni", pattern="\\w\\w+", gaps=False, toLowercase=True),
+                             NGram(n=2, inputCol="_uni", outputCol="_bi")])
+    split = lambda s: rows.where(F.col("split") == s).select(KEY, LABEL, text_col, *numeric, *categorical)
+    train = split("train").checkpoint(eager=True)
+    categories = fit_category_tables(train, categorical, min_frequency)
+    split_words = words.fit(train)
+
+    def terms(df: DataFrame) -> DataFrame:
+        out = split_words.transform(apply_category_tables(df, categories, categorical))
+        return out.withColumn("_terms", F.concat("_uni", "_bi")).drop("_uni", "_bi")
+
+    tr_terms = class_weight_column(terms(train)).checkpoint(eager=True)
+    frequent = tr_terms.select(F.explode(F.array_distinct("_terms")).alias("t")).groupBy("t").count().where(F.col("count") >= min_df).count()
+    table = feature_stages(numeric, categorical)
+    table[-1].setOutputCol("table_features")
+    vec = Pipeline(stages=[*table, CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=min_df, vocabSize=vocab_size),
+                           IDF(inputCol="_tf", outputCol="text_features"),
+                           VectorAssembler(inputCols=["table_features", "text_features"], outputCol="features")]).fit(tr_terms)
+    tr = vec.transform(tr_terms).select(LABEL, "weight", "features").checkpoint(eager=True)  # read by every iteration of every setting
+    va = vec.transform(terms(split("valid"))).select(KEY, LABEL, "features").checkpoint(eager=True)
     best, report = None, []
     for rp in reg_params:
         lr = LogisticRegression(featuresCol="features", labelCol=LABEL, weightCol="weight", regParam=rp, maxIter=100)
         m = lr.fit(tr)
         scored = m.transform(va).withColumn("raw_score", vector_to_array("probability").getItem(1))
         auc = EV.roc_auc(scored.select(KEY, LABEL, "raw_score"), LABEL, "raw_score").first()["roc_auc"]
-        report.append({"regParam": rp, "valid_roc_auc": auc})
-        if best is None or auc > best[0]:
-            best = (auc, (feats, vec, m))
+        report.append({"regParam": rp, "valid_roc_auc": auc, "dropped_terms": max(0, frequent - vocab_size)})
+        if best is None or (auc or 0.0) > best[0]:
+            best = (auc or 0.0, (split_words, categories, vec, m))
     return best[1], report
 
 
@@ -342,9 +367,9 @@ def cross_dataset_validation(model: TrainedModel, other_prepared: DataFrame) ->
 def score_bookings(spark, prepared: DataFrame, model_path: str | None = None, require_trained: bool = False) -> DataFrame:
     """M21 entry: trained model when present, else the deterministic rule score (M1)."""
     from .business import enrich_predictions, score_with_rules
-    model = load_model(spark, model_path, require_trained) if model_path and os.path.exists(model_path) else None
+    model = load_model(spark, model_path, require_trained) if model_path else None
     if model is None:
         if require_trained:
-            raise FileNotFoundError(f"trained model not found at {model_path}")
+            raise FileNotFoundError("no model path given")
         return enrich_predictions(score_with_rules(prepared))
     return predict(model, prepared)

@@ -4,16 +4,17 @@
 task. The operators that the reference expresses as "sort the whole table,
 then number / cumulate" (W1, W3, W7, W8, W9, W10, W11) use this instead:
 
-1. range-partition the rows on the (unique) ordering -> P contiguous slices;
-2. number and cumulate inside each slice with a window partitioned by the
-   slice id (each task holds ~n/P rows and may spill);
-3. sum the per-slice counts / totals (a P-row table) into slice offsets;
-4. broadcast-join the offsets (P rows, bounded by the partition count, not by
-   the data) and add them.
-
-The range exchange feeds both step 2 and step 3; Spark reuses that one
-exchange, so both see identical slices. A hot value of the ordering cannot
-pile up in one slice because every ordering ends with a unique key.
+1. range-partition the rows on the (unique) ordering and sort each slice: P contiguous slices;
+2. a rank is the row's position in its slice plus the rows of the slices before; running
+   sums come from a window inside the slice, one slice to a task;
+3. counts and sums of the slices (P rows) or of the parts of a group in each slice (at most
+   P + groups rows) give the offsets. They are joined on the slice id, so a group that holds
+   most rows is spread over its slices.
+
+A hot value of the ordering cannot pile up in one slice because every ordering ends with a
+unique key. Callers pass the columns they need, not whole tables: the slices are written once
+to the checkpoint folder (the range partitioner samples its input, so two evaluations could
+cut different slices).
 """
 
 from __future__ import annotations
@@ -30,101 +31,83 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
 
 def global_order(df: DataFrame, order: list[Column], rank_col: str = "rank",
                  cumulative: dict[str, Column] | None = None, partition_by: list[str] | None = None,
-                 num_partitions: int | None = None, size_col: str | None = None) -> DataFrame:
+                 num_partitions: int | None = None, size_col: str | None = None,
+                 totals: dict[str, str] | None = None) -> DataFrame:
     """Add ``rank_col`` (1..n following ``order``) and inclusive running sums.
 
     ``order`` must end with a unique key so the order is total and deterministic.
     ``cumulative`` maps an output name to a numeric column to cumulate.
-    ``partition_by`` restarts rank and sums per group (groups are contiguous in
-    the range order; only a G-row table of group totals is windowed).
-    ``size_col`` adds the number of rows of the table (or of the row's group),
-    taken from the materialised slices, so the input is not read again.
+    ``partition_by`` restarts rank and sums per group (NULL is a group).
+    ``size_col`` adds the number of rows of the table (or of the row's group), ``totals``
+    the last value of a running sum under a name of its own.
     """
-    cumulative = cumulative or {}
-    groups = list(partition_by or [])
+    cumulative, groups, totals = cumulative or {}, list(partition_by or []), totals or {}
     full_order = [F.col(g).asc_nulls_first() for g in groups] + list(order)
     p = _partitions(df, num_partitions)
     base = df.withColumns({f"_v_{k}": v for k, v in cumulative.items()}) if cumulative else df
-    # Materialise the slice id once (reliable checkpoint folder): the range
-    # partitioner samples its input, and input order after a shuffle is not
-    # deterministic, so two evaluations could cut different slices.
-    ranged = base.repartitionByRange(p, *full_order).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
-
-    w = Window.partitionBy("_pid").orderBy(*full_order)
-    wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumns({
-        "_lrn": F.row_number().over(w),
-        **{f"_c_{k}": F.sum(f"_v_{k}").over(wr) for k in cumulative},
-    })
-    totals = ranged.groupBy("_pid").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in cumulative])
-    # P rows only: a single-partition window here is bounded by the partition count
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_pid",
+    ranged = base.repartitionByRange(p, *full_order).sortWithinPartitions(*full_order).withColumns(
+        {"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}).checkpoint(eager=True)
+
+    parts = ranged.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in cumulative])
+    # rows of one group are one per slice it reaches; without groups the window sees P rows
+    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    before = whole.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(
+        F.col("_pid").alias("_opid"), *[F.col(g).alias(f"_g_{g}") for g in groups],
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
         *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in cumulative],
-    )
-    out = local.join(F.broadcast(offsets), "_pid").withColumns({
+        *([F.sum("_n").over(whole).cast("long").alias(size_col)] if size_col else []),
+        *[F.sum(f"_t_{k}").over(whole).alias(name) for name, k in totals.items()])
+
+    if groups or cumulative:
+        local = ranged.repartitionByRange(p, "_pid")  # one slice to a task
+        w = Window.partitionBy("_pid", *groups).orderBy("_mid")
+        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        local = local.withColumns({"_lrn": F.row_number().over(w), **{f"_c_{k}": F.sum(f"_v_{k}").over(upto) for k in cumulative}})
+    else:
+        local = ranged.withColumn("_lrn", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33) + 1)
+    on = (F.col("_pid") == F.col("_opid"))
+    for g in groups:
+        on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    out = local.join(offsets, on).withColumns({
         rank_col: (F.col("_off") + F.col("_lrn")).cast("long"),
         **{k: F.col(f"_o_{k}") + F.col(f"_c_{k}") for k in cumulative},
     })
-    drop = ["_pid", "_lrn", "_off"] + [f"{pfx}_{k}" for k in cumulative for pfx in ("_v", "_c", "_o")]
-    out = out.drop(*drop)
-    if not groups:
-        if size_col:
-            total = totals.agg(F.sum("_n").cast("long").alias(size_col))
-            out = out.crossJoin(F.broadcast(total))
-        return out
-    # group start offsets: G-row table of group sizes / totals, windowed in group order
-    gt = ranged.groupBy(*groups).agg(F.count(F.lit(1)).alias("_gn"),
-                                   *[F.sum(f"_v_{k}").alias(f"_gt_{k}") for k in cumulative])
-    gw = Window.orderBy(*[F.col(g).asc_nulls_first() for g in groups]).rowsBetween(Window.unboundedPreceding, -1)
-    goff = gt.select(*groups, "_gn", F.coalesce(F.sum("_gn").over(gw), F.lit(0)).alias("_goff"),
-                     *[F.coalesce(F.sum(f"_gt_{k}").over(gw), F.lit(0)).alias(f"_go_{k}") for k in cumulative])
-    out = out.join(goff, [out[g].eqNullSafe(goff[g]) for g in groups]).drop(*[goff[g] for g in groups])
-    out = out.withColumns({
-        rank_col: F.col(rank_col) - F.col("_goff"),
-        **{k: F.col(k) - F.col(f"_go_{k}") for k in cumulative},
-    })
-    if size_col:
-        out = out.withColumn(size_col, F.col("_gn").cast("long"))
-    return out.drop("_goff", "_gn", *[f"_go_{k}" for k in cumulative], *[f"_v_{k}" for k in cumulative])
+    return out.drop("_pid", "_mid", "_opid", "_lrn", "_off", *[f"_g_{g}" for g in groups],
+                    *[f"{x}_{k}" for k in cumulative for x in ("_v", "_c", "_o")])
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], key: str,
-                    partition_by: list[str] | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: list[float], key: str | None = None,
+                    partition_by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles (numpy / pandas default, DuckDB ``quantile_cont``).
 
-    Distributed: the values are ranked once with ``global_order``; only the two
-    neighbouring order statistics of each requested probability are kept, so no
-    task ever holds a whole column. NULL values are ignored.
+    Distinct values are ranked with their multiplicities (a value repeated by many rows, or
+    given with a ``weight``, is one row); value v covers the order statistics
+    (_cum - _c, _cum]. One conditional aggregate per group then picks the two neighbours of
+    each probability. NULL values are ignored.
     Returns one row per (group, prob): ``prob``, ``q``.
     """
     groups = list(partition_by or [])
-    vals = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_x"))
-    # Rank distinct values with their multiplicities: a value repeated by many rows is
-    # one row here (partial aggregation), so low-cardinality columns order almost nothing.
-    # Value v covers the 1-based order statistics (_cum - _c, _cum].
-    dist = vals.groupBy(*groups, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    ranked = global_order(dist, [F.col("_x").asc()], "_k", cumulative={"_cum": F.col("_c")}, partition_by=groups)
-    sizes = ranked.groupBy(*groups).agg(F.sum("_c").alias("_n"))
-    probs_df = df.sparkSession.createDataFrame([(i, float(q)) for i, q in enumerate(probs)], "_i int, prob double")
-    # the probability list is a fixed, caller-given handful of rows
-    want = sizes.crossJoin(F.broadcast(probs_df)).withColumn("_pos", F.col("prob") * (F.col("_n") - 1))
-    want = want.withColumns({"_lo": F.floor("_pos").cast("long") + 1, "_hi": F.ceil("_pos").cast("long") + 1,
-                             "_frac": F.col("_pos") - F.floor("_pos")})
-    need = want.select(*groups, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_r")).distinct()
-    # need holds at most 2 x len(probs) ranks per group: broadcast it against the ranked values
-    cond = [(F.col("_r") > F.col("_cum") - F.col("_c")) & (F.col("_r") <= F.col("_cum"))]
-    n2 = need.select(*[F.col(g).alias(f"_g_{g}") for g in groups], "_r")
-    cond += [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]
-    picked = ranked.join(F.broadcast(n2), cond).select(*groups, "_r", "_x")
-    lo = picked.withColumnsRenamed({"_r": "_lo", "_x": "_xlo"})
-    hi = picked.withColumnsRenamed({"_r": "_hi", "_x": "_xhi"})
-    out = want.join(lo, [*groups, "_lo"]).join(hi, [*groups, "_hi"])
-    q = F.col("_xlo") + (F.col("_xhi") - F.col("_xlo")) * F.col("_frac")
-    return out.select(*groups, "_i", "prob", q.alias("q"))
+    vals = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_x"),
+                                                     (F.lit(1) if weight is None else weight).alias("_w"))
+    dist = vals.groupBy(*groups, "_x").agg(F.sum("_w").cast("long").alias("_c")).where("_c > 0")
+    ranked = global_order(dist, [F.col("_x").asc()], "_k", cumulative={"_cum": F.col("_c")}, partition_by=groups, totals={"_n": "_cum"})
+
+    def at(position: Column) -> Column:
+        """The value at a 1-based order statistic."""
+        return F.max(F.when((position > F.col("_cum") - F.col("_c")) & (position <= F.col("_cum")), F.col("_x")))
+
+    picked = []
+    for i, q in enumerate(probs):
+        pos = F.lit(float(q)) * (F.col("_n") - 1)
+        picked += [at(F.floor(pos) + 1).alias(f"_lo{i}"), at(F.ceil(pos) + 1).alias(f"_hi{i}")]
+    wide = ranked.groupBy(*groups).agg(F.max("_n").alias("_size"), *picked).where("_size is not null")
+    rows = []
+    for i, q in enumerate(probs):
+        pos = F.lit(float(q)) * (F.col("_size") - 1)
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        rows.append(F.struct(F.lit(i).alias("_i"), F.lit(float(q)).alias("prob"), (lo + (hi - lo) * (pos - F.floor(pos))).alias("q")))
+    return wide.select(*groups, F.explode(F.array(*rows)).alias("_r")).select(*groups, "_r.*")
 
 
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:

@@ -13,7 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import date_from_parts, month_num_from_name, normalize_month, to_double
+from ..functions.constants import SPLIT_TRAIN_CUTOFF, SPLIT_VALID_CUTOFF
+from ..sources.bookings import split_label
+from .filters import hash_bucket
 from .ordered import exact_quantiles, global_order
+from .schema import calendar_date
 
 KEY = "booking_id"
 
@@ -94,9 +99,10 @@ def prefix_optimum(df: DataFrame, success_rate: float = 0.25, cost_per_action: f
     )
 
 
-def equal_count_bins(df: DataFrame, value: str, q: int = 5, out: str = "bin") -> DataFrame:
-    """``qcut(rank(method='first'), q)`` = greatest(1, ceil((rn-1)*q/(n-1)))."""
-    ranked = global_order(df, [F.asc_nulls_last(value), F.asc(KEY)], "_rn", size_col="_n")
+def equal_count_bins(df: DataFrame, value: str, q: int = 5, out: str = "bin", keep: list[str] | None = None) -> DataFrame:
+    """``qcut(rank(method='first'), q)`` = greatest(1, ceil((rn-1)*q/(n-1))). Returns the id, the
+    value, the bin and the columns of ``keep``."""
+    ranked = global_order(df.select(KEY, *dict.fromkeys([value, *(keep or [])])), [F.asc_nulls_last(value), F.asc(KEY)], "_rn", size_col="_n")
     b = F.when(F.col("_n") <= 1, F.lit(1)).otherwise(
         F.greatest(F.lit(1), F.ceil((F.col("_rn") - 1) * F.lit(q) / (F.col("_n") - 1)).cast("int")))
     return ranked.withColumn(out, b).drop("_rn", "_n")
@@ -117,39 +123,62 @@ def quantile_edge_bins(df: DataFrame, value: Column, q: int = 5, out: str = "bin
                           f"{out}_upper": F.element_at("_edges", F.col(out) + 1)}).drop("_edges", "_val")
 
 
-def assign_split(df: DataFrame, created_col: str = "booking_creation_date", train_cutoff: str = "1999-06-30",
-                 valid_cutoff: str = "2000-06-30") -> tuple[DataFrame, str]:
+def creation_date(df: DataFrame, created_col: str = "booking_creation_date") -> Column:
+    """D3: the creation date as given, else arrival minus lead time, the arrival itself from the date
+    or, where that is unknown, from its parts. NULL where nothing tells it."""
+    arrival = F.lit(None).cast("date")
+    if {"arrival_date_year", "arrival_date_month", "arrival_date_day_of_month"} <= set(df.columns):
+        month = normalize_month(F.col("arrival_date_month"), df.schema["arrival_date_month"].dataType)
+        arrival = date_from_parts(to_double("arrival_date_year"), month_num_from_name(month), to_double("arrival_date_day_of_month"))
+    if "arrival_date" in df.columns:
+        arrival = F.coalesce(calendar_date(F.col("arrival_date"), df.schema["arrival_date"].dataType), arrival)
+    out = F.date_sub(arrival, to_double("lead_time").cast("int")) if "lead_time" in df.columns else F.lit(None).cast("date")
+    if created_col in df.columns:
+        out = F.coalesce(calendar_date(F.col(created_col), df.schema[created_col].dataType), out)
+    return out
+
+
+def assign_split(df: DataFrame, created_col: str = "booking_creation_date", train_cutoff: str = SPLIT_TRAIN_CUTOFF,
+                 valid_cutoff: str = SPLIT_VALID_CUTOFF) -> tuple[DataFrame, str]:
     """D8 + D10 + W7: the split strategy of training.
 
-    An existing ``split`` column wins. Otherwise cutoffs on the creation date are
-    used when *every* creation date is known (one ``bool_and`` aggregate decides the
-    branch on the driver); else the 70/15/15 chronological fallback.
+    An existing ``split`` column wins. Otherwise cutoffs on the (given or derived) creation
+    date are used when *every* creation date is known (one aggregate decides the branch on
+    the driver); else the 70/15/15 chronological fallback.
     """
-    from ..sources.bookings import split_label
     if "split" in df.columns:
         return df, "existing_split_column"
-    if created_col in df.columns:
-        all_known = df.agg(F.bool_and(F.col(created_col).isNotNull()).alias("ok")).first()["ok"]
-        if all_known:
-            return (df.withColumn("split", split_label(F.col(created_col), train_cutoff, valid_cutoff)),
-                    "booking_creation_date")
-    out = chronological_split(df).withColumnRenamed("chrono_split", "split")
-    return out, "arrival_date_fallback"
+    created = creation_date(df, created_col)
+    if df.agg(F.bool_and(created.isNotNull()).alias("ok")).first()["ok"]:
+        return df.withColumn("split", split_label(created, train_cutoff, valid_cutoff)), "booking_creation_date"
+    return chronological_split(df).withColumnRenamed("chrono_split", "split"), "arrival_date_fallback"
 
 
 def random_split(df: DataFrame, seed: int = 42, test_pct: int = 20, valid_pct: int = 20) -> DataFrame:
     """U4: hash-bucket split when a split is empty: test = test_pct % of rows, valid =
     valid_pct % of the remainder; depends only on the id and the seed."""
-    from .filters import hash_bucket
     b = hash_bucket(F.col(KEY), seed)
     rest = hash_bucket(F.col(KEY), seed + 1)
     return df.withColumn("split", F.when(b < test_pct, "test").when(rest < valid_pct, "valid").otherwise("train"))
 
 
+def fill_empty_splits(df: DataFrame, sizes: dict[str, int], seed: int = 42, valid_pct: int = 20) -> tuple[DataFrame, bool]:
+    """U4: a missing test split is drawn from all rows anew; a missing validation split only from
+    train, so that a test split that exists is never trained on. Says whether rows were moved."""
+    if not sizes.get("test"):
+        return random_split(df.drop("split"), seed, valid_pct=valid_pct), True
+    if not sizes.get("valid"):
+        moved = (F.col("split") == "train") & (hash_bucket(F.col(KEY), seed + 1) < valid_pct)
+        return df.withColumn("split", F.when(moved, "valid").otherwise(F.col("split"))), True
+    return df, False
+
+
 def chronological_split(df: DataFrame, date_col: str = "arrival_date", train: float = 0.70,
-                        valid: float = 0.85) -> DataFrame:
-    """70/15/15 by position in (date, id) order."""
-    ranked = global_order(df, [F.asc_nulls_last(date_col), F.asc(KEY)], "_pos", size_col="_n")
+                        valid: float = 0.85, keep: list[str] | None = None) -> DataFrame:
+    """W7 + P26: 70/15/15 by position in (date, id) order, of the rows with a date."""
+    known = df.where(F.col(date_col).isNotNull())  # P26: rows without a date are in no split
+    known = known.select(KEY, date_col, *(c for c in (keep if keep is not None else df.columns) if c not in (KEY, date_col)))
+    ranked = global_order(known, [F.asc(date_col), F.asc(KEY)], "_pos", size_col="_n")
     c1, c2 = F.floor(F.col("_n") * F.lit(train)), F.floor(F.col("_n") * F.lit(valid))
     label = F.when(F.col("_pos") <= c1, "train").when(F.col("_pos") <= c2, "valid").otherwise("test")
     return ranked.withColumn("chrono_split", label).drop("_pos", "_n")

@@ -9,7 +9,6 @@ from ..functions.constants import LEAD_TIME_LABELS, LEAKAGE_COLUMNS
 from ..operators import analyze as A
 from ..operators import business as B
 from ..operators.features import prepare_features
-from ..sources.bookings import second_source
 from . import inputs
 from .catalog import r6, register
 
@@ -261,68 +260,6 @@ def q_sanity_filter(spark, sf):
     return A.sanity_filter(inputs.raw(spark, sf)).select("booking_id", "split")
 
 
-UNION_SQL = """
-, main_src AS (
-  SELECT CAST(booking_id AS VARCHAR) AS booking_id, 'main' AS source_dataset, hotel, CAST(lead_time AS BIGINT) AS lead_time,
-    arrival_date, CAST(adults AS BIGINT) AS adults, CAST(COALESCE(children, 0) AS BIGINT) AS children,
-    CAST(stays_in_weekend_nights AS BIGINT) AS stays_in_weekend_nights, CAST(stays_in_week_nights AS BIGINT) AS stays_in_week_nights,
-    meal, market_segment, adr, CAST(total_of_special_requests AS BIGINT) AS total_of_special_requests,
-    CAST(is_canceled AS BIGINT) AS is_canceled
-  FROM bookings
-), second_src AS (
-  SELECT 'INN' || CAST(booking_id AS VARCHAR) AS booking_id, 'additional' AS source_dataset, 'Unknown' AS hotel,
-    CAST(lead_time AS BIGINT) AS lead_time, arrival_date, CAST(adults AS BIGINT) AS adults,
-    CAST(COALESCE(children, 0) AS BIGINT) AS children, CAST(stays_in_weekend_nights AS BIGINT) AS stays_in_weekend_nights,
-    CAST(stays_in_week_nights AS BIGINT) AS stays_in_week_nights, meal, market_segment, adr,
-    CAST(total_of_special_requests AS BIGINT) AS total_of_special_requests, CAST(is_canceled AS BIGINT) AS is_canceled
-  FROM bookings
-), unioned AS (SELECT * FROM main_src UNION ALL SELECT * FROM second_src)
-"""
-
-
-def union_sources(spark, sf):
-    """U1 + P15: the main view and the second source harmonised to one schema, then unioned by name."""
-    raw = inputs.raw(spark, sf)
-    main = raw.select(
-        F.col("booking_id").cast("string").alias("booking_id"), F.lit("main").alias("source_dataset"), "hotel",
-        F.col("lead_time").cast("long").alias("lead_time"), "arrival_date",
-        F.col("adults").cast("long").alias("adults"), F.coalesce("children", F.lit(0)).cast("long").alias("children"),
-        F.col("stays_in_weekend_nights").cast("long").alias("stays_in_weekend_nights"),
-        F.col("stays_in_week_nights").cast("long").alias("stays_in_week_nights"), "meal", "market_segment", "adr",
-        F.col("total_of_special_requests").cast("long").alias("total_of_special_requests"),
-        F.col("is_canceled").cast("long").alias("is_canceled"))
-    sec = second_source(raw)
-    harmonised = sec.select(
-        F.col("Booking_ID").alias("booking_id"), F.lit("additional").alias("source_dataset"),
-        F.lit("Unknown").alias("hotel"), F.col("lead_time"),
-        F.try_to_date(F.format_string("%04d-%02d-%02d", "arrival_year", "arrival_month", "arrival_date"),
-                      "yyyy-MM-dd").alias("arrival_date"),
-        F.col("no_of_adults").alias("adults"), F.col("no_of_children").alias("children"),
-        F.col("no_of_weekend_nights").alias("stays_in_weekend_nights"),
-        F.col("no_of_week_nights").alias("stays_in_week_nights"), F.col("type_of_meal_plan").alias("meal"),
-        F.col("market_segment_type").alias("market_segment"), F.col("avg_price_per_room").alias("adr"),
-        F.col("no_of_special_requests").alias("total_of_special_requests"),
-        (F.col("booking_status") == "Canceled").cast("long").alias("is_canceled"))
-    return main.unionByName(harmonised, allowMissingColumns=True)
-
-
-register("union_sources", UNION_SQL + "SELECT * FROM unioned")(union_sources)
-
-
-@register("source_compare", UNION_SQL + """
-SELECT source_dataset, COUNT(*) AS rows, ROUND(AVG(CAST(is_canceled AS DOUBLE)), 6) AS cancel_rate,
-  MIN(arrival_date) AS min_arrival, MAX(arrival_date) AS max_arrival, ROUND(AVG(adr), 6) AS mean_adr
-FROM unioned GROUP BY source_dataset
-""")
-def q_source_compare(spark, sf):
-    """A18"""
-    u = union_sources(spark, sf)
-    return u.groupBy("source_dataset").agg(
-        F.count(F.lit(1)).alias("rows"), r6(F.avg("is_canceled"), "cancel_rate"),
-        F.min("arrival_date").alias("min_arrival"), F.max("arrival_date").alias("max_arrival"),
-        r6(F.avg("adr"), "mean_adr"))
-
-
 @register("pivot_segment_hotel", """
 SELECT market_segment,
   ROUND(AVG(CASE WHEN hotel = 'City Hotel' THEN CAST(is_canceled AS DOUBLE) END), 6) AS "City Hotel",
@@ -480,7 +417,7 @@ def q_semi_recommended(spark, sf):
     return s.join(ids, "booking_id", "left_semi").select("booking_id", "hotel", r6("expected_loss"))
 
 
-HASH_SQL = "((booking_id % 2147483647) * 48271 + {seed}) % 2147483647"
+HASH_SQL = "CAST('0x' || substr(md5('{seed}:' || CAST(booking_id AS VARCHAR)), 1, 15) AS BIGINT)"
 
 
 @register("anti_remainder", f"""

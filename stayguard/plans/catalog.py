@@ -192,7 +192,8 @@ def q_factors_json(spark, sf):
 def _insight(group: str, with_risk: bool = True, top: int | None = None):
     def q(spark, sf):
         from ..operators.analyze import group_loss
-        return group_loss(inputs.scored(spark, sf), group, with_risk=with_risk, top=top)
+        out = group_loss(inputs.scored(spark, sf), group, with_risk=with_risk, top=top)
+        return out.select(group, "count", r6("expected_loss"), *([r6("avg_risk")] if with_risk else []))
     return q
 
 
@@ -214,4 +215,4 @@ register("insights_actions", _insight_sql("recommended_action", with_risk=False)
 
 def _load_all():
     """Import the query modules so that they register themselves."""
-    from . import analysis_queries, evaluation_queries, model_queries, ranking_queries  # noqa: F401
+    from . import analysis_queries, dataset_queries, evaluation_queries, model_queries, ranking_queries, store_queries  # noqa: F401

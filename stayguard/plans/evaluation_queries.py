@@ -313,8 +313,34 @@ def q_quantile_clip(spark, sf):
     return out.select("booking_id", *[r6(c) for c in CLIP_COLS])
 
 
-@register("fingerprint")
+FINGERPRINT_COLS = ["booking_id", "hotel", "lead_time", "country", "market_segment", "agent", "company_raw", "deposit_type"]
+
+
+@register("fingerprint", ", r AS (SELECT CAST('0x' || substr(md5(" + " || ".join(
+    f"CASE WHEN {c} IS NULL THEN 'N' ELSE 'V' || length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END" for c in FINGERPRINT_COLS) + """), 1, 15) AS BIGINT) AS h
+  FROM bookings)
+SELECT COUNT(*) AS rows, CAST(SUM(CAST(h AS HUGEINT)) AS VARCHAR) AS hash_sum, bit_xor(h) AS hash_xor FROM r
+""")
 def q_fingerprint(spark, sf):
-    """Order-free digest of the booking view (Spark's xxhash64 has no DuckDB twin: rows-only check)"""
+    """Order-free digest of the booking view (columns whose text is alike in both engines)"""
     from ..operators.store import fingerprint
-    return fingerprint(inputs.raw(spark, sf))
+    return fingerprint(inputs.raw(spark, sf).select(*FINGERPRINT_COLS))
+
+
+@register("target_encode_customer", """
+, c AS (SELECT p.booking_id, p.split, p.is_canceled, CAST(o.o_custkey AS VARCHAR) AS agent FROM prepared p JOIN orders o ON o.o_orderkey = p.booking_id),
+pr AS (SELECT AVG(CAST(is_canceled AS DOUBLE)) AS prior FROM c WHERE split = 'train'),
+st AS (SELECT agent, COUNT(*) AS n, AVG(CAST(is_canceled AS DOUBLE)) AS m FROM c WHERE split = 'train' GROUP BY agent)
+SELECT c.booking_id, ROUND(COALESCE((st.m * st.n + pr.prior * 100) / (st.n + 100), pr.prior), 6) AS agent_target_mean_smooth,
+  ROUND(ln(1 + COALESCE(st.n, 0)), 6) AS agent_freq_log
+FROM c CROSS JOIN pr LEFT JOIN st ON st.agent = c.agent
+""")
+def q_target_encode_customer(spark, sf):
+    """J2 + A28 + M4: encoding of a key with many values (the customer), smoothing 100"""
+    from ..sources.bookings import read_table
+    keys = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("booking_id"), F.col("o_custkey").cast("string").alias("agent"))
+    p = inputs.prepared(spark, sf).select("booking_id", "split", "is_canceled").join(keys, "booking_id")
+    model = ENC.fit_target_encoder(p.where(F.col("split") == "train"), "is_canceled", ["agent"], smoothing=100.0)
+    out = ENC.transform_target_encoder(p, model)
+    return out.select("booking_id", r6("agent_target_mean_smooth"), r6("agent_freq_log"))
+

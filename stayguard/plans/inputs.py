@@ -20,7 +20,7 @@ CARRY = ("is_canceled", "split", "booking_creation_date")
 _PLANS: dict[tuple[int, str, str], DataFrame] = {}
 
 
-def _memo(spark: SparkSession, sf_dir: str, kind: str, build) -> DataFrame:
+def memo(spark: SparkSession, sf_dir: str, kind: str, build) -> DataFrame:
     key = (id(spark._jsparkSession), sf_dir.rstrip("/"), kind)
     if key not in _PLANS:
         _PLANS[key] = build()
@@ -31,12 +31,12 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     # several operators cut lineage with checkpoint(): make sure the session names a
     # checkpoint folder (the cluster's setting is kept; a scratch one only when unset)
     ensure_checkpoint_dir(spark)
-    return _memo(spark, sf_dir, "raw", lambda: booking_view(spark, sf_dir))
+    return memo(spark, sf_dir, "raw", lambda: booking_view(spark, sf_dir))
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(spark, sf_dir, "prepared", lambda: prepare_features(raw(spark, sf_dir), keep=CARRY))
+    return memo(spark, sf_dir, "prepared", lambda: prepare_features(raw(spark, sf_dir), keep=CARRY))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(spark, sf_dir, "scored", lambda: enrich_predictions(score_with_rules(prepared(spark, sf_dir))))
+    return memo(spark, sf_dir, "scored", lambda: enrich_predictions(score_with_rules(prepared(spark, sf_dir))))

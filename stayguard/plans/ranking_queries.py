@@ -131,7 +131,7 @@ SELECT bin, COUNT(*) AS rows, ROUND(MIN(adr), 6) AS min_adr, ROUND(MAX(adr), 6)
 """)
 def q_qcut_rank(spark, sf):
     """Equal-count bins on the unique rank of adr"""
-    b = R.equal_count_bins(inputs.prepared(spark, sf), "adr", 5)
+    b = R.equal_count_bins(inputs.prepared(spark, sf), "adr", 5, keep=["is_canceled"])
     return b.groupBy("bin").agg(F.count(F.lit(1)).alias("rows"), r6(F.min("adr"), "min_adr"),
                                 r6(F.max("adr"), "max_adr"), r6(F.avg("is_canceled"), "cancel_rate"))
 
@@ -160,7 +160,7 @@ FROM (SELECT booking_id, ROW_NUMBER() OVER (ORDER BY arrival_date NULLS LAST, bo
 """)
 def q_chrono_split(spark, sf):
     """W7"""
-    return R.chronological_split(inputs.prepared(spark, sf)).select("booking_id", "chrono_split")
+    return R.chronological_split(inputs.prepared(spark, sf), keep=[]).select("booking_id", "chrono_split")
 
 
 @register("month_order", """
@@ -242,11 +242,11 @@ SELECT booking_id, risk_category, ROUND(expected_loss, 6) AS expected_loss, reco
 WHERE booking_id = (SELECT booking_id FROM scored ORDER BY business_priority_score DESC NULLS LAST, booking_id LIMIT 1)
 """)
 def q_single_lookup(spark, sf):
-    """The booking card of the top-priority booking"""
+    """The booking card of the top-priority booking (its id, one row, is looked up)"""
     from ..operators.filters import lookup
     s = inputs.scored(spark, sf)
-    top_id = R.top_n(s, 1, R.priority_order(s)).select("booking_id")
-    card = s.join(top_id, "booking_id", "left_semi")  # one-row id table
+    top = R.top_n(s, 1, R.priority_order(s)).select("booking_id").first()
+    card = lookup(s, top["booking_id"] if top else None)
     return card.select("booking_id", "risk_category", r6("expected_loss"), "recommended_action")
 
 

@@ -9,39 +9,41 @@ then the groups are unioned by name.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Header line of one CSV file, read through the cluster's Hadoop file system (the
-    first line only: no Spark job, no scan). Falls back to Spark's header parsing."""
+def csv_header(spark: SparkSession, path: str) -> str:
+    """Header line of one CSV file through the cluster's Hadoop file system: only the file's first
+    block is opened, no Spark job runs. A file that cannot be opened is an error."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
     try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        hpath = jvm.org.apache.hadoop.fs.Path(path)
-        stream = hpath.getFileSystem(conf).open(hpath)
-        try:
-            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-            line = reader.readLine()
-        finally:
-            stream.close()
-        return (line or "").lstrip("﻿").rstrip("\r"),
-    except Exception:  # noqa: BLE001
-        return tuple(spark.read.option("header", True).option("inferSchema", False).csv(path).columns)
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return (line or "").lstrip("\ufeff").rstrip("\r")
+
+
+def csv_headers(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Headers of many files, opened side by side (the driver only waits for the storage)."""
+    with ThreadPoolExecutor(max_workers=min(32, max(1, len(paths)))) as pool:
+        return list(pool.map(lambda p: csv_header(spark, p), paths))
 
 
 def read_csv_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Many CSV files, possibly with different headers, as one all-STRING frame."""
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        groups.setdefault(csv_header(spark, p), []).append(p)
+    groups: dict[str, list[str]] = {}
+    for path, header in zip(paths, csv_headers(spark, paths)):
+        groups.setdefault(header, []).append(path)
     from ..operators.schema import resolve_columns
     frames = []
     for g in groups.values():
-        f = spark.read.option("header", True).option("inferSchema", False).option("multiLine", False).csv(g)
+        f = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("quote", '"').option("escape", '"').csv(g)
         # aliases are mapped per header group, before the union, so that every
         # group's columns land on the canonical names
         renamed = resolve_columns(f).renamed

@@ -7,23 +7,23 @@ read by the stream itself); each micro-batch reads its files grouped by header
 line (``sources.readers.read_csv_files``), maps aliases, prepares, scores and
 persists one scoring batch per micro-batch.
 
-The ledger is an append-only table keyed by ``batch_id`` = the stream's epoch
-id; the latest row is the state. A micro-batch that was already completed (the
-engine may replay the last epoch after a failure) is skipped, so the sink is
-idempotent; the checkpoint gives each file once per successful epoch.
+A batch is named by the stream's own id and the epoch. The id stands in the stream's
+checkpoint folder, so a stream that starts anew in another folder, or a second stream on
+the same store, never meets the batches of the first. A micro-batch that is complete in
+the store (the engine replays the last epoch after a failure) is skipped; one that died
+half-way is written again over its own rows.
 """
 
 from __future__ import annotations
 
-import datetime as _dt
+import json
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.business import enrich_predictions, score_with_rules
 from ..operators.features import prepare_features
-from ..operators.store import persist_predictions
+from ..operators.store import ROW, batch_status, create_batch, is_complete, persist_predictions, set_status, with_row_id  # noqa: F401
 from ..sources.readers import read_csv_files
 
 PATH_SCHEMA = T.StructType([
@@ -33,63 +33,43 @@ PATH_SCHEMA = T.StructType([
     T.StructField("content", T.BinaryType()),
 ])
 
-STATUSES = ["created", "queued", "scoring", "completed", "failed"]
 
-
-def _ledger(spark: SparkSession, root: str, batch_id: str, status: str, files: int, error: str | None = None) -> None:
-    now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    spark.createDataFrame([(batch_id, status, files, error, now)],
-                          "batch_id string, status string, files int, error string, updated_at timestamp") \
-        .write.mode("append").parquet(f"{root}/ledger")
-
-
-def batch_status(spark: SparkSession, root: str) -> DataFrame:
-    """R2: latest status per batch (max_by over the append-only ledger)."""
-    led = spark.read.parquet(f"{root}/ledger")
-    order = F.struct("updated_at", F.array_position(F.array(*[F.lit(s) for s in STATUSES]), F.col("status")))
-    return led.groupBy("batch_id").agg(F.max_by("status", order).alias("status"),
-                                       F.max("updated_at").alias("updated_at"))
-
-
-def _completed(spark: SparkSession, root: str, batch_id: str) -> bool:
-    try:
-        st = batch_status(spark, root).where((F.col("batch_id") == batch_id) & (F.col("status") == "completed"))
-        return st.limit(1).count() > 0
-    except Exception:  # no ledger yet
-        return False
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that the engine wrote to the checkpoint folder when the stream first started."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
 
 
 def score_files_batch(spark: SparkSession, paths: list[str], root: str, batch_id: str) -> None:
     """Read, prepare, score and persist the files of one micro-batch."""
-    if not paths or _completed(spark, root, batch_id):
+    if not paths or is_complete(spark, root, batch_id):
         return
-    _ledger(spark, root, batch_id, "scoring", len(paths))
+    create_batch(spark, root, f"{len(paths)} files", paths[0] if len(paths) == 1 else None, "file_stream", batch_id, queued=True)
+    set_status(spark, root, batch_id, "scoring", files=len(paths))
     try:
-        raw = read_csv_files(spark, paths)
-        prepared = prepare_features(raw, strict=False)
+        raw = with_row_id(read_csv_files(spark, paths))
+        prepared = prepare_features(raw, strict=False, keep=(ROW,))
         scored = enrich_predictions(score_with_rules(prepared))
         persist_predictions(spark, root, raw, scored, source="file_stream", batch_id=batch_id)
-        _ledger(spark, root, batch_id, "completed", len(paths))
-    except Exception as e:  # noqa: BLE001
-        _ledger(spark, root, batch_id, "failed", len(paths), str(e)[:2000])
+    except Exception as e:
+        set_status(spark, root, batch_id, "failed", files=len(paths), error=str(e))
         raise
 
 
 def start_file_scoring(spark: SparkSession, input_dir: str, root: str, checkpoint: str,
-                       available_now: bool = True, max_files_per_trigger: int | None = 1000,
+                       available_now: bool = True, max_files_per_trigger: int = 1000,
                        glob: str = "*.csv", recursive: bool = False):
     """Start the stream; returns the StreamingQuery."""
     reader = spark.readStream.format("binaryFile").schema(PATH_SCHEMA).option("pathGlobFilter", glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     paths = reader.load(input_dir).select("path")
 
     def each(batch: DataFrame, epoch_id: int) -> None:
         # the list of file names of one micro-batch is metadata, bounded by maxFilesPerTrigger
         files = sorted(r["path"] for r in batch.collect())
-        score_files_batch(batch.sparkSession, files, root, f"stream-{epoch_id}")
+        session = batch.sparkSession
+        score_files_batch(session, files, root, f"stream-{stream_id(session, checkpoint)}-{epoch_id}")
 
     writer = paths.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

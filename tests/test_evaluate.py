@@ -117,3 +117,26 @@ def test_f2_threshold_matches_brute_force(spark):
 def test_confusion_zero_division(spark):
     r = EV.confusion(scores(spark, [0, 0], [0.1, 0.2]), "y", "s", 0.5).first()
     assert r["tp"] == 0 and r["precision"] == 0.0 and r["recall"] == 0.0 and r["f1"] == 0.0
+
+
+def test_empty_tables_give_zero_shares(spark):
+    from stayguard.operators import analyze as A
+    df = spark.createDataFrame([], "a int, b string")
+    assert [r["missing_share"] for r in A.missing_report(df).collect()] == [0.0, 0.0]
+    assert [(r["n_unique"], r["missing_rate"]) for r in A.column_profile(df).collect()] == [(0, 0.0)] * 2
+
+
+def test_null_groups_and_null_columns_are_kept(spark):
+    from pyspark.sql import functions as F
+    from stayguard.operators import analyze as A
+    from stayguard.operators import evaluate as E
+    rows = [(i, "a" if i % 2 else None, i % 3 == 0, i / 10) for i in range(20)]
+    df = spark.createDataFrame(rows, "booking_id long, g string, y boolean, s double").withColumn("y", F.col("y").cast("int"))
+    assert E.roc_auc(df, "y", "s", ["g"]).count() == E.average_precision(df, "y", "s", ["g"]).count() == 2
+    assert E.topk(df, "y", "s", "booking_id", 0.2, "ceil", ["g"]).count() == 2
+    prof = {r["column"]: r for r in A.describe(df.withColumn("void", F.lit(None).cast("double")), ["s", "void"], "booking_id").collect()}
+    assert prof["void"]["count"] == 0 and prof["void"]["p50"] is None and prof["s"]["count"] == 20
+    counts = A.domain_complete_counts(df, "g", F.when(F.col("s") > 1, "hi").otherwise("lo"), ["lo", "hi"])
+    assert sum(r["count"] for r in counts.collect()) == 20
+    exact = {r["column"]: r["n_unique"] for r in A.column_profile(df).collect()}
+    assert {r["column"]: r["n_unique"] for r in A.column_profile(df, approx=True).collect()} == exact

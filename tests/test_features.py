@@ -70,9 +70,10 @@ def test_tolerant_mapping_of_aliases_and_date_outside_august(spark):
 def test_day_number_in_arrival_date_is_day_of_month(spark):
     df = frame(spark, [dict(BOOKING, arrival_date="17")])
     df = df.drop("arrival_date_day_of_month")
-    m = resolve_columns(df)
-    assert m.mapped["arrival_date_day_of_month"] == "arrival_date"
-    assert "arrival_date" not in m.mapped
+    r = row(prepare_features(df))
+    assert r["arrival_date_day_of_month"] == 17.0 and r["arrival_date"] == dt.date(2017, 8, 17)
+    m = resolve_columns(df.selectExpr("cast(arrival_date as int) as arrival_date"))  # a number is never a date
+    assert m.mapped == {"arrival_date_day_of_month": "arrival_date"}
 
 
 @pytest.mark.parametrize("value,expected", [("8", "August"), ("aug", "August"), ("August", "August"),
@@ -90,3 +91,33 @@ def test_validation_report_grades(spark):
     assert rep["quality_status"] == "yellow" and sorted(rep["defaulted_columns"]) == ["babies", "meal"]
     strict = validate_input(spark, frame(spark, [partial]), allow_defaults=False).collect()[0]
     assert strict["quality_status"] == "red"
+
+
+def test_each_date_value_decides_for_itself(spark):
+    from stayguard.operators.features import prepare_features
+    from stayguard.operators.schema import validate_input
+    rows = [dict(BOOKING, booking_id="a", arrival_date="2016-03-15"), dict(BOOKING, booking_id="b", arrival_date="7"),
+            dict(BOOKING, booking_id="c", arrival_date="15/03/2016"), dict(BOOKING, booking_id="d", arrival_date=None)]
+    for r in rows:
+        r.pop("arrival_date_day_of_month")
+    df = frame(spark, rows)
+    got = {r["booking_id"]: (str(r["arrival_date"]), r["arrival_date_day_of_month"]) for r in prepare_features(df).collect()}
+    assert got == {"a": ("2016-03-15", 15.0), "b": ("2017-08-07", 7.0), "c": ("None", 1.0), "d": ("None", 1.0)}
+    assert validate_input(spark, df).first()["unparsed_dates"] == 1
+
+
+def test_null_flags_and_scores_stay_null_or_fall_back(spark):
+    from pyspark.sql import functions as F
+    from stayguard.operators.business import enrich_predictions
+    from stayguard.operators.features import prepare_features
+    df = frame(spark, [dict(BOOKING, company="40")]).withColumn("has_company", F.lit(None).cast("string"))
+    p = prepare_features(df)
+    assert p.first()["has_company"] == 1.0
+    out = enrich_predictions(p.withColumn("raw_score", F.lit(None).cast("double"))).first()
+    assert out["risk_score"] is None and out["cancellation_probability"] is None
+
+
+def test_given_month_number_is_kept(spark):
+    from stayguard.operators.features import prepare_features
+    row = {k: v for k, v in BOOKING.items() if k != "arrival_date_month"}
+    assert prepare_features(frame(spark, [dict(row, arrival_month_num=5)])).first()["arrival_month_num"] == 5.0

@@ -36,6 +36,14 @@ def test_train_predict_save_load(spark, prepared):
     assert all(abs(a[k] - b[k]) < 1e-12 for k in a)
 
 
+def test_a_broken_model_is_an_error_and_file_addresses_are_found(spark, prepared):
+    path = tempfile.mkdtemp(prefix="stayguard-model-")
+    os.makedirs(f"{path}/meta")
+    assert M.model_exists(spark, f"file:{path}") and not M.model_exists(spark, f"file:{path}-none")
+    with pytest.raises(Exception):
+        M.score_bookings(spark, prepared, model_path=path)
+
+
 def test_missing_model_falls_back_to_rules(spark, prepared):
     out = M.score_bookings(spark, prepared, model_path="/tmp/stayguard-no-such-model")
     assert "risk_category" in out.columns and out.count() == prepared.count()

@@ -1,16 +1,19 @@
 from __future__ import annotations
 
+import csv
+import json
 import os
 import tempfile
 
-from pyspark.sql import functions as F
+import pytest
 
-from conftest import BOOKING, SECOND
+from conftest import BOOKING, SECOND, frame
 from stayguard.operators import store as S
 from stayguard.operators.business import enrich_predictions, score_with_rules
 from stayguard.operators.features import prepare_features
 from stayguard.sources.readers import read_csv_files
-from stayguard.streaming.files import batch_status, start_file_scoring
+from stayguard.operators.store import batch_status
+from stayguard.streaming.files import start_file_scoring
 
 
 def _write_csv(path, rows, rename=None):
@@ -24,8 +27,8 @@ def _write_csv(path, rows, rename=None):
 
 def test_persist_read_back_filter_and_audit(spark, two_bookings):
     root = tempfile.mkdtemp(prefix="stayguard-store-", dir="/tmp")
-    pred = enrich_predictions(score_with_rules(prepare_features(two_bookings)))
-    bid = S.persist_predictions(spark, root, two_bookings, pred, source="test")
+    raw, pred = _scored(two_bookings)
+    bid = S.persist_predictions(spark, root, raw, pred, source="test")
     back = S.get_predictions(spark, root, bid)
     assert back.count() == 2
     assert isinstance(back.first()["top_factors"], list)
@@ -37,7 +40,67 @@ def test_persist_read_back_filter_and_audit(spark, two_bookings):
     totals, latest = S.overview(spark, root)
     assert totals.first()["bookings"] == 2
     S.export_csv(spark, root, bid, f"{root}/export")
-    assert spark.read.option("header", True).csv(f"{root}/export").count() == 2
+    files = [os.path.join(f"{root}/export", f) for f in os.listdir(f"{root}/export") if f.endswith(".csv")]
+    rows = [r for f in files for r in csv.DictReader(open(f, newline=""))]
+    assert len(rows) == 2 and all(None not in r and isinstance(json.loads(r["top_factors"]), list) for r in rows)
+
+
+def _scored(raw):
+    raw = S.with_row_id(raw)
+    return raw, enrich_predictions(score_with_rules(prepare_features(raw, keep=(S.ROW,))))
+
+
+def test_retry_after_a_crash_before_the_header(spark, two_bookings, monkeypatch):
+    root = tempfile.mkdtemp(prefix="stayguard-store-")
+    raw, pred = _scored(two_bookings)
+    done = S._replace
+
+    def dies(df, root, name):
+        if name == "batches":
+            raise RuntimeError("lost")
+        done(df, root, name)
+
+    monkeypatch.setattr(S, "_replace", dies)
+    with pytest.raises(RuntimeError):
+        S.persist_predictions(spark, root, raw, pred, "test", "b")
+    monkeypatch.setattr(S, "_replace", done)
+    assert S.get_predictions(spark, root, "b").count() == 0  # no header, so nothing is seen
+    S.persist_predictions(spark, root, raw, pred, "test", "b")
+    S.persist_predictions(spark, root, raw, pred, "test", "b")
+    assert S.get_predictions(spark, root, "b").count() == 2
+    assert S.headers(spark, root).count() == 1
+    assert S.overview(spark, root)[0].first()["bookings"] == 2
+
+
+def test_missing_and_repeated_ids_keep_their_rows(spark):
+    root = tempfile.mkdtemp(prefix="stayguard-store-")
+    for batch, rows in (("none", [{k: v for k, v in b.items() if k != "booking_id"} for b in (BOOKING, SECOND)]),
+                        ("same", [dict(BOOKING, booking_id="X"), dict(SECOND, booking_id="X")]),
+                        ("0007", [{("Booking_ID" if k == "booking_id" else k): v for k, v in b.items()} for b in (BOOKING, SECOND)])):
+        raw, pred = _scored(frame(spark, rows))
+        S.persist_predictions(spark, root, raw, pred, "test", batch)
+        back = S.get_predictions(spark, root, batch).collect()
+        assert len(back) == 2
+        assert all(float(json.loads(r["raw_json"])["adr"]) == r["adr"] for r in back)
+    with pytest.raises(ValueError):
+        S.persist_predictions(spark, root, frame(spark, [BOOKING]), pred, "test")
+
+
+def test_empty_store(spark):
+    root = tempfile.mkdtemp(prefix="stayguard-store-")
+    assert S.list_batches(spark, root).count() == 0 and S.get_batch(spark, root, "x").count() == 0
+    assert S.overview(spark, root)[0].first().asDict() == {"batches": 0, "bookings": 0, "high_risk_bookings": 0, "total_expected_loss": 0.0}
+
+
+def test_two_streams_on_one_store(spark):
+    root = tempfile.mkdtemp(prefix="stayguard-root-")
+    for row in (BOOKING, SECOND):
+        inbox, ckpt = tempfile.mkdtemp(prefix="stayguard-inbox-"), tempfile.mkdtemp(prefix="stayguard-ckpt-")
+        _write_csv(os.path.join(inbox, "m.csv"), [row])
+        start_file_scoring(spark, inbox, root, ckpt).awaitTermination(120)
+    got = S.committed(spark, root, "predictions")
+    assert sorted(r["booking_id"] for r in got.collect()) == ["B-1", "B-2"]
+    assert S.headers(spark, root).count() == 2
 
 
 def test_csv_files_with_different_headers(spark):
