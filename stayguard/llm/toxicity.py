@@ -22,6 +22,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,8 @@ HIDDEN = 8
 WORDS, WORD_DIM = 4096, 4
 CHARS, CHAR_DIM = 4096, 4
 GRAM = 4
-MAX_PER_CLASS = 2000
-EPOCHS, BATCH, RATE, DECAY = 4, 128, 0.01, 1e-3
+MAX_PER_CLASS = 1500
+EPOCHS, BATCH, RATE, DECAY = 3, 128, 0.01, 1e-3
 #: Windows of each class that an epoch draws.
 EPOCH_WINDOWS = 6000
 THRESHOLD = 0.7
@@ -367,9 +368,18 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = [known.filter(F.col("_toxic") == v).orderBy(order, "_id").limit(max_per_class) for v in (True, False)]
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.join(F.broadcast(chosen[0].unionByName(chosen[1])), "_id")  # at most two times max_per_class ids
-    rows = rows.groupBy("_text").agg(F.min("_id").alias("_id"), F.max("_toxic").alias("_toxic")).orderBy("_id").collect()  # copies teach once
+    rows = rows.groupBy("_text").agg(F.min("_id").alias("_id"), F.max("_toxic").alias("_toxic"))  # copies teach once
     total = sum(counts.values())
-    return train([r["_text"].encode() for r in rows], np.array([r["_toxic"] for r in rows], bool), counts.get(True, 0) / total if total else 0.0)
+    rate = counts.get(True, 0) / total if total else 0.0
+
+    def learn(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted((i, t, y) for b in parts for i, t, y in zip(*(b.column(c).to_pylist() for c in ("_id", "_text", "_toxic"))))
+        model = train([t.encode() for _, t, _ in sample], np.array([y for _, _, y in sample], bool), rate)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # the sample is bounded, so one task learns from it and the driver sees the weights only
+    made = rows.select("_id", "_text", "_toxic").repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else Model(rate)
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
