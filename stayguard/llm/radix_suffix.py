@@ -194,7 +194,7 @@ def _result(n: int, id_col: str, with_kept: bool):
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, kept_sha256, and on request the kept bytes."""
     table, n = B.build(docs, id_col, text_col)
-    answers = saved(B.later_copies(table, B.first_ids(table)), "copies")
+    answers = saved(B.later_copies(table, saved(B.first_ids(table), "firsts")), "copies")
     sent = B.with_answers(table, answers, _first_pass(n), B.MESSAGE)
     answers = answers.unionByName(saved(B.reduced(sent, 1, LEAD_BYTES, _in_other_blocks, B.bits), "leads"))
     sent = B.with_answers(table, answers, _second_pass(n), B.MESSAGE)
