@@ -152,6 +152,8 @@ def consistency(share: float, k: int) -> float:
 
 Z = [f"z{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+#: Parts that the rows of a group are dealt to when they meet the group's estimates.
+SALTS = 32
 ESTIMATE = "g string, start string, n bigint, mu array<double>, inv array<double>, logdet double"
 
 
@@ -188,14 +190,19 @@ def _distance() -> Column:
     return sum(((1 if i == j else 2) * F.col("inv")[i * P + j] * gaps[i] * gaps[j] for i, j in PAIRS), F.lit(0.0))
 
 
+def _dealt(estimates: DataFrame) -> DataFrame:
+    """A copy of each estimate for every salt: rows of a hot group meet it in many tasks."""
+    return estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _first_estimates(rows: DataFrame) -> DataFrame:
     """One row for each group and start."""
     middle = rows.groupBy("g").agg(F.array(*(F.percentile_approx(z, 0.5, 10000) for z in Z)).alias("mid"))
     middle = saved(middle, "medians")
-    gaps = rows.join(middle, "g")
+    gaps = rows.join(_dealt(middle), ["g", "salt"])
     scale = gaps.groupBy("g").agg(F.array(*(
         F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(z) - F.col("mid")[i]), 0.5, 10000), F.lit(FLOORS[i])) for i, z in enumerate(Z))).alias("mad"))
-    gaps = gaps.join(scale, "g")
+    gaps = gaps.join(_dealt(saved(scale, "scales")), ["g", "salt"])
     unit = [(F.col(z) - F.col("mid")[i]) / F.col("mad")[i] for i, z in enumerate(Z)]
     norm = F.greatest(F.sqrt(sum((u * u for u in unit), F.lit(0.0))), F.lit(1e-9))
     sums = gaps.groupBy("g").agg(
@@ -226,12 +233,12 @@ def fit(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
     """Reweighted MCD estimates (columns of ESTIMATE) for each group ``g`` of rows with z0, z1, ..."""
     now = saved(_first_estimates(rows), "mcd-start")
     for k in range(steps):
-        near = rows.join(now, "g").select("g", "start", *Z, _distance().alias("d2"))
+        near = rows.join(_dealt(now), ["g", "salt"]).select("g", "salt", "start", *Z, _distance().alias("d2"))
         edge = near.groupBy("g", "start").agg(F.percentile_approx("d2", share, 10000).alias("edge"))
-        kept = near.join(edge, ["g", "start"]).filter("d2 <= edge")
+        kept = near.join(_dealt(saved(edge, f"edge-{k}")), ["g", "salt", "start"]).filter("d2 <= edge")
         now = saved(_estimates(kept.groupBy("g", "start").agg(*_moments([F.col(z) for z in Z])), consistency(share, P)), f"mcd-{k}")
     best = now.groupBy("g").agg(F.min_by(F.struct("start", "mu", "inv"), F.struct("logdet", "start")).alias("b")).select("g", "b.*")
-    inside = rows.join(best, "g").filter(_distance() <= chi2_quantile(REWEIGHT, P))
+    inside = rows.join(_dealt(saved(best, "best")), ["g", "salt"]).filter(_distance() <= chi2_quantile(REWEIGHT, P))
     return saved(_estimates(inside.groupBy("g", "start").agg(*_moments([F.col(z) for z in Z])), consistency(REWEIGHT, P)), "mcd")
 
 
@@ -253,8 +260,9 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """Counts, base_failed, the squared distance (null where none applies) and kept for every document."""
     counts = base_counts(docs, (id_col, lang_col, source_col), text_col)
     counts = counts.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    rows = saved(grouped(saved(counts, "counts"), lang_col, source_col), "statistics")
+    rows = grouped(saved(counts, "counts"), lang_col, source_col)
+    rows = saved(rows.withColumn("salt", F.pmod(F.xxhash64(id_col, "n_words", "word_chars"), F.lit(SALTS)).cast("int")), "statistics")
     estimates = fit(rows.filter("not base_failed and g is not null"))
-    far = rows.join(estimates.select("g", "mu", "inv"), "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    far = rows.join(_dealt(estimates.select("g", "mu", "inv")), ["g", "salt"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return far.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                       (~F.col("base_failed") & ~F.coalesce(F.col("distance") > chi2_quantile(reject, P), F.lit(False))).alias("kept"), "distance")
