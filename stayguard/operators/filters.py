@@ -61,7 +61,7 @@ def check_row_limit(df: DataFrame, max_rows: int) -> int:
 
     ``limit(max+1).count()`` stops reading once the limit is exceeded.
     """
-    n = df.limit(int(max_rows) + 1).count()
+    n = df.limit(int(max_rows) + 1).count() if max_rows < 2 ** 31 - 1 else df.count()  # Spark's limit is an int
     if n == 0:
         raise ValueError("empty input")
     if n > max_rows:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import lead_time_bin, year_month
-from ..functions.constants import LEAD_TIME_LABELS, LEAKAGE_COLUMNS
+from ..functions.constants import LEAD_TIME_EDGES, LEAD_TIME_LABELS, LEAKAGE_COLUMNS
 from ..operators import analyze as A
 from ..operators import business as B
 from ..operators.features import prepare_features
@@ -20,9 +20,8 @@ RAW_COLUMNS = [
     "adr", "required_car_parking_spaces", "total_of_special_requests", "split",
 ]
 
-LEAD_BIN_SQL = """CASE WHEN lead_time > -1 AND lead_time <= 7 THEN '0–7' WHEN lead_time > 7 AND lead_time <= 30 THEN '8–30'
-  WHEN lead_time > 30 AND lead_time <= 90 THEN '31–90' WHEN lead_time > 90 AND lead_time <= 180 THEN '91–180'
-  WHEN lead_time > 180 AND lead_time <= 365 THEN '181–365' WHEN lead_time > 365 AND lead_time <= 1000 THEN '366+' END"""
+LEAD_BIN_SQL = "CASE " + " ".join(f"WHEN lead_time > {lo} AND lead_time <= {hi} THEN '{name}'" for lo, hi, name in zip(
+    LEAD_TIME_EDGES[:-1], LEAD_TIME_EDGES[1:], LEAD_TIME_LABELS)) + " END"
 
 
 def _rate_sql(group_expr: str, alias: str, min_count: int = 1) -> str:
@@ -448,9 +447,9 @@ def q_seeded_sample(spark, sf):
 SELECT COUNT(*) AS row_count, 28 AS column_count, 'green' AS quality_status, 1.0::DOUBLE AS schema_confidence,
   0.0::DOUBLE AS defaulted_ratio, '' AS defaulted_columns, 'reservation_status' AS leakage_removed,
   'booking_creation_date, country, split' AS ignored_columns,
-  'Целевая переменная is_canceled найдена и будет исключена из inference-признаков. | '
-  || 'Post-factum признаки обнаружены и будут удалены: reservation_status | '
-  || 'Лишние колонки не используются моделью: booking_creation_date, country, split' AS warnings
+  '$WARNING_TARGET$ | '
+  || '$WARNING_LEAKAGE$reservation_status | '
+  || '$WARNING_IGNORED$booking_creation_date, country, split' AS warnings
 FROM bookings
 """)
 def q_validation_report(spark, sf):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import inputs
 from ..functions.columns import round_binary
-from .oracle_base import BASE
+from .oracle_base import BASE, with_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,7 +24,7 @@ def register(name: str, sql: str | None = None, base: bool = True):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = (BASE + sql) if base else sql
+            ORACLE[name] = with_texts((BASE + sql) if base else sql)
         return fn
     return deco
 
@@ -138,20 +138,20 @@ def q_rule_score(spark, sf):
 FACTORS_SQL = """
 , factors AS (
   SELECT booking_id, list_filter([
-      CASE WHEN lead_time > 180 THEN 'очень длинная глубина бронирования >180 дней'
-           WHEN lead_time > 90 THEN 'длинная глубина бронирования >90 дней' END,
-      CASE WHEN deposit_type = 'No Deposit' THEN 'нет депозита' END,
-      CASE WHEN previous_cancellations > 0 THEN 'есть предыдущие отмены' END,
-      CASE WHEN total_of_special_requests = 0 THEN 'нет специальных запросов' END,
-      CASE WHEN market_segment IN ('Online TA', 'Groups') THEN 'рискованный сегмент продаж: ' || market_segment END,
-      CASE WHEN distribution_channel = 'TA/TO' THEN 'канал TA/TO' END,
-      CASE WHEN required_car_parking_spaces = 0 THEN 'нет запроса парковки' END,
-      CASE WHEN is_repeated_guest = 0 THEN 'гость не является повторным' END
+      CASE WHEN lead_time > 180 THEN '$FACTOR_VERY_LONG_LEAD$'
+           WHEN lead_time > 90 THEN '$FACTOR_LONG_LEAD$' END,
+      CASE WHEN deposit_type = 'No Deposit' THEN '$FACTOR_NO_DEPOSIT$' END,
+      CASE WHEN previous_cancellations > 0 THEN '$FACTOR_PREV_CANCEL$' END,
+      CASE WHEN total_of_special_requests = 0 THEN '$FACTOR_NO_REQUESTS$' END,
+      CASE WHEN market_segment IN ('Online TA', 'Groups') THEN '$FACTOR_RISKY_SEGMENT_PREFIX$' || market_segment END,
+      CASE WHEN distribution_channel = 'TA/TO' THEN '$FACTOR_TATO$' END,
+      CASE WHEN required_car_parking_spaces = 0 THEN '$FACTOR_NO_PARKING$' END,
+      CASE WHEN is_repeated_guest = 0 THEN '$FACTOR_NOT_REPEATED$' END
     ], lambda x: x IS NOT NULL) AS found, cancellation_probability
   FROM scored
 ), factors2 AS (
   SELECT booking_id, CASE WHEN len(found) = 0 AND cancellation_probability >= 0.8::DOUBLE
-       THEN ['комбинация признаков похожа на отмененные бронирования в истории'] ELSE found[1:5] END AS top_factors
+       THEN ['$FACTOR_GENERIC$'] ELSE found[1:5] END AS top_factors
   FROM factors
 )
 """
@@ -161,7 +161,7 @@ FACTORS_SQL = """
 SELECT s.booking_id, ROUND(s.cancellation_probability, 6) AS cancellation_probability, s.risk_category,
   ROUND(s.deposit_loss_factor, 6) AS deposit_loss_factor, ROUND(s.expected_loss, 6) AS expected_loss,
   ROUND(s.business_priority_score, 6) AS business_priority_score, s.actionable,
-  CASE WHEN s.actionable THEN 'К проверке' ELSE 'Не требует ручной проверки' END AS financial_priority,
+  CASE WHEN s.actionable THEN '$FINANCIAL_PRIORITY_REVIEW$' ELSE '$FINANCIAL_PRIORITY_NONE$' END AS financial_priority,
   s.recommended_action, array_to_string(f.top_factors, ' | ') AS top_factors
 FROM scored s JOIN factors2 f ON s.booking_id = f.booking_id
 """)
@@ -208,6 +208,7 @@ FROM scored GROUP BY {group}{lim}
 
 register("insights_risk", _insight_sql("risk_category"))(_insight("risk_category"))
 register("insights_segment", _insight_sql("market_segment", top=10))(_insight("market_segment", top=10))
+register("insights_country", _insight_sql("country", top=10))(_insight("country", top=10))
 register("insights_deposit", _insight_sql("deposit_type"))(_insight("deposit_type"))
 register("insights_actions", _insight_sql("recommended_action", with_risk=False))(
     _insight("recommended_action", with_risk=False))

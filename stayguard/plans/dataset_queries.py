@@ -337,3 +337,47 @@ def q_surrogate_text_ids(spark, sf):
     p = prepare_features(raw.withColumn("booking_id", F.when(k % 3 != 0, F.concat(F.lit("INN"), k.cast("string")))))
     return p.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("booking_id").alias("distinct_ids"),
                  F.count_if(F.startswith("booking_id", F.lit("row-"))).alias("given_by_engine"))
+
+
+@register("one_split", "SELECT booking_id, ROUND(booking_value, 6) AS booking_value FROM prepared WHERE split = 'test'")
+def q_one_split(spark, sf):
+    """S3: the prepared table written by split; one split is read (only its folder)"""
+    from ..sources.readers import read_split, write_prepared
+    path = _scratch(spark, "by-split")
+    write_prepared(inputs.prepared(spark, sf).select("booking_id", "booking_value", "split"), path)
+    return read_split(spark, path, "test").select("booking_id", r6("booking_value"))
+
+
+@register("metrics_file", "SELECT COUNT(*) AS rows, ROUND(AVG(is_canceled), 6) AS cancel_rate FROM bookings")
+def q_metrics_file(spark, sf):
+    """Metrics written as JSON and read back"""
+    from ..operators.store import write_metrics
+    path = _scratch(spark, "metrics")
+    m = inputs.raw(spark, sf).agg(F.count(F.lit(1)).alias("rows"), F.avg("is_canceled").alias("cancel_rate")).first().asDict()
+    write_metrics(spark, m, path)
+    return spark.read.json(path).select("rows", r6("cancel_rate"))
+
+
+@register("row_limit", "SELECT COUNT(*) AS rows, COUNT(*) > 1000 AS too_many FROM bookings")
+def q_row_limit(spark, sf):
+    """A bound on the input rows that is met, and one that is not"""
+    from ..operators.filters import check_row_limit
+    raw = inputs.raw(spark, sf)
+    n = check_row_limit(raw, 10 ** 12)
+    try:
+        check_row_limit(raw, 1000)
+        over = False
+    except ValueError:
+        over = True
+    return spark.createDataFrame([(n, over)], "rows long, too_many boolean")
+
+
+@register("feature_selection", "SELECT UNNEST(['adr', 'babies', 'children', 'lead_time', 'adults', 'hotel', 'meal', 'country']) AS column, "
+          "UNNEST(['number', 'number', 'number', 'number', 'number', 'category', 'category', 'category']) AS kind WHERE (SELECT COUNT(*) FROM bookings) >= 0")
+def q_feature_selection(spark, sf):
+    """Model inputs by type; target, leakage and denied columns are left out"""
+    from ..operators.models import select_feature_columns
+    raw = inputs.raw(spark, sf).select("adr", "babies", "children", "lead_time", "adults", "hotel", "meal", "country", "is_canceled", "reservation_status",
+                                       "arrival_date", "agent")
+    numbers, categories = select_feature_columns(raw, deny=("agent",))
+    return spark.createDataFrame([(c, "number") for c in numbers] + [(c, "category") for c in categories], "column string, kind string")

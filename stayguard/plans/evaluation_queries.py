@@ -295,7 +295,9 @@ def q_freq_encode(spark, sf):
     return ENC.frequency_table(p, FREQ_COLS).select("column", "key", "n", r6("freq_log"))
 
 
-CLIP_COLS = ["lead_time", "adr", "booking_value"]
+CLIP_COLS = ["lead_time", "adr", "booking_value", "stays_in_weekend_nights", "stays_in_week_nights", "total_nights", "adults", "children", "babies",
+             "total_guests", "previous_cancellations", "previous_bookings_not_canceled", "required_car_parking_spaces", "total_of_special_requests",
+             "arrival_date_year", "arrival_month_num", "arrival_date_week_number", "arrival_date_day_of_month"]
 
 
 @register("quantile_clip", """

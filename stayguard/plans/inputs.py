@@ -13,18 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.business import enrich_predictions, score_with_rules
 from ..operators.features import prepare_features
 from ..session import ensure_checkpoint_dir
-from ..sources.bookings import booking_view
+from ..sources.bookings import booking_view, table_stamp
 
 CARRY = ("is_canceled", "split", "booking_creation_date")
 
-_PLANS: dict[tuple[int, str, str], DataFrame] = {}
+TABLES = ("orders", "lineitem", "customer", "nation")
+
+_PLANS: dict[tuple[int, str, str], tuple] = {}
 
 
 def memo(spark: SparkSession, sf_dir: str, kind: str, build) -> DataFrame:
     key = (id(spark._jsparkSession), sf_dir.rstrip("/"), kind)
-    if key not in _PLANS:
-        _PLANS[key] = build()
-    return _PLANS[key]
+    stamp = tuple(table_stamp(spark, sf_dir, t) for t in TABLES)  # a plan holds the file listing of its tables
+    if _PLANS.get(key, (None,))[0] != stamp:
+        _PLANS[key] = (stamp, build())
+    return _PLANS[key][1]
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,14 +27,14 @@ SELECT booking_id, risk_category,
     AS deposit_loss_factor,
   ROUND(risk_score * booking_value * CASE deposit_type WHEN 'No Deposit' THEN 1.0::DOUBLE WHEN 'Refundable' THEN 0.8::DOUBLE
         WHEN 'Non Refund' THEN 0.05::DOUBLE ELSE 1.0::DOUBLE END, 6) AS expected_loss,
-  CASE WHEN total_of_special_requests = 0 AND required_car_parking_spaces = 0 THEN 'нет спецзапросов и parking request'
-       WHEN lead_time > 90 THEN 'длинный lead_time' WHEN previous_cancellations > 0 THEN 'есть предыдущие отмены'
-       ELSE 'комбинация факторов модели' END AS why_risky,
-  CASE WHEN deposit_type = 'Non Refund' THEN 'низкий финансовый приоритет; проверить оплату/условия удержания; учитывать в прогнозе загрузки'
-       WHEN risk_category IN ('Critical', 'High') AND deposit_type = 'No Deposit' THEN 'высокий приоритет: запросить подтверждение, предложить депозит/невозвратный тариф, учесть в overbooking'
-       WHEN risk_category IN ('Critical', 'High') AND deposit_type = 'Refundable' THEN 'средний/высокий приоритет: напоминание, уточнение намерения приехать, контроль срока бесплатной отмены'
-       WHEN risk_category = 'Medium' THEN 'мягкое напоминание или мониторинг без ручной эскалации'
-       ELSE 'без дополнительных действий' END AS recommended_action
+  CASE WHEN total_of_special_requests = 0 AND required_car_parking_spaces = 0 THEN '$NB_WHY_NO_REQUESTS$'
+       WHEN lead_time > 90 THEN '$NB_WHY_LONG_LEAD$' WHEN previous_cancellations > 0 THEN '$FACTOR_PREV_CANCEL$'
+       ELSE '$NB_WHY_DEFAULT$' END AS why_risky,
+  CASE WHEN deposit_type = 'Non Refund' THEN '$NB_ACTION_NON_REFUND$'
+       WHEN risk_category IN ('Critical', 'High') AND deposit_type = 'No Deposit' THEN '$NB_ACTION_NO_DEPOSIT$'
+       WHEN risk_category IN ('Critical', 'High') AND deposit_type = 'Refundable' THEN '$NB_ACTION_REFUNDABLE$'
+       WHEN risk_category = 'Medium' THEN '$NB_ACTION_MEDIUM$'
+       ELSE '$NB_ACTION_NONE$' END AS recommended_action
 FROM scored
 """)
 def q_notebook_rules(spark, sf):

@@ -2,9 +2,20 @@
 feature preparation and rule scoring on it. Each oracle query appends its own
 CTEs / final SELECT to ``BASE``. Rules for a clean match: doubles are forced
 (``::DOUBLE``) wherever Spark computes in double, every double is rounded to 6
-places in the final projection, counts are BIGINT.
+places in the final projection, counts are BIGINT. ``$NAME$`` stands for the text
+constant of that name.
 """
 
+import re
+
+from ..functions import constants
+
+
+def with_texts(sql: str) -> str:
+    """The SQL with its text constants filled in."""
+    return re.sub(r"\$([A-Z][A-Z0-9_]*)\$", lambda m: getattr(constants, m[1]).replace("'", "''"), sql)
+
+
 BOOKING_VIEW = """
 WITH li AS (
   SELECT l_orderkey, COUNT(*) AS n_lines,
@@ -119,11 +130,11 @@ SCORED = """
 ), scored AS (
   SELECT *, expected_loss AS business_priority_score,
     (risk_category IN ('High', 'Critical') AND expected_loss >= 100.0::DOUBLE) AS actionable,
-    CASE WHEN risk_category IN ('High', 'Critical') AND expected_loss < 100.0::DOUBLE THEN 'Не требует ручной проверки'
-         WHEN risk_category = 'Critical' THEN 'Передать на ручную проверку'
-         WHEN risk_category = 'High' THEN 'Проверить условия бронирования и запросить подтверждение'
-         WHEN risk_category = 'Medium' THEN 'Отправить напоминание и запрос подтверждения'
-         ELSE 'Без дополнительных действий' END AS recommended_action
+    CASE WHEN risk_category IN ('High', 'Critical') AND expected_loss < 100.0::DOUBLE THEN '$ACTION_LOW_FINANCIAL_PRIORITY$'
+         WHEN risk_category = 'Critical' THEN '$ACTION_MANUAL_REVIEW$'
+         WHEN risk_category = 'High' THEN '$ACTION_DEPOSIT_REVIEW$'
+         WHEN risk_category = 'Medium' THEN '$ACTION_CONFIRMATION$'
+         ELSE '$ACTION_NO_ACTION$' END AS recommended_action
   FROM s1
 )
 """

@@ -211,8 +211,12 @@ def q_booking_text(spark, sf):
 
 
 @register("prediction_records", """
-SELECT CAST(booking_id AS VARCHAR) AS booking_id, hotel, CAST(arrival_date AS VARCHAR) AS arrival_date, market_segment,
-  ROUND(expected_loss, 6) AS expected_loss, risk_category, recommended_action
+SELECT CAST(booking_id AS VARCHAR) AS booking_id, hotel, CAST(arrival_date AS VARCHAR) AS arrival_date, market_segment, distribution_channel,
+  deposit_type, customer_type, ROUND(adr, 6) AS adr, ROUND(total_nights, 6) AS total_nights, ROUND(booking_value, 6) AS booking_value,
+  ROUND(risk_score, 6) AS risk_score, ROUND(cancellation_probability, 6) AS cancellation_probability, risk_category,
+  ROUND(expected_loss, 6) AS expected_loss, ROUND(business_priority_score, 6) AS business_priority_score,
+  ROUND(deposit_loss_factor, 6) AS deposit_loss_factor, actionable,
+  CASE WHEN actionable THEN '$FINANCIAL_PRIORITY_REVIEW$' ELSE '$FINANCIAL_PRIORITY_NONE$' END AS financial_priority, recommended_action
 FROM scored ORDER BY business_priority_score DESC NULLS LAST, booking_id LIMIT 100
 """)
 def q_prediction_records(spark, sf):
@@ -221,7 +225,9 @@ def q_prediction_records(spark, sf):
     top = R.top_n(s.select(*PREDICTION_COLUMNS), 100, R.priority_order(s))
     return top.select(F.col("booking_id").cast("string").alias("booking_id"), "hotel",
                       F.substring(F.col("arrival_date").cast("string"), 1, 10).alias("arrival_date"),
-                      "market_segment", r6("expected_loss"), "risk_category", "recommended_action")
+                      "market_segment", "distribution_channel", "deposit_type", "customer_type", r6("adr"), r6("total_nights"), r6("booking_value"),
+                      r6("risk_score"), r6("cancellation_probability"), "risk_category", r6("expected_loss"), r6("business_priority_score"),
+                      r6("deposit_loss_factor"), "actionable", "financial_priority", "recommended_action")
 
 
 @register("preview", """

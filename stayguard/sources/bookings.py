@@ -24,17 +24,23 @@ TRAIN_CUTOFF = "1999-06-30"
 VALID_CUTOFF = "2000-06-30"
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
+_TABLES: dict[tuple[int, str], tuple[int, DataFrame]] = {}
+
+
+def table_stamp(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """When the table's file or folder last changed (one metadata call)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet table of the given folder; the resolved relation is reused within a session
-    (file listing and footer reads happen once per table, not once per query)."""
+    """Parquet table of the given folder; the file listing is reused within a session until the
+    table changes."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark._jsparkSession), path)
-    if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(path)
-    return _TABLES[key]
+    key, stamp = (id(spark._jsparkSession), path), table_stamp(spark, sf_dir, name)
+    if _TABLES.get(key, (None,))[0] != stamp:
+        _TABLES[key] = (stamp, spark.read.parquet(path))
+    return _TABLES[key][1]
 
 
 def _int(c: Column) -> Column:
