@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewise import flat
-from .scratch import bucketed, input_bytes
+from .scratch import bucketed
 
 BLOCK_BYTES = 2 << 20
 #: Most texts in a block; ranks in a block fit 16 bits.
 BLOCK_TEXTS = 1 << 15
-#: Input bytes for a bucket of blocks and for a range of keys.
-BUCKET_BYTES, RANGE_BYTES = 16 << 20, 4 << 20
+#: Bytes of text for a bucket of blocks and for a range of keys.
+BUCKET_BYTES, RANGE_BYTES = 32 << 20, 8 << 20
+#: Least number of key ranges.
+LEAST_RANGES = 128
 SCHEMA = "block bigint, ids array<bigint>, digests array<binary>, lens array<int>, blob binary"
 MESSAGE = "p int, block bigint, keys binary, more binary"
 ANSWER = "block bigint, kind int, p int, answer binary"
@@ -80,10 +82,12 @@ def build(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
             yield block(ids, texts)
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null")
-    size = input_bytes(docs)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = bucketed(narrow.mapInArrow(pack, SCHEMA), "blocks", "block", max(parts, -(-size // BUCKET_BYTES)))
-    return table, max(128, -(-size // RANGE_BYTES))
+    size = narrow.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    conf = docs.sparkSession.conf
+    buckets = max(int(conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    most = int(conf.get("spark.sql.sources.bucketing.maxBuckets"))  # beyond it a task reads more blocks, one after the other
+    table = bucketed(narrow.mapInArrow(pack, SCHEMA), "blocks", "block", min(buckets, most))
+    return table, max(LEAST_RANGES, -(-size // RANGE_BYTES))
 
 
 def first_ids(blocks: DataFrame) -> DataFrame:
@@ -121,19 +125,20 @@ def with_answers(blocks: DataFrame, answers: DataFrame, work: Callable[[Block, p
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(one, schema)
 
 
-def ranges(keys: np.ndarray, bits: int, n: int) -> np.ndarray:
-    """Bounds, in sorted keys of so many bits, of n ranges of equal width."""
-    edges = np.array([-(-(p << bits) // n) for p in range(1, n)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+def ranges(keys: np.ndarray, bits: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of n ranges (of equal width, n below 2**32) sorted keys of so many bits fall in, and the
+    bounds of each in the keys; ranges without keys are left out."""
+    p = ((keys >> np.uint64(bits - 32)) * np.uint64(n)) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
+    return p[first].astype(np.int64), np.concatenate([first, [len(keys)]])
 
 
 def messages(block: int, keys: np.ndarray, bits: int, n: int, width: int, more: Callable[[int, int], bytes]) -> pd.DataFrame:
     """Rows of MESSAGE: the low ``width`` bytes of sorted keys by range, and what ``more`` gives for a slice."""
-    at = ranges(keys, bits, n)
+    some, at = ranges(keys, bits, n)
     raw = np.ascontiguousarray(keys, "<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    some = [p for p in range(n) if at[p] < at[p + 1]]
-    return pd.DataFrame({"p": some, "block": block, "keys": [raw[at[p]:at[p + 1]].tobytes() for p in some],
-                         "more": [more(at[p], at[p + 1]) for p in some]})
+    cuts = list(zip(at[:-1].tolist(), at[1:].tolist()))
+    return pd.DataFrame({"p": some, "block": block, "keys": [raw[a:b].tobytes() for a, b in cuts], "more": [more(a, b) for a, b in cuts]})
 
 
 def unpacked(raw: bytes, width: int) -> np.ndarray:
@@ -170,8 +175,9 @@ def bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
 
-def unbits(right: pd.DataFrame, kind: int, counts: np.ndarray) -> np.ndarray:
-    """Flags of a kind for a block that sent so many keys in each range."""
+def unbits(right: pd.DataFrame, kind: int, keys: np.ndarray, bits: int, n: int) -> np.ndarray:
+    """Flags of a kind for the sorted keys that a block sent."""
     own = dict(zip(*(right[right["kind"] == kind][c] for c in ("p", "answer"))))
-    parts = [np.unpackbits(np.frombuffer(own[p], np.uint8), count=int(n)) for p, n in enumerate(counts) if n]
+    some, at = ranges(keys, bits, n)
+    parts = [np.unpackbits(np.frombuffer(own[p], np.uint8), count=k) for p, k in zip(some.tolist(), np.diff(at).tolist())]
     return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)

@@ -120,10 +120,6 @@ class Groups:
         self.least = block.ids[self.first_rank]
 
 
-def _counts(keys: np.ndarray, bits: int, n: int) -> np.ndarray:
-    return np.diff(B.ranges(keys, bits, n))
-
-
 def _first_pass(n: int):
     def work(block: B.Block, right: pd.DataFrame) -> Iterator[pd.DataFrame]:
         s = Suffixes(block, B.answers_of(right, 0))
@@ -141,7 +137,7 @@ def _in_other_blocks(order: np.ndarray, starts: np.ndarray, lens: np.ndarray, mo
 def _second_pass(n: int):
     def work(block: B.Block, right: pd.DataFrame) -> Iterator[pd.DataFrame]:
         s = Suffixes(block, B.answers_of(right, 0))
-        g = Groups(block, *s.go_on(B.unbits(right, 1, _counts(s.digits, LEAD_BITS, n))))
+        g = Groups(block, *s.go_on(B.unbits(right, 1, s.digits, LEAD_BITS, n)))
 
         def ids(a: int, b: int) -> bytes:
             some, which = np.unique(g.first_rank[a:b], return_inverse=True)
@@ -167,9 +163,9 @@ def _smaller_elsewhere(order: np.ndarray, starts: np.ndarray, lens: np.ndarray,
 def _result(n: int, id_col: str, with_kept: bool):
     def work(block: B.Block, right: pd.DataFrame) -> Iterator[pd.DataFrame]:
         s = Suffixes(block, B.answers_of(right, 0))
-        at, digits = s.go_on(B.unbits(right, 1, _counts(s.digits, LEAD_BITS, n)))
+        at, digits = s.go_on(B.unbits(right, 1, s.digits, LEAD_BITS, n))
         g = Groups(block, at, digits)
-        gone = B.unbits(right, 2, _counts(g.digits, 64, n))[g.inverse] | (block.ids[g.rank] > g.least[g.inverse])
+        gone = B.unbits(right, 2, g.digits, 64, n)[g.inverse] | (block.ids[g.rank] > g.least[g.inverse])
         edge = np.zeros(len(block.data) + 1, np.int32)
         edge[at[gone]] += 1
         edge[at[gone] + WINDOW] -= 1

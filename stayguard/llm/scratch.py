@@ -32,8 +32,3 @@ def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
     (df.write.format("parquet").option("compression", "none").option("path", folder(spark, name))
        .bucketBy(n, key).saveAsTable(table))
     return spark.table(table)
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of ``df`` (file sizes for a scan); no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
