@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import saved
+
 END = "<|end|>\n"
 
 
@@ -86,6 +88,7 @@ def shared_opening_pairs(convs: DataFrame) -> DataFrame:
     """The first conversation (by id) of those that open alike as chosen, against each other one."""
     opening = convs.withColumn("opening", F.sha2(F.to_json(F.get("turns", F.lit(0))), 256))
     first = opening.groupBy("opening").agg(F.min("conv").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = saved(first.select("opening", "first"), "openings")  # so that the join below can split an opening that many share
     others = opening.join(first, "opening").filter("conv <> first").select("conv", "first", F.col("turns").alias("rejected"))
     return others.join(convs.select(F.col("conv").alias("first"), F.col("turns").alias("chosen")), "first").select(
         F.concat(F.lit("opening:"), F.col("first"), F.lit(":"), F.col("conv")).alias("pair_id"), "chosen", "rejected")
@@ -93,7 +96,7 @@ def shared_opening_pairs(convs: DataFrame) -> DataFrame:
 
 def preference_rows(turns: DataFrame) -> DataFrame:
     """Both kinds of pairs of a table of turns, formatted."""
-    convs = conversations(turns)
+    convs = saved(conversations(turns), "conversations")
     return formatted(stale_reply_pairs(convs).unionByName(shared_opening_pairs(convs)))
 
 
