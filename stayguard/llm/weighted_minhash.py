@@ -3,8 +3,9 @@
 1. Exact copies: texts with equal bytes are one text, the one with the least id.
 2. Document frequencies of all five-word shingles over distinct texts, by blocks of texts and
    key ranges (see ``blocks``). A shingle's weight is tf * idf with
-   idf = 1 + ln((1 + N) / (1 + df)) / ln(1 + N), from 1 (in all texts) to 2; df is kept in
-   steps of 2**(1/8).
+   idf = 1 + ln((1 + N) / (1 + df)) / (2 ln(1 + N)), from 1 (in all texts) to 1.5, so that what
+   thousands of near copies share still outweighs where they differ; df is kept in steps of
+   2**(1/8).
 3. ICWS: K samples of each text, each drawn in proportion to weight and equal for two texts
    with the probability of their weighted Jaccard similarity. The draws of a shingle come
    from tables that are indexed by its hash.
@@ -93,7 +94,7 @@ class Shingles:
 def idf_table(n_texts: int) -> np.ndarray:
     """Weight of each code of a document frequency."""
     df = 2.0 ** (np.arange(256) / 8)
-    return np.clip(1 + np.log((1 + n_texts) / (1 + df)) / np.log(1 + max(1, n_texts)), 1, 2)
+    return np.clip(1 + 0.5 * np.log((1 + n_texts) / (1 + df)) / np.log(1 + max(1, n_texts)), 1, 1.5)
 
 
 @functools.lru_cache(maxsize=1)
