@@ -93,7 +93,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes whose sums are made at a time.
+HASH_BYTES = (1 << 19) - 1
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range: equal content, equal hash, wherever it stands."""
-    sums, (_, down) = prefix(data), powers(len(data) + 1)
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """64-bit hash of each byte range: equal content, equal hash, wherever it stands.
+
+    Ranges are in order of their starts and ends. Memory is bounded by HASH_BYTES or the longest range.
+    """
+    out, first = np.empty(len(starts), np.uint64), 0
+    while first < len(starts):
+        begin = int(starts[first])
+        last = max(first + 1, int(np.searchsorted(ends, begin + HASH_BYTES, "right")))
+        part = data[begin:int(ends[last - 1])]
+        sums, (_, down) = prefix(part), powers(len(part) + 1)
+        a = starts[first:last] - begin
+        out[first:last] = mix((sums[ends[first:last] - begin] - sums[a]) * down[a])
+        first = last
+    return out

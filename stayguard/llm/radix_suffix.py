@@ -40,7 +40,7 @@ from .scratch import saved
 WINDOW = 50
 LEAD = 24
 SPAN = WINDOW - LEAD + 1  # leading blocks of a window
-SLICE = 1 << 20  # suffixes whose digits are made at a time
+SLICE = (1 << 19) - 64  # suffixes whose digits are made at a time
 LEAD_BITS, LEAD_BYTES = 48, 5
 
 

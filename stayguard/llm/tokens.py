@@ -19,8 +19,8 @@ import numpy as np
 from .bytewise import hashes, words
 
 #: Chunks and ids kept in a worker; the table is emptied when it is full.
-KEPT_CHUNKS = 900_000
-KEPT_IDS = 8_000_000
+KEPT_CHUNKS = 600_000
+KEPT_IDS = 6_000_000
 CLOSING = b".,!?;:"
 MOST_CLOSING = 3
 

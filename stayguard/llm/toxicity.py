@@ -253,12 +253,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50
     return w
 
 
-def _documents_with(kind: np.ndarray, toxic: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Toxic and other documents of each kind, from distinct (kind, document) pairs."""
-    k = np.bincount(kind, weights=toxic, minlength=n)
-    return k, np.bincount(kind, minlength=n) - k
-
-
 def _suspicion(k: np.ndarray, m: np.ndarray, rate: float) -> np.ndarray:
     """How far the toxic documents among k + m exceed what the rate lets expect, in about standard deviations."""
     expected = (k + m) * rate
@@ -274,15 +268,16 @@ def train(texts: list[bytes], toxic: np.ndarray, rate: float, seed: int = 7) ->
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     tokens = Tokens(np.frombuffer(b"".join(texts), np.uint8), offsets)
     text_of = np.repeat(np.arange(len(texts)), np.diff(tokens.first))
-    pairs = np.unique(tokens.which * len(texts) + text_of)
-    has, of = pairs // len(texts), pairs % len(texts)
     share = toxic.mean()
-    k, m = _documents_with(has, toxic[of], len(tokens.hash))
     kinds, which = np.unique(tokens.grams, return_inverse=True)
-    sizes = tokens.sizes[has]
-    at = np.repeat(tokens.begin[has] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-    both = np.unique(which[at] * len(texts) + np.repeat(of, sizes))
-    gk, gm = _documents_with(both // len(texts), toxic[both % len(texts)], len(kinds))
+    m, k = np.zeros((2, len(tokens.hash)))  # documents of either class with each token, and with each character sequence
+    gm, gk = np.zeros((2, len(kinds)))
+    for d in range(len(texts)):
+        has = np.unique(tokens.which[tokens.first[d]:tokens.first[d + 1]])
+        sizes = tokens.sizes[has]
+        at = np.repeat(tokens.begin[has] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        (k if toxic[d] else m)[has] += 1
+        (gk if toxic[d] else gm)[np.unique(which[at])] += 1
     model = Model(rate, Network(seed), Scores(tokens.hash, _suspicion(k, m, share)), Scores(kinds, _suspicion(gk, gm, share)))
     without = []  # the two scores of each token in a harmless, and in a toxic document, without that document
     for own in (0, 1):
