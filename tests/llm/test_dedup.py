@@ -50,8 +50,11 @@ def test_removed_bytes_are_exact(spark, seed, monkeypatch):
 
 def test_rolling_hashes_do_not_depend_on_place():
     data = np.frombuffer(b"abcabcXabc", np.uint8)
-    h = X.hashes(data, np.array([0, 3, 7, 1]), np.array([3, 6, 10, 4]))
-    assert h[0] == h[1] == h[2] != h[3]
+    h = X.hashes(data, np.array([0, 1, 3, 7]), np.array([3, 4, 6, 10]))
+    assert h[0] == h[2] == h[3] != h[1]
+    long = np.frombuffer(bytes(range(256)) * 9000, np.uint8)  # longer than what is summed at a time
+    at = np.arange(0, len(long) - 256, 256)
+    assert len(set(X.hashes(long, at, at + 200).tolist())) == 1 and X.hashes(long, np.array([0]), np.array([len(long)])).size == 1
     least = radix_suffix._least(np.arange(100, 0, -1).astype(np.uint64))
     assert least.tolist() == [100 - i - radix_suffix.SPAN + 1 for i in range(100 - radix_suffix.SPAN + 1)]
 
