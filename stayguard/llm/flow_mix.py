@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.filters import id_hash
 from .bytewise import word_counts
 from .scratch import saved
 
@@ -128,11 +130,11 @@ def mix(items: DataFrame, quota: dict, id_col: str = "doc_id", members_col: str
     """
     spark = items.sparkSession
     key = F.to_json(F.array_sort(F.array_distinct(members_col)))
-    rows = items.withColumn("_pattern", key).withColumn("_hash", F.xxhash64(F.lit(seed), id_col)) \
+    rows = items.withColumn("_pattern", key).withColumn("_hash", id_hash(F.col(id_col), seed)) \
         .withColumn("_bucket", F.pmod("_hash", F.lit(BUCKETS)).cast("int"))
     sums = saved(rows.groupBy("_pattern", "_bucket").agg(F.sum(size_col).alias("_sum")), "bucket-sums")
     capacity = {r["_pattern"]: int(r["n"]) for r in sums.groupBy("_pattern").agg(F.sum("_sum").alias("n")).collect()}
-    whole = {s: max(0, round(q)) for s, q in quota.items()}
+    whole = {s: max(0, math.floor(q + 0.5)) for s, q in quota.items()}
     flow: dict[str, int] = dict.fromkeys(capacity, 0)
     for (p, _), n in route(capacity, {p: [s for s in json.loads(p) if s in whole] for p in capacity}, whole, costs).items():
         flow[p] += n
@@ -172,4 +174,37 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     facts = docs.sparkSession.createDataFrame([(s, by_source[s], goal[s]) for s in goal],
                                               f"_source {docs.schema[source_col].dataType.simpleString()}, source_size bigint, target double")
     return rows.join(facts, F.col(source_col).eqNullSafe(F.col("_source")), "left") \
-        .select(id_col, "size", "source_size", "target", "taken", source_col)
+        .select(id_col, "size", "source_size", F.round("target", 6).alias("target"), "taken", source_col)
+
+
+#: The result of ``mixed`` in SQL (a document belongs to one source). The level of the weighted shares is
+#: found among the sources in the order of three sizes per weight: those before it are full.
+SQL = f"""
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, row_number() OVER () AS row FROM documents
+), sources AS (
+  SELECT source, SUM(size) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM docs GROUP BY source
+), ordered AS (
+  SELECT *, {MAX_REPEATS} * n / w AS full_at, SUM(n) OVER () AS total,
+    coalesce(SUM({MAX_REPEATS} * n) OVER (ORDER BY {MAX_REPEATS} * n / w, w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+    SUM(w) OVER (ORDER BY {MAX_REPEATS} * n / w, w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM sources
+), level AS (
+  SELECT coalesce(MAX((total - filled) / weights) FILTER (WHERE (total - filled) / weights <= full_at), 1e300) AS level FROM ordered
+), goals AS (
+  SELECT source, n, LEAST({MAX_REPEATS} * n, level * w) AS target, CAST(FLOOR(LEAST({MAX_REPEATS} * n, level * w) + 0.5) AS BIGINT) AS quota FROM ordered, level
+), hashed AS (
+  SELECT d.*, n, target, LEAST(quota, {MAX_REPEATS} * n) AS flow, CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+  FROM docs d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source
+), placed AS (
+  SELECT *, CASE WHEN n > 0 THEN flow // n ELSE 0 END AS times, CASE WHEN n > 0 THEN flow % n ELSE 0 END AS rest,
+    SUM(size) OVER (PARTITION BY source ORDER BY h % {BUCKETS}, h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM hashed
+), chosen AS (SELECT *, CASE WHEN upto <= rest THEN 1 ELSE 0 END AS more FROM placed),
+missing AS (SELECT *, rest - SUM(size * more) OVER (PARTITION BY source) AS miss FROM chosen),
+spare AS (
+  SELECT *, CASE WHEN more = 0 AND miss > 0 AND ABS(size - miss) < miss THEN row_number() OVER (PARTITION BY source, more = 0 AND miss > 0 AND ABS(size - miss) < miss
+    ORDER BY ABS(size - miss), h, size) END AS nth FROM missing
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS source_size, ROUND(CAST(target AS DOUBLE), 6) AS target,
+  CAST(size * (times + more + CASE WHEN nth = 1 THEN 1 ELSE 0 END) AS BIGINT) AS taken, source
+FROM spare
+"""

@@ -33,7 +33,7 @@ def op8(spark, sf):
     return pattern_pack.packed(table(spark, sf, "documents"), public_tokenizers.path(WORD_BPE))
 
 
-@query("op4_flow_mix")
+@query("op4_flow_mix", flow_mix.SQL)
 def op4(spark, sf):
     return flow_mix.mixed(table(spark, sf, "documents"))
 
@@ -58,7 +58,7 @@ def op1(spark, sf):
     return robust_quality.judged(table(spark, sf, "documents"))
 
 
-@query("op2_secret_ownership")
+@query("op2_secret_ownership", secret_ownership.SQL)
 def op2(spark, sf):
     return secret_ownership.scanned(table(spark, sf, "documents")).drop("found", "digest")
 
@@ -68,12 +68,12 @@ def op5(spark, sf):
     return preference.preference_rows(table(spark, sf, "conversations"))
 
 
-@query("op6_radix_suffix")
+@query("op6_radix_suffix", radix_suffix.SQL)
 def op6(spark, sf):
     return radix_suffix.removed(table(spark, sf, "documents"))
 
 
-@query("op3_weighted_minhash")
+@query("op3_weighted_minhash", weighted_minhash.SQL)
 def op3(spark, sf):
     return weighted_minhash.classes(table(spark, sf, "documents"))
 

@@ -202,3 +202,25 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wit
         F.lit(None).cast("long").alias(id_col), F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), *([text.alias("kept")] if with_kept else []))
     return out.unionByName(rest)
+
+
+#: The same result in SQL, from all windows of all texts as hexadecimal text.
+SQL = """
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), windows AS (
+  SELECT row, doc_id, i, substr(h, 2 * i + 1, 100) AS w FROM (SELECT *, UNNEST(range(n - 49)) AS i FROM docs WHERE n >= 50)
+), flagged AS (
+  SELECT row, i FROM (SELECT row, doc_id, i, MIN(doc_id) OVER (PARTITION BY w) AS first FROM windows) WHERE first < doc_id
+), stepped AS (
+  SELECT row, i, CASE WHEN i <= LAG(i) OVER (PARTITION BY row ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM flagged
+), runs AS (
+  SELECT row, MIN(i) AS a, MAX(i) + 50 AS b FROM (SELECT row, i, SUM(new) OVER (PARTITION BY row ORDER BY i) AS run FROM stepped) GROUP BY row, run
+), cuts AS (
+  SELECT row, COUNT(*) AS n_spans, SUM(b - a) AS n_removed, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM runs GROUP BY row
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN unhex(h) ELSE unhex(array_to_string(list_transform(range(n_spans + 1), lambda k:
+    substr(h, CASE WHEN k = 0 THEN 1 ELSE 2 * ends[k] + 1 END, 2 * (CASE WHEN k = n_spans THEN n ELSE starts[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE ends[k] END))), '')) END) AS kept_sha256
+FROM docs LEFT JOIN cuts USING (row)
+"""

@@ -134,3 +134,46 @@ def masked(text: Column, found: Column, mask: str = "<SECRET>") -> Column:
 
     return F.when(F.size(live) == 0, text).otherwise(
         F.aggregate(live, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+
+
+def _matches(kind: int, pattern: str, group: int) -> str:
+    """SQL for all matches of a kind: what lies between them gives their places."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+  SELECT row, {kind} AS kind, length(v[i + 1]) AS size, v[i + 1] AS value,
+    CAST(list_sum(list_transform(g[1:(i + 1)], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0) AS BIGINT) AS a, length(m[i + 1]) AS w
+  FROM (SELECT *, UNNEST(range(len(m))) AS i FROM (SELECT row, regexp_extract_all(t, '{quoted}') AS m, regexp_extract_all(t, '{quoted}', {group}) AS v,
+    string_split_regex(t, '{quoted}') AS g FROM docs))"""
+
+
+_LIKE_LIVE = (f"len(list_distinct(string_split(value, ''))) >= {MIN_DISTINCT} AND regexp_matches(value, '[0-9]') "
+              f"AND NOT regexp_matches(value, '{PLACEHOLDER}')")
+#: The query's result in SQL; DuckDB has no look-behind, but runs of the class are maximal without it.
+SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, source, lang FROM documents),
+base AS (
+  SELECT row, kind, value, a, a + w AS z FROM ({_matches(0, ASSIGN, 1)} UNION ALL {_matches(1, ACCESS, 1)} UNION ALL {_matches(2, HEX, 1)})
+  WHERE size >= CASE kind WHEN 0 THEN {LEAST["assign"]} WHEN 1 THEN {LEAST["access"]} ELSE {LEAST["hex"]} END
+), tokens AS (
+  SELECT row, kind, value, a, a + w AS z FROM ({_matches(3, "([A-Za-z0-9+/_=-]{20,})", 1)})
+  WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+), spans AS (
+  SELECT * FROM base UNION ALL
+  SELECT * FROM tokens t WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row = t.row AND t.a < b.z AND b.a < t.z)
+), held AS (
+  SELECT value, COUNT(DISTINCT coalesce(source, chr(1))) AS owners FROM spans JOIN docs USING (row) GROUP BY value
+), judged AS (
+  SELECT *, owners <= {MAX_OWNERS} AS few, owners <= {MAX_OWNERS} AND {_LIKE_LIVE} AS mine FROM spans JOIN held USING (value)
+), kept AS (
+  SELECT *, CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'owned' END || ':' || a || ':' || z AS name
+  FROM judged WHERE kind < 3 OR mine
+), sums AS (
+  SELECT row, COUNT(*) FILTER (WHERE kind = 0) AS n_assign, COUNT(*) FILTER (WHERE kind = 1) AS n_access, COUNT(*) FILTER (WHERE kind = 2) AS n_hex,
+    string_agg(name, ',' ORDER BY a, kind) FILTER (WHERE kind < 3) AS base_names, string_agg(name, ',' ORDER BY a, kind) AS names,
+    COUNT(*) FILTER (WHERE mine) AS n_live, COUNT(*) FILTER (WHERE NOT few) AS n_example
+  FROM kept GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_names, '')) AS base_sha256,
+  coalesce(names, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM docs LEFT JOIN sums USING (row)
+"""

@@ -273,3 +273,29 @@ def _labelled(rows: DataFrame, table: DataFrame, firsts: DataFrame, found: DataF
     out = own.join(found, "first", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "first").alias("class_id"))
     missing = rows.filter("id is null").select(F.col("id").alias(id_col), F.lit(None).cast("long").alias("class_id"))
     return out.unionByName(missing)
+
+
+#: The classes in SQL, from all pairs of texts that share a shingle: what the bands look for.
+SQL = f"""
+WITH RECURSIVE texts AS (
+  SELECT coalesce(text, '') AS t, MIN(doc_id) AS id FROM documents WHERE doc_id IS NOT NULL GROUP BY 1
+), split AS (
+  SELECT id, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM texts
+), shingles AS (
+  SELECT id, s, COUNT(*) AS tf FROM (
+    SELECT id, UNNEST(CASE WHEN len(w) >= {SHINGLE} THEN list_transform(range(len(w) - {SHINGLE - 1}), lambda i: array_to_string(w[(i + 1):(i + {SHINGLE})], ' '))
+                           WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM split) GROUP BY id, s
+), frequencies AS (
+  SELECT s, COUNT(*) AS df, (SELECT COUNT(*) FROM texts) AS n FROM shingles GROUP BY s
+), weighted AS (
+  SELECT id, s, tf * LEAST(1.5, GREATEST(1.0, 1 + 0.5 * ln((1 + n) / (1 + pow(2.0, ROUND(8 * log2(df)) / 8))) / ln(1 + n))) AS w FROM shingles JOIN frequencies USING (s)
+), sums AS (SELECT id, SUM(w) AS total FROM weighted GROUP BY id),
+shared AS (
+  SELECT a.id AS u, b.id AS v, SUM(LEAST(a.w, b.w)) AS low FROM weighted a JOIN weighted b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2
+), links AS (
+  SELECT u, v FROM shared JOIN sums x ON x.id = u JOIN sums y ON y.id = v WHERE low / (x.total + y.total - low) >= {SIMILARITY}
+), edges AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach(id, label) AS (SELECT id, id FROM texts UNION SELECT b.v, r.label FROM reach r JOIN edges b ON b.u = r.id),
+classes AS (SELECT id, MIN(label) AS class_id FROM reach GROUP BY id)
+SELECT doc_id, class_id FROM documents LEFT JOIN texts ON coalesce(text, '') = t AND doc_id IS NOT NULL LEFT JOIN classes USING (id)
+"""
