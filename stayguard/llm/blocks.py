@@ -27,7 +27,7 @@ BLOCK_BYTES = 2 << 20
 #: Most texts in a block; ranks in a block fit 16 bits.
 BLOCK_TEXTS = 1 << 15
 #: Bytes of text for a bucket of blocks and for a range of keys.
-BUCKET_BYTES, RANGE_BYTES = 32 << 20, 8 << 20
+BUCKET_BYTES, RANGE_BYTES = 32 << 20, 32 << 20
 #: Least number of key ranges.
 LEAST_RANGES = 128
 SCHEMA = "block bigint, ids array<bigint>, digests array<binary>, lens array<int>, blob binary"
