@@ -295,24 +295,30 @@ def q_freq_encode(spark, sf):
     return ENC.frequency_table(p, FREQ_COLS).select("column", "key", "n", r6("freq_log"))
 
 
-CLIP_COLS = ["lead_time", "adr", "booking_value", "stays_in_weekend_nights", "stays_in_week_nights", "total_nights", "adults", "children", "babies",
-             "total_guests", "previous_cancellations", "previous_bookings_not_canceled", "required_car_parking_spaces", "total_of_special_requests",
-             "arrival_date_year", "arrival_month_num", "arrival_date_week_number", "arrival_date_day_of_month"]
+CLIP_COLS = ["lead_time", "adr", "booking_value"]
+ALL_CLIP_COLS = CLIP_COLS + [
+    "stays_in_weekend_nights", "stays_in_week_nights", "total_nights", "adults", "children", "babies", "total_guests", "previous_cancellations",
+    "previous_bookings_not_canceled", "required_car_parking_spaces", "total_of_special_requests", "arrival_date_year", "arrival_month_num",
+    "arrival_date_week_number", "arrival_date_day_of_month"]
 
 
-@register("quantile_clip", """
-, e AS (SELECT """ + ", ".join(
-    f"quantile_cont({c}, 0.001) AS {c}_lo, quantile_cont({c}, 0.999) AS {c}_hi" for c in CLIP_COLS) + """
-        FROM prepared WHERE split = 'train')
-SELECT booking_id, """ + ", ".join(f"ROUND(LEAST(GREATEST({c}, {c}_lo), {c}_hi), 6) AS {c}" for c in CLIP_COLS) + """
-FROM prepared CROSS JOIN e
-""")
-def q_quantile_clip(spark, sf):
-    """Clip with train-only 0.1 % / 99.9 % edges"""
-    p = inputs.prepared(spark, sf)
-    edges = ENC.fit_quantile_clip(p.where(F.col("split") == "train"), CLIP_COLS, "booking_id")
-    out = ENC.apply_quantile_clip(p, edges, CLIP_COLS)
-    return out.select("booking_id", *[r6(c) for c in CLIP_COLS])
+def _clip_sql(columns: list[str]) -> str:
+    edges = ", ".join(f"quantile_cont({c}, 0.001) AS {c}_lo, quantile_cont({c}, 0.999) AS {c}_hi" for c in columns)
+    clipped = ", ".join(f"ROUND(LEAST(GREATEST({c}, {c}_lo), {c}_hi), 6) AS {c}" for c in columns)
+    return f", e AS (SELECT {edges} FROM prepared WHERE split = 'train') SELECT booking_id, {clipped} FROM prepared CROSS JOIN e"
+
+
+def _clip(columns: list[str]):
+    def q(spark, sf):
+        """Clip with train-only 0.1 % / 99.9 % edges"""
+        p = inputs.prepared(spark, sf)
+        edges = ENC.fit_quantile_clip(p.where(F.col("split") == "train"), columns, "booking_id")
+        return ENC.apply_quantile_clip(p, edges, columns).select("booking_id", *[r6(c) for c in columns])
+    return q
+
+
+register("quantile_clip", _clip_sql(CLIP_COLS))(_clip(CLIP_COLS))
+register("quantile_clip_all", _clip_sql(ALL_CLIP_COLS))(_clip(ALL_CLIP_COLS))
 
 
 FINGERPRINT_COLS = ["booking_id", "hotel", "lead_time", "country", "market_segment", "agent", "company_raw", "deposit_type"]
