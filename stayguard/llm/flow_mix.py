@@ -154,7 +154,7 @@ def mix(items: DataFrame, quota: dict, id_col: str = "doc_id", members_col: str
     out = saved(settled.unionByName(edge).drop("_before"), "placed")
 
     # what is still missing is less than one document: use once more the one whose size comes nearest
-    used = out.groupBy("_pattern").agg((F.first("_rest") - F.sum(F.col(size_col) * F.col("_more"))).alias("_miss"))
+    used = saved(out.groupBy("_pattern").agg((F.first("_rest") - F.sum(F.col(size_col) * F.col("_more"))).alias("_miss")), "missing")
     spare = out.filter("_more = 0").groupBy("_pattern", "_hash", F.col(id_col).alias("_id"), F.col(size_col).alias("_size")) \
         .agg((F.count("*") * F.first(size_col)).alias("_whole")).join(used, "_pattern")  # equal rows go together
     gap = F.abs(F.col("_whole") - F.col("_miss"))
