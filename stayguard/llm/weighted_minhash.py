@@ -252,8 +252,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     found = components(links)
     while True:
         classed = members.join(found, "id", "left").select("band", "key", "id", F.coalesce("class_id", "id").alias("class_id"))
-        heads = classed.groupBy("band", "key", "class_id").agg(F.min("id").alias("id"))
+        heads = saved(classed.groupBy("band", "key", "class_id").agg(F.min("id").alias("id")), "heads")
         tops = heads.groupBy("band", "key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
+        tops = saved(tops, "tops")  # so that a bucket of many classes can be split below
         new = heads.join(tops, ["band", "key"]).filter("id <> rep").select("id", "rep").distinct()
         new = saved(new.join(tested, ["id", "rep"], "left_anti"), "pairs")
         more = saved(verified(new, vectors, similarity), "links")
