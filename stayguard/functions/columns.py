@@ -182,15 +182,6 @@ def right_closed_bin(x: Column, edges: list[float], labels: list[str]) -> Column
     return expr
 
 
-def right_closed_bin_index(x: Column, edges: list[float]) -> Column:
-    """Ordinal (0-based) of the bin (a, b]; outside -> NULL."""
-    expr = None
-    for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
-        cond = (x > F.lit(lo)) & (x <= F.lit(hi))
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    return expr
-
-
 def lead_time_bin(lead: Column) -> Column:
     return right_closed_bin(lead, LEAD_TIME_EDGES, LEAD_TIME_LABELS)
 
