@@ -27,10 +27,12 @@ FLOORED = [
 ]
 
 
-def prepare_features(df: DataFrame, strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def prepare_features(df: DataFrame, strict: bool = False, keep: tuple[str, ...] = (), ids_complete: bool = False) -> DataFrame:
     """Raw bookings (any column names) -> prepared bookings with the model features.
 
     ``keep`` names extra input columns to carry through (e.g. ``is_canceled``, ``split``).
+    ``ids_complete`` says that no id is NULL (a table's key): the plan then stays free of the
+    row numbering that NULL ids need, and filters can pass it.
     """
     out, mapping = normalize_input_schema(df)
     if strict:
@@ -41,7 +43,7 @@ def prepare_features(df: DataFrame, strict: bool = False, keep: tuple[str, ...]
     if "booking_id" not in mapping.mapped:
         from .ordered import with_row_index
         out = with_row_index(out.drop("booking_id"), "booking_id")
-    else:
+    elif not ids_complete:
         out = _with_ids(out)
 
     has_company_given = "has_company" in out.columns

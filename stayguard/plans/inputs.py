@@ -38,7 +38,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memo(spark, sf_dir, "prepared", lambda: prepare_features(raw(spark, sf_dir), keep=CARRY))
+    return memo(spark, sf_dir, "prepared", lambda: prepare_features(raw(spark, sf_dir), keep=CARRY, ids_complete=True))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
