@@ -102,6 +102,17 @@ def test_vectors(spark):
     assert multi_index.searched(v.limit(0), F.lit(True)).count() == 0
 
 
+def test_stages_keep_other_columns(spark, docs, tmp_path):
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, 1, 1), (6, 1, 0), (10, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(os.path.join(sf, "labels.parquet"))
+    more = docs.withColumns({c: F.lit(c) for c in ("held_out", "times", "n", "_row", "w", "h")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, sf)
+        assert out.columns == more.columns
+        rows = out.collect()
+        assert rows and all(r[c] == c for r in rows for c in CLASH + ["held_out", "times", "n", "_row", "w", "h"])
+
+
 def test_every_stage(spark, docs, none, tmp_path):
     sf = str(tmp_path)
     spark.createDataFrame([(1, 1, 1), (6, 1, 0), (10, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(os.path.join(sf, "labels.parquet"))
