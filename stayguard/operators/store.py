@@ -23,7 +23,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.constants import NUMERIC_PREDICTION_COLUMNS, PREDICTION_COLUMNS
 from .business import batch_header
@@ -35,6 +34,10 @@ STATUSES = ["created", "queued", "scoring", "completed", "failed"]
 LEDGER = "batch_id string, name string, file_name string, source string, status string, files int, error string, updated_at timestamp"
 HEADER = ("source string, row_count bigint, high_risk_count bigint, total_booking_value double, total_expected_loss double, "
           "created_at timestamp, batch_id string")
+BOOKINGS = f"{ROW} bigint, raw_json string, batch_id string"
+_NUMBERS = {*NUMERIC_PREDICTION_COLUMNS, "deposit_loss_factor"}
+_TYPES = {c: "double" if c in _NUMBERS else "date" if c == "arrival_date" else "boolean" if c == "actionable" else "string" for c in PREDICTION_COLUMNS}
+PREDICTIONS = ", ".join([f"{ROW} bigint", *(f"{c} {t}" for c, t in _TYPES.items()), "batch_id string"])
 AUDIT = "audit_id string, event string, entity string, entity_id string, payload string, created_at timestamp"
 
 
@@ -120,9 +123,10 @@ def persist_predictions(spark: SparkSession, root: str, raw: DataFrame, predicti
     batch_id = batch_id or create_batch(spark, root, source, source=source)
     scored = predictions.select(ROW, *PREDICTION_COLUMNS).checkpoint(eager=True)
     body = [F.col(f"`{c}`") for c in raw.columns if c != ROW]
-    _replace(raw.select(ROW, F.to_json(F.struct(*body)).alias("raw_json"), F.lit(batch_id).alias("batch_id")), root, "bookings")
-    _replace(scored.withColumns({"booking_id": F.col("booking_id").cast("string"), "top_factors": F.to_json("top_factors"),
-                                 "batch_id": F.lit(batch_id)}), root, "predictions")
+    _replace(raw.select(F.col(ROW).cast("long").alias(ROW), F.to_json(F.struct(*body)).alias("raw_json"), F.lit(batch_id).alias("batch_id")), root, "bookings")
+    stored = scored.withColumn("top_factors", F.to_json("top_factors")).select(
+        F.col(ROW).cast("long").alias(ROW), *[F.col(c).cast(t).alias(c) for c, t in _TYPES.items()], F.lit(batch_id).alias("batch_id"))
+    _replace(stored, root, "predictions")
     header = batch_header(scored).select(
         F.lit(source).alias("source"), "row_count", "high_risk_count", "total_booking_value", "total_expected_loss",
         F.lit(_now()).cast("timestamp").alias("created_at"), F.lit(batch_id).alias("batch_id"))
@@ -146,10 +150,7 @@ def get_batch(spark: SparkSession, root: str, batch_id: str) -> DataFrame:
 
 def committed(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Rows of ``predictions`` or ``bookings`` whose batch is complete; batch ids are text, whatever they look like."""
-    path = f"{root}/{name}"
-    found = spark.read.parquet(path).schema
-    fields = [T.StructField(f.name, T.StringType() if f.name == "batch_id" else f.dataType) for f in found.fields]
-    rows = spark.read.schema(T.StructType(fields)).parquet(path)
+    rows = _table(spark, root, name, {"predictions": PREDICTIONS, "bookings": BOOKINGS}[name])
     return rows.join(headers(spark, root).select("batch_id"), "batch_id", "left_semi")
 
 
@@ -179,10 +180,7 @@ def overview(spark: SparkSession, root: str, latest: int = 10) -> tuple[DataFram
     done = headers(spark, root).agg(
         F.count(F.lit(1)).alias("batches"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("bookings"),
         F.coalesce(F.sum("high_risk_count"), F.lit(0)).alias("high_risk_bookings"))
-    if _exists(spark, f"{root}/predictions"):
-        loss = committed(spark, root, "predictions").agg(F.coalesce(F.sum("expected_loss"), F.lit(0.0)).alias("total_expected_loss"))
-    else:
-        loss = spark.range(1).select(F.lit(0.0).alias("total_expected_loss"))
+    loss = committed(spark, root, "predictions").agg(F.coalesce(F.sum("expected_loss"), F.lit(0.0)).alias("total_expected_loss"))
     return done.crossJoin(loss), list_batches(spark, root, latest)  # two one-row tables
 
 

@@ -86,6 +86,15 @@ def test_missing_and_repeated_ids_keep_their_rows(spark):
         S.persist_predictions(spark, root, frame(spark, [BOOKING]), pred, "test")
 
 
+def test_empty_batch(spark, two_bookings):
+    root = tempfile.mkdtemp(prefix="stayguard-store-")
+    raw, pred = _scored(two_bookings.limit(0))
+    S.persist_predictions(spark, root, raw, pred, "test", "nothing")
+    assert S.get_predictions(spark, root, "nothing").count() == 0
+    assert S.get_batch(spark, root, "nothing").first()["row_count"] == 0
+    assert S.overview(spark, root)[0].first()["batches"] == 1
+
+
 def test_empty_store(spark):
     root = tempfile.mkdtemp(prefix="stayguard-store-")
     assert S.list_batches(spark, root).count() == 0 and S.get_batch(spark, root, "x").count() == 0
