@@ -10,9 +10,10 @@
    with the probability of their weighted Jaccard similarity. The draws of a shingle come
    from tables that are indexed by its hash.
 4. Banding: texts that share the R samples of a band meet in a bucket. Each is compared with
-   the bucket's representative, the least by a hash that differs by band, so no bucket is
-   collected or expanded into pairs. Then, as long as new links come up, the classes that
-   still meet in one bucket are compared through their least members there.
+   the bucket's representative, the least by a hash that differs by band. Then members outside
+   a bucket's largest class are compared with all members of other classes (see ``linked``), so
+   two texts of a bucket stay uncompared only if they are in one class already. No bucket is
+   collected; the pairs grow with its square only where its texts are unlike each other.
 5. Verification: weighted Jaccard of the whole shingle vectors, at least ``SIMILARITY``.
 6. Classes: connected components of the links, by large-star and small-star steps.
 
@@ -45,6 +46,8 @@ KEY_BITS, KEY_BYTES = 48, 5
 #: Entries of the tables of draws.
 DRAWS = 1 << 13
 STEP = 16384  # shingles sampled at a time
+#: Members of a bucket drawn in the first round, about.
+DRAWN = 4
 
 
 class Shingles:
@@ -222,6 +225,40 @@ def components(links: DataFrame) -> DataFrame:
         seen = state
 
 
+def linked(members: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
+    """(id, class_id) of the classes of all similar pairs that meet in a bucket; ``members`` has band, key, id, rep.
+
+    First each member is compared with its bucket's representative. Then, in each bucket of several
+    classes, members outside its largest class are drawn, four times as many each round, and compared
+    with all members of other classes, until none is left. A pair is skipped only if it was compared
+    before or is in one class already, so the classes are those of all pairs.
+    """
+    pair = (F.greatest("id", "rep").alias("id"), F.least("id", "rep").alias("rep"))
+    tested = saved(members.filter("id <> rep").select(*pair).distinct(), "pairs")
+    found = components(saved(verified(tested, vectors, similarity), "links"))
+    members, most = members.select("band", "key", "id", F.expr("id = rep").alias("done")), DRAWN
+    while True:
+        classed = members.join(found, "id", "left").select("band", "key", "id", "done", F.coalesce("class_id", "id").alias("class_id"))
+        classed = saved(classed, "classed")
+        heads = classed.groupBy("band", "key", "class_id").agg(F.count("*").alias("n"), F.count_if(~F.col("done")).alias("open"))
+        open_buckets = heads.groupBy("band", "key").agg(F.max(F.struct("n", "class_id", "open")).alias("top"), F.sum("open").alias("open"))
+        open_buckets = open_buckets.select("band", "key", F.col("top.class_id").alias("largest"), (F.col("open") - F.col("top.open")).alias("open"))
+        open_buckets = saved(open_buckets.filter("open > 0"), "open-buckets")  # so that a bucket of many members can be split below
+        if open_buckets.isEmpty():
+            return found
+        share = F.pmod(F.xxhash64("id", "band"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        drawn = ~F.col("done") & (F.col("class_id") != F.col("largest")) & (share * F.col("open") < most)
+        members = saved(classed.join(open_buckets, ["band", "key"]).select("band", "key", "id", "class_id", "done", drawn.alias("drawn")), "members")
+        pivots = saved(members.filter("drawn").select("band", "key", F.col("id").alias("rep"), F.col("class_id").alias("rep_class")), "pivots")
+        others = members.filter("not done").join(pivots, ["band", "key"]).filter("class_id <> rep_class and (not drawn or id > rep)")
+        new = saved(others.select(*pair).distinct().join(tested, ["id", "rep"], "left_anti"), "pairs")
+        more = saved(verified(new, vectors, similarity), "links")
+        tested = tested.unionByName(new)
+        if not more.isEmpty():
+            found = components(found.select("id", F.col("class_id").alias("rep")).unionByName(more))
+        members, most = members.select("band", "key", "id", F.expr("done or drawn").alias("done")), 4 * most
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """id and class_id (the least id of the class) for every row."""
     table, n = B.build(docs, id_col, text_col)
@@ -247,22 +284,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     answers = answers.unionByName(where.mapInPandas(lists, B.ANSWER))
     vectors = saved(B.with_answers(table, answers, _vectors(idf), "id bigint, vector binary").dropDuplicates(["id", "vector"]), "vectors")
 
-    tested = saved(members.filter("id <> rep").select("id", "rep").distinct(), "pairs")
-    links = saved(verified(tested, vectors, similarity).distinct(), "links")
-    found = components(links)
-    while True:
-        classed = members.join(found, "id", "left").select("band", "key", "id", F.coalesce("class_id", "id").alias("class_id"))
-        heads = saved(classed.groupBy("band", "key", "class_id").agg(F.min("id").alias("id")), "heads")
-        tops = heads.groupBy("band", "key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
-        tops = saved(tops, "tops")  # so that a bucket of many classes can be split below
-        new = heads.join(tops, ["band", "key"]).filter("id <> rep").select("id", "rep").distinct()
-        new = saved(new.join(tested, ["id", "rep"], "left_anti"), "pairs")
-        more = saved(verified(new, vectors, similarity), "links")
-        if more.isEmpty():
-            break
-        tested = tested.unionByName(new)
-        links = links.unionByName(more)
-        found = components(links)
+    found = linked(members, vectors, similarity)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return _labelled(rows, table, firsts, found, id_col)
 

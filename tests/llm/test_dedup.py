@@ -129,6 +129,26 @@ def test_classes_meet_all_pairs(spark, monkeypatch):
     assert got == want
 
 
+def test_hubs_and_templates_meet_all_pairs(spark):
+    """Edits that are near their base only, which is not the first of its buckets, and texts of one template."""
+    rng = random.Random(4)
+    texts = []
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(400)]
+    for k in range(101):
+        words = list(base)
+        for i in rng.sample(range(400), 0 if k == 57 else 6):
+            words[i] = f"x{rng.randint(0, 10 ** 6)}"
+        texts.append(" ".join(words))
+    fields = [[[f"f{i}v{v}n{n}" for n in range(9)] for v in range(3)] for i in range(8)]
+    for _ in range(80):
+        texts.append(" ".join(w for i in range(8) for w in [f"t{i}n{n}" for n in range(24)] + rng.choice(fields[i])))
+    rows = list(enumerate(texts))
+    want, margin = brute_classes(rows, 0.8)
+    assert margin > 1e-4 and len({want[d] for d in range(101)}) == 1 and len({want[d] for d in range(101, 181)}) > 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["class_id"] for r in weighted_minhash.classes(df).collect()} == want
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(200, 200), (301, 300)]
     df = spark.createDataFrame(links, "id long, rep long")
