@@ -175,7 +175,7 @@ def _vectors(idf: np.ndarray):
         s = Shingles(block, B.answers_of(right, 0))
         text, key, weight, begin = s.weighted(np.frombuffer(B.answers_of(right, 1), np.uint8), idf)
         raw = np.ascontiguousarray(key, "<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        value = np.exp(weight).astype("<f2")
+        value = np.exp(weight).astype("<f4")
         rows = [(int(block.ids[text[a]]), raw[a:b].tobytes() + value[a:b].tobytes())
                 for a, b in zip(begin, [*begin[1:], len(key)]) if block.ids[text[a]] in wanted]
         yield pd.DataFrame(rows, columns=["id", "vector"])
@@ -183,8 +183,8 @@ def _vectors(idf: np.ndarray):
 
 
 def weighted_jaccard(a: bytes, b: bytes) -> float:
-    """Of two vectors as ``_vectors`` lays them out: keys of six bytes in order, then half floats."""
-    (ka, wa), (kb, wb) = (((B.unpacked(x[:len(x) // 8 * 6], 6)), np.frombuffer(x, "<f2", -1, len(x) // 8 * 6).astype(np.float64)) for x in (a, b))
+    """Of two vectors as ``_vectors`` lays them out: keys of six bytes in order, then single floats."""
+    (ka, wa), (kb, wb) = (((B.unpacked(x[:len(x) // 10 * 6], 6)), np.frombuffer(x, "<f4", -1, len(x) // 10 * 6).astype(np.float64)) for x in (a, b))
     _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
     low = np.minimum(wa[i], wb[j]).sum()
     return float(low / (wa.sum() + wb.sum() - low))

@@ -149,6 +149,13 @@ def test_hubs_and_templates_meet_all_pairs(spark):
     assert {r["doc_id"]: r["class_id"] for r in weighted_minhash.classes(df).collect()} == want
 
 
+def test_texts_of_one_word_repeated_are_near(spark):
+    """Weights beyond what a half float can hold."""
+    rows = [(5, "spam " * 70_000), (3, "spam " * 72_000 + "end"), (4, "eggs " * 70_000), (7, "few other words are in this text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in weighted_minhash.classes(df).collect()} == {5: 3, 3: 3, 4: 4, 7: 7}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(200, 200), (301, 300)]
     df = spark.createDataFrame(links, "id long, rep long")
