@@ -193,13 +193,12 @@ def train_model(prepared: DataFrame, candidates=None, calibration: str = "platt"
     """M17 + M22: fit each candidate on train, select by 0.5 ROC + 0.3 AP + 0.2 Lift@20/3 on valid,
     calibrate on valid, report test metrics. ``prepared`` needs ``is_canceled``; the split
     is the existing column, else creation-date cutoffs, else chronological (D8, D10, W7);
-    an empty test or valid split falls back to seeded hash buckets (U4). ``max_rows`` bounds
-    the labelled rows (a seeded sample, the same on every run)."""
-    from .filters import seeded_sample
+    an empty test or valid split falls back to seeded hash buckets (U4). ``max_rows``, if given,
+    bounds about the train rows that the classifier fit reads (those of the least seeded hashes);
+    splits, encoder, categories, imputing, scaling, choice, calibration and metrics use all rows."""
+    from .filters import id_hash
     from .rank import assign_split, fill_empty_splits
     candidates = candidates or DEFAULT_CANDIDATES
-    if max_rows:
-        prepared = seeded_sample(prepared, max_rows, seed)
     prepared, strategy = assign_split(prepared)
     sizes = _split_sizes(prepared)
     prepared, moved = fill_empty_splits(prepared, sizes, seed)
@@ -212,15 +211,18 @@ def train_model(prepared: DataFrame, candidates=None, calibration: str = "platt"
     train = train.checkpoint(eager=True)
     encoder = ENC.fit_target_encoder(train, LABEL)
     categories = fit_category_tables(train, CATEGORICAL_FEATURES)
-    # every candidate fit (and each of its iterations) reads the encoded train set: materialise it once
-    enc_train = class_weight_column(_encode(train, encoder, categories)).checkpoint(eager=True)
-    rows = sizes.get("train", 0)
-    numeric = [c for c in NUMERIC_FEATURES]
+    # the feature stages and every candidate fit (each of its iterations) read the encoded train set: materialise it once
+    enc_train = _encode(train, encoder, categories).checkpoint(eager=True)
+    features = Pipeline(stages=feature_stages(list(NUMERIC_FEATURES), CATEGORICAL_FEATURES)).fit(enc_train)
+    fit_rows, rows = enc_train, sizes.get("train", 0)
+    if max_rows and rows > max_rows:
+        fit_rows = enc_train.where(id_hash(F.col(KEY), seed + 2) < int(max_rows / rows * (1 << 60)))
+        rows = fit_rows.count()
+    fit_table = features.transform(class_weight_column(fit_rows).checkpoint(eager=True))
     best = None
     report = []
     for name, kind, params in candidates:
-        pipe = Pipeline(stages=feature_stages(numeric, CATEGORICAL_FEATURES) + [classifier(kind, params, seed, rows)])
-        fitted = pipe.fit(enc_train)
+        fitted = PipelineModel(stages=[*features.stages, classifier(kind, params, seed, rows).fit(fit_table)])
         tm = TrainedModel(pipeline=fitted, encoder=encoder, categories=categories, name=name)
         v = raw_probability(tm, valid).select(KEY, LABEL, "raw_score").checkpoint(eager=True)  # for choice and calibration
         m = evaluate_scores(v, "raw_score")
@@ -237,7 +239,7 @@ def train_model(prepared: DataFrame, candidates=None, calibration: str = "platt"
     raw = evaluate_scores(scored_test, "raw_score")
     model.metrics = {
         "model": model.name + (" + Platt calibration" if calibration == "platt" else " + isotonic calibration"),
-        "split_strategy": strategy, "rows_train": sizes.get("train", 0), "rows_calibration": sizes.get("valid", 0),
+        "split_strategy": strategy, "rows_train": sizes.get("train", 0), "rows_fit": rows, "rows_calibration": sizes.get("valid", 0),
         "rows_test": sizes.get("test", 0),
         "roc_auc": cal["roc_auc"], "pr_auc": cal["pr_auc"], "brier": cal["brier"],
         "roc_auc_raw": raw["roc_auc"], "pr_auc_raw": raw["pr_auc"], "brier_raw": raw["brier"],

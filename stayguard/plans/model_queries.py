@@ -89,14 +89,10 @@ def q_baseline_delta(spark, sf):
 # learned models
 # ---------------------------------------------------------------------------
 
-#: Labelled rows that the model queries train on (seeded sample; the published training bound).
-MAX_TRAIN_ROWS = 200_000
-
-
 def _trained(spark, sf, calibration="platt"):
-    """The engine's own candidates; one training per session, folder and calibration."""
+    """The engine's own candidates, fitted on all train rows; one training per session, folder and calibration."""
     return inputs.memo(spark, sf, f"model-{calibration}", lambda: M.train_model(
-        inputs.prepared(spark, sf), calibration=calibration, max_rows=MAX_TRAIN_ROWS))
+        inputs.prepared(spark, sf), calibration=calibration))
 
 
 @register("model_train_metrics")
@@ -236,7 +232,7 @@ def q_isotonic_blocks(spark, sf):
 def q_forest_scores(spark, sf):
     """The random forest candidate"""
     model = inputs.memo(spark, sf, "model-forest", lambda: M.train_model(
-        inputs.prepared(spark, sf), candidates=[("Random forest", "random_forest", {"numTrees": 160, "maxDepth": 16})], max_rows=MAX_TRAIN_ROWS))
+        inputs.prepared(spark, sf), candidates=[("Random forest", "random_forest", {"numTrees": 160, "maxDepth": 16})]))
     return M.predict(model, inputs.prepared(spark, sf)).select("booking_id", r6("risk_score"), r6("cancellation_probability"))
 
 

@@ -36,6 +36,23 @@ def test_train_predict_save_load(spark, prepared):
     assert all(abs(a[k] - b[k]) < 1e-12 for k in a)
 
 
+def test_a_row_bound_holds_for_the_classifier_fit_only(spark, prepared, monkeypatch):
+    lr = [("lr", "logreg", {"regParam": 1e-2, "maxIter": 5})]
+    model = M.train_model(prepared, candidates=lr, max_rows=300)
+    sizes = {r["split"]: r["count"] for r in prepared.groupBy("split").count().collect()}
+    m = model.metrics
+    assert sizes["train"] > 400 and 200 < m["rows_fit"] < 400
+    assert (m["rows_train"], m["rows_calibration"], m["rows_test"]) == (sizes["train"], sizes["valid"], sizes["test"])
+    assert model.encoder.stats.where("column = 'agent'").agg(F.sum("n")).first()[0] == sizes["train"]
+    from stayguard.plans import model_queries
+    asked = []
+    monkeypatch.setattr(inputs, "memo", lambda spark, sf, kind, build: build())
+    monkeypatch.setattr(M, "train_model", lambda rows, **options: asked.append(options) or model)
+    model_queries._trained(spark, SMOKE)
+    model_queries.q_forest_scores(spark, SMOKE)
+    assert len(asked) == 2 and not any(options.get("max_rows") for options in asked)
+
+
 def test_a_broken_model_is_an_error_and_file_addresses_are_found(spark, prepared):
     path = tempfile.mkdtemp(prefix="stayguard-model-")
     os.makedirs(f"{path}/meta")
