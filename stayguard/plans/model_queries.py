@@ -97,7 +97,7 @@ def _trained(spark, sf, calibration="platt"):
 
 @register("model_train_metrics")
 def q_model_train_metrics(spark, sf):
-    """Candidate search on valid, Platt calibration, test metrics (one row)"""
+    """Candidate search on valid, Platt calibration, test metrics (one row)"""
     m = _trained(spark, sf).metrics
     row = [(m["model"], m["roc_auc"], m["pr_auc"], m["brier"], m["roc_auc_raw"], m["pr_auc_raw"], m["brier_raw"],
             m["precision@20"], m["recall@20"], m["lift@20"], len(m["candidate_metrics"]))]
@@ -236,6 +236,16 @@ def q_forest_scores(spark, sf):
     return M.predict(model, inputs.prepared(spark, sf)).select("booking_id", r6("risk_score"), r6("cancellation_probability"))
 
 
+@register("logreg_metrics")
+def q_logreg_metrics(spark, sf):
+    """The balanced logistic regression with C = 1 over all train rows, its validation and test metrics (one row)"""
+    m = inputs.memo(spark, sf, "model-logreg", lambda: M.train_model(
+        inputs.prepared(spark, sf), candidates=[("Balanced logistic regression", "logreg", {"C": 1.0, "maxIter": 700})])).metrics
+    c = m["candidate_metrics"][0]
+    row = [(m["model"], m["rows_fit"], c["valid_roc_auc"], c["valid_pr_auc"], m["roc_auc"], m["pr_auc"], m["brier"])]
+    return spark.createDataFrame(row, "model string, rows_fit long, valid_roc_auc double, valid_pr_auc double, roc_auc double, pr_auc double, brier double")
+
+
 # ---------------------------------------------------------------------------
 # file stream (R1 + R2)
 # ---------------------------------------------------------------------------

@@ -53,6 +53,14 @@ def test_a_row_bound_holds_for_the_classifier_fit_only(spark, prepared, monkeypa
     assert len(asked) == 2 and not any(options.get("max_rows") for options in asked)
 
 
+def test_the_balanced_logistic_regression_is_a_query(spark, prepared):
+    from stayguard.plans import catalog
+    catalog._load_all()
+    row = catalog.QUERIES["logreg_metrics"](spark, SMOKE).first()
+    assert row["model"].startswith("Balanced logistic regression") and row["rows_fit"] == prepared.where("split = 'train'").count()
+    assert 0.0 <= row["roc_auc"] <= 1.0 and 0.0 <= row["brier"] <= 1.0
+
+
 def test_a_broken_model_is_an_error_and_file_addresses_are_found(spark, prepared):
     path = tempfile.mkdtemp(prefix="stayguard-model-")
     os.makedirs(f"{path}/meta")
