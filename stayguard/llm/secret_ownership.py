@@ -8,8 +8,8 @@ Base kinds are found leftmost and without overlap in every whole text:
 
 The method adds ``owned`` spans: long tokens of letters and digits that no base span
 touches, that look live, and that few owners hold. For that the hash of each candidate
-value is counted over distinct repositories and owners of the whole corpus: a value that
-many owners hold is a widely copied example, one that few hold and that looks random is a
+value is counted over distinct owners of the whole corpus (repositories are a step of that
+count and decide nothing): a value that many owners hold is a widely copied example, one that few hold and that looks random is a
 credential of its owner (``n_live`` and ``n_example`` count both among a text's spans).
 
 Counts go (hash, owner, repository) -> (hash, owner) -> hash, each with partial sums, so a
