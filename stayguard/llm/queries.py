@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import (flow_mix, multi_index, pattern_pack, preference, radix_suffix, robust_quality, secret_ownership, token_rollup, toxicity,
+from . import (flow_mix, merkle, multi_index, nra, path_templates, pattern_pack, preference, radix_suffix, robust_quality, secret_ownership, token_rollup, toxicity,
                weighted_minhash)
 
 QUERIES: dict = {}
@@ -88,6 +88,22 @@ def op9(spark, sf):
     return multi_index.searched(table(spark, sf, "embeddings"), F.col("id") % 100 == 0)
 
 
+@query("op11_nra", nra.SQL)
+def op11(spark, sf):
+    return nra.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op12_path_templates", path_templates.SQL)
+def op12(spark, sf):
+    return path_templates.judged(table(spark, sf, "pages"))
+
+
+@query("op13_merkle_manifest", merkle.SQL)
+def op13(spark, sf):
+    docs = table(spark, sf, "documents")
+    return merkle.manifest(docs, merkle.newlines_cut(docs))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
