@@ -4,9 +4,9 @@ A url's host and path are judged by the longest fitting rule. Where none fits, t
 template decides. Paths are first summed by host and shape (digits and long hexadecimal runs
 become ``*``), so a hot host costs its shapes, not its pages. The tree is then built level by
 level over all hosts at once: a branch of a wide node that few pages take becomes the
-wildcard ``*``, and branches of one node whose label purity falls in one class and whose
-continuations are distributed like those of the class (chi-square against the pool) merge
-into the wildcard of that class. What the rules say of the pages is their label. A template's purity is its
+wildcard ``*``, and branches of one node that agree in the class of their label purity and
+in how they mostly go on, and whose continuations are distributed like those of all such
+branches (chi-square against their pool), merge into one wildcard. What the rules say of the pages is their label. A template's purity is its
 labelled share of blocked pages, smoothed towards the purity of the node above it, up to the
 host and the table. Templates whose purity reaches ``REJECT`` are blocked.
 
@@ -86,9 +86,11 @@ def level(paths: DataFrame, d: int) -> DataFrame:
     cells = deeper.groupBy(*at, "child", "follow").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"), F.max("purity").alias("purity"))
     cells = saved(cells, "cells")
     nodes = cells.groupBy(*at, "child").agg(F.sum("n").alias("n")).groupBy(*at).agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("pages"))
-    branches = cells.groupBy(*at, "child").agg(F.sum("n").alias("branch"), smoothed(F.sum("blocked"), F.sum("labelled"), F.max("purity")).alias("own"))
+    branches = cells.groupBy(*at, "child").agg(F.sum("n").alias("branch"), smoothed(F.sum("blocked"), F.sum("labelled"), F.max("purity")).alias("own"),
+                                               F.max_by("follow", F.struct("n", "follow")).alias("main"))
+    says = F.when(F.col("own") >= REJECT, "block").when(F.col("own") <= 1 - REJECT, "allow").otherwise("mixed")
     branches = branches.join(nodes, at).withColumn("family", F.when((F.col("children") >= WIDE) & (F.col("branch") * WIDE < F.col("pages")), "*")
-                                                   .when(F.col("own") >= REJECT, "*:block").when(F.col("own") <= 1 - REJECT, "*:allow").otherwise("*:mixed"))
+                                                   .otherwise(F.concat(F.lit("*:"), says, F.lit(":"), F.col("main"))))
     branches = saved(branches.select(*at, "child", "branch", "family"), "branches")
     group = [*at, "family"]
     pool = cells.join(branches, [*at, "child"]).groupBy(*group, "follow").agg(F.sum("n").alias("pooled"))
@@ -151,9 +153,11 @@ def _levels_sql() -> str:
         at = f"p{d - 1}"
         ctes.append(f"""h{d} AS (SELECT *, shape[{d}] AS child, CASE WHEN shape[{d + 1}] IS NULL THEN 'end' WHEN shape[{d + 1}] = '' THEN 'empty'
             WHEN contains(shape[{d + 1}], '*') THEN 'wild' WHEN contains(shape[{d + 1}], '.') THEN 'file' ELSE 'word' END AS follow FROM {at} WHERE len(shape) >= {d}),
-          b{d} AS (SELECT *, CASE WHEN children >= {WIDE} AND branch * {WIDE} < pages THEN '*' WHEN own >= {REJECT} THEN '*:block' WHEN own <= 1 - {REJECT} THEN '*:allow' ELSE '*:mixed' END AS family
-            FROM (SELECT host, node, child, SUM(n) AS branch, {_smooth_sql('SUM(blocked)', 'SUM(labelled)', 'MAX(purity)')} AS own,
-              COUNT(*) OVER (PARTITION BY host, node) AS children, SUM(SUM(n)) OVER (PARTITION BY host, node) AS pages FROM h{d} GROUP BY host, node, child)),
+          k{d} AS (SELECT host, node, child, follow, SUM(n) AS n, SUM(blocked) AS blocked, SUM(labelled) AS labelled, MAX(purity) AS purity FROM h{d} GROUP BY ALL),
+          b{d} AS (SELECT *, CASE WHEN children >= {WIDE} AND branch * {WIDE} < pages THEN '*'
+              ELSE '*:' || CASE WHEN own >= {REJECT} THEN 'block' WHEN own <= 1 - {REJECT} THEN 'allow' ELSE 'mixed' END || ':' || main END AS family
+            FROM (SELECT host, node, child, SUM(n) AS branch, {_smooth_sql('SUM(blocked)', 'SUM(labelled)', 'MAX(purity)')} AS own, arg_max(follow, row(n, follow)) AS main,
+              COUNT(*) OVER (PARTITION BY host, node) AS children, SUM(SUM(n)) OVER (PARTITION BY host, node) AS pages FROM k{d} GROUP BY host, node, child)),
           c{d} AS (SELECT host, node, family, child, follow, branch, SUM(n) AS n FROM h{d} JOIN b{d} USING (host, node, child) GROUP BY ALL),
           q{d} AS (SELECT *, SUM(n) OVER (PARTITION BY host, node, family, follow) AS pooled, SUM(n) OVER (PARTITION BY host, node, family) AS whole FROM c{d}),
           t{d} AS (SELECT host, node, family, child, SUM(n::DOUBLE * n * whole / (branch::DOUBLE * pooled)) - MAX(branch) AS value FROM q{d} GROUP BY ALL),
