@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordered import exact_quantiles
+from .select import exact_quantiles
 
 
 def group_loss(pred: DataFrame, group: str, with_risk: bool = True, top: int | None = None,
@@ -89,19 +89,18 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, approx: bool
 def describe(df: DataFrame, columns: list[str], key: str, percentiles=(0.01, 0.05, 0.5, 0.95, 0.99)) -> DataFrame:
     """Count, mean, sample std, min, exact percentiles, max per column (long form).
 
-    The columns are unpivoted to (column, value) and ranked once; percentiles come
-    from the distributed exact quantile operator, never from a whole-column buffer.
+    The columns are written once, side by side, and unpivoted to (column, value) where they are read;
+    percentiles come from cells of values, of which only those that hold one are ordered.
     """
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
-    # narrow long table read by the moments and by the quantiles: materialise once
-    long = df.selectExpr(key, f"stack({len(columns)}, {pairs}) as (column, value)").checkpoint(eager=True)
+    pairs = ", ".join(f"'{c}', `{c}`" for c in columns)
+    wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).checkpoint(eager=True)
+    long = wide.selectExpr(f"stack({len(columns)}, {pairs}) as (column, value)")
     stats = long.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    qs = exact_quantiles(long, "value", list(percentiles), key, partition_by=["column"])
+    qs = exact_quantiles(long, "value", list(percentiles), partition_by=["column"], written=True)
     names = [f"p{int(round(p * 100)):02d}" for p in percentiles]
-    wide_q = qs.groupBy("column").pivot("_i", list(range(len(percentiles)))).agg(F.first("q"))
-    wide_q = wide_q.select("column", *[F.col(str(i)).alias(n) for i, n in enumerate(names)])
+    wide_q = qs.groupBy("column").agg(*[F.max(F.when(F.col("_i") == i, F.col("q"))).alias(n) for i, n in enumerate(names)])
     return stats.join(wide_q, "column", "left")  # a column without values has no percentiles
 
 

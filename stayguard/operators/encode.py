@@ -6,21 +6,48 @@ the keys up with left joins and falls back to the prior (target mean) or 0
 (frequency) for unseen keys. Fit and transform are separate functions, so the
 validation and test rows can never leak into the statistics.
 
-Lookup tables are as large as the number of distinct keys. Each column is one left
-equi-join on the key without a hint: the planner broadcasts a side it has measured
-to be small, and splits a hot key ("Unknown") otherwise.
+Lookup tables are as large as the number of distinct keys, and a row is looked up in many of
+them. ``lookup_columns`` does all columns in one join: the distinct key tuples are unpivoted to (tuple,
+column, key), joined once and pivoted back, and the rows meet their tuple in a single shuffle.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import unknown_if_missing
 from ..functions.constants import ENCODER_DEFAULT_PRIOR, ENCODER_SMOOTHING, TARGET_ENCODED_COLUMNS
-from .ordered import exact_quantiles
+from .select import exact_quantiles
+
+#: A key is hot in its column if it holds one part in so many of the counted rows: a column has at most this many.
+HOT_PARTS = 1000
+
+
+def lookup_columns(df: DataFrame, keys: dict[str, Column], table: DataFrame, payload: list[str], found: str = "_found") -> DataFrame:
+    """``df`` with the struct ``found`` that holds, per name in ``keys``, the payload of its key (NULL if unseen).
+
+    ``table``: (column, key, n, payload...), unique in (column, key); ``n``: the rows counted at the key. Hot keys,
+    at most HOT_PARTS a column, are broadcast, so the shuffled join of the others has no hot key, and
+    key tuples that many rows share are looked up once. NULL keys are looked up as such and never found.
+    """
+    names = list(keys)
+    rows = df.withColumn("_keys", F.struct(*[keys[c].cast("string").alias(c) for c in names]))
+    tuples = rows.select("_keys").distinct()
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col("_keys").getField(c).alias("key")) for c in names])
+    long = tuples.select("_keys", F.explode(pairs).alias("_p")).select("_keys", "_p.*").where("key is not null")
+    some = table.where(F.col("column").isin(names))
+    total = some.groupBy("column").agg(F.sum("n").alias("_total"))  # one row a column
+    some = some.join(F.broadcast(total), "column").withColumn("_hot", F.col("n") * HOT_PARTS >= F.col("_total"))
+    value = F.struct(*payload).alias("_value")
+    hot = F.broadcast(some.where("_hot").select("column", "key", value))
+    cold = some.where("not _hot").select("column", "key", value)
+    met = long.join(hot, ["column", "key"]).unionByName(long.join(hot, ["column", "key"], "left_anti").join(cold, ["column", "key"]))
+    wide = met.groupBy("_keys").agg(F.struct(*[F.max(F.when(F.col("column") == c, F.col("_value"))).alias(c) for c in names]).alias(found))
+    return rows.join(wide, "_keys", "left").drop("_keys")
+
 
 @dataclass
 class EncoderModel:
@@ -55,25 +82,43 @@ def fit_target_encoder(train: DataFrame, target: str = "is_canceled", columns: l
 #: Columns whose log frequency is a feature too.
 FREQUENCY_COLUMNS = ("agent", "company_raw")
 
+#: The wide variant: nine log frequencies, six of them with target means, smoothed with 100 rows.
+WIDE_FREQUENCIES = ("country", "agent", "company_raw", "market_segment", "distribution_channel", "reserved_room_type", "deposit_type",
+                    "customer_type", "hotel")
+WIDE_MEANS = WIDE_FREQUENCIES[:6]
+WIDE_SMOOTHING = 100.0
+
 
 def _prefix(col: str) -> str:
     return "company" if col == "company_raw" else col
 
 
-def transform_target_encoder(df: DataFrame, model: EncoderModel) -> DataFrame:
-    """Left-join lookups; unseen -> prior (target mean) / 0 (frequency)."""
+def encoder_keys(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """The key of each encoded column; a column that is not there is unknown."""
+    return {c: unknown_if_missing(F.col(c)) if c in df.columns else F.lit("Unknown") for c in columns}
+
+
+def encoded_columns(means: list[str], frequencies: list[str], found: str = "_found") -> dict[str, Column]:
+    """Feature columns from what ``lookup_columns`` found and the column ``prior``: unseen -> prior / 0."""
+    of = lambda c, f: F.col(f"`{found}`.`{c}`.`{f}`")
+    return {**{f"{_prefix(c)}_freq_log": F.log1p(F.coalesce(of(c, "n").cast("double"), F.lit(0.0))) for c in frequencies},
+            **{f"{_prefix(c)}_target_mean_smooth": F.coalesce(of(c, "smooth_mean"), F.col("prior")) for c in means}}
+
+
+def transform_target_encoder(df: DataFrame, model: EncoderModel, means: list[str] | None = None, frequencies: list[str] | None = None) -> DataFrame:
+    """Smoothed means of ``means`` (all columns of the model) and log frequencies of ``frequencies``
+    (those of FREQUENCY_COLUMNS), one lookup for all; unseen -> prior (target mean) / 0 (frequency)."""
+    means = list(model.columns if means is None else means)
+    frequencies = [c for c in model.columns if c in FREQUENCY_COLUMNS] if frequencies is None else list(frequencies)
     out = df.crossJoin(F.broadcast(model.prior))  # one row
-    for col in model.columns:
-        p = _prefix(col)
-        lookup = model.stats.where(F.col("column") == col).select(
-            F.col("key").alias("_key"), F.col("n").alias("_n"), F.col("smooth_mean").alias("_mean"))
-        key = unknown_if_missing(F.col(col)) if col in df.columns else F.lit("Unknown")
-        adds = {f"{p}_target_mean_smooth": F.coalesce(F.col("_mean"), F.col("prior"))}
-        if col in FREQUENCY_COLUMNS:
-            adds[f"{p}_freq_log"] = F.log1p(F.coalesce(F.col("_n").cast("double"), F.lit(0.0)))
-        out = out.withColumn("_own", key).join(lookup, F.col("_own") == F.col("_key"), "left")
-        out = out.withColumns(adds).drop("_own", "_key", "_n", "_mean")
-    return out.drop("prior")
+    out = lookup_columns(out, encoder_keys(df, list(dict.fromkeys([*means, *frequencies]))), model.stats, ["n", "smooth_mean"])
+    return out.withColumns(encoded_columns(means, frequencies)).drop("prior", "_found")
+
+
+def wide_encoding(df: DataFrame, train: DataFrame, target: str = "is_canceled") -> DataFrame:
+    """M4: nine log frequencies and six target means of m = 100, counted on ``train`` only."""
+    model = fit_target_encoder(train, target, list(WIDE_FREQUENCIES), WIDE_SMOOTHING)
+    return transform_target_encoder(df, model, list(WIDE_MEANS), list(WIDE_FREQUENCIES))
 
 
 def frequency_table(train: DataFrame, columns: list[str]) -> DataFrame:
@@ -87,13 +132,12 @@ def frequency_table(train: DataFrame, columns: list[str]) -> DataFrame:
 
 def fit_quantile_clip(train: DataFrame, columns: list[str], key: str, low: float = 0.001,
                       high: float = 0.999) -> DataFrame:
-    """Train-only clip edges per numeric column (exact, distributed quantiles). One row."""
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
-    long = train.selectExpr(key, f"stack({len(columns)}, {pairs}) as (column, value)")
-    q = exact_quantiles(long, "value", [low, high], key, partition_by=["column"])
-    wide = q.groupBy().pivot("column", columns).agg(
-        F.min(F.when(F.col("_i") == 0, F.col("q"))).alias("lo"), F.max(F.when(F.col("_i") == 1, F.col("q"))).alias("hi"))
-    return wide
+    """Train-only clip edges per numeric column (exact quantiles from cells of values). One row."""
+    pairs = ", ".join(f"'{c}', `{c}`" for c in columns)
+    wide = train.select(*[F.col(c).cast("double").alias(c) for c in columns]).checkpoint(eager=True)
+    q = exact_quantiles(wide.selectExpr(f"stack({len(columns)}, {pairs}) as (column, value)"), "value", [low, high], partition_by=["column"], written=True)
+    edges = [F.max(F.when((F.col("column") == c) & (F.col("_i") == i), F.col("q"))).alias(f"{c}_{end}") for c in columns for i, end in enumerate(("lo", "hi"))]
+    return q.agg(*edges)
 
 
 def apply_quantile_clip(df: DataFrame, edges: DataFrame, columns: list[str]) -> DataFrame:

@@ -12,7 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import exact_quantiles, global_order
+from .ordered import global_order
+from .select import exact_quantiles, top_sums
 
 
 def _y(label: str) -> Column:
@@ -111,11 +112,12 @@ def _topk_columns(i: int, frac: float, rounding: str) -> list[Column]:
 
 
 def score_metrics(df: DataFrame, label: str, score: str, key: str, fracs: list[float], rounding: str = "floor",
-                  groups: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
+                  groups: list[str] | None = None, threshold: float = 0.5, written: bool = False) -> DataFrame:
     """Everything that distinct scores tell, in one pass over them per group: roc_auc, pr_auc, brier,
-    tp, fp, fn at the threshold, and precision / recall / lift at each share."""
+    tp, fp, fn at the threshold, and precision / recall / lift at each share. ``written``: df is cheap to read again."""
     g = list(groups or [])
-    rows = df.select(*g, key, label, score).where(F.col(score).isNotNull()).checkpoint(eager=True)  # read by the counts and by the cuts
+    rows = df.select(*g, key, label, score).where(F.col(score).isNotNull())
+    rows = rows if written else rows.checkpoint(eager=True)  # read by the counts and by the cuts
     cum = cumulated_scores(rows, label, score, g).checkpoint(eager=True)
     s, pos, neg = F.col(score), F.col("pos"), F.col("neg")
     out = cum.groupBy(*g).agg(
@@ -139,10 +141,13 @@ def score_metrics(df: DataFrame, label: str, score: str, key: str, fracs: list[f
 
 def topk(df: DataFrame, label: str, score: str, key: str, frac: float = 0.2, rounding: str = "floor",
          groups: list[str] | None = None) -> DataFrame:
-    """Precision / recall / lift in the top ``frac`` by score (ties: smaller id first)."""
-    pct = int(round(frac * 100))
-    rows = score_metrics(df, label, score, key, [frac], rounding, groups)
-    return rows.select(*(groups or []), f"precision_at_{pct}", f"recall_at_{pct}", f"lift_at_{pct}")
+    """Precision / recall / lift in the top ``frac`` by score (ties: smaller id first), from cells of scores: no order of all rows."""
+    g = list(groups or [])
+    rows = df.where(F.col(score).isNotNull()).select(*g, key, score, _y(label).alias("_y")).checkpoint(eager=True)  # narrow, read by each pass
+    sums = top_sums(rows, g, score, key, {"_hits": F.col("_y")}, [(frac, _cut(F.col("_size"), frac, rounding)), (1.0, F.col("_size"))])
+    wide = sums.groupBy(*g).agg(F.max("_size").alias("_rows"), F.max(F.when(F.col("_t") == 0, F.col("_hits"))).alias("_hit0"),
+                                F.max(F.when(F.col("_t") == 1, F.col("_hits"))).alias("_P")).where("_rows is not null")
+    return wide.select(*g, *_topk_columns(0, frac, rounding))
 
 
 def confusion(df: DataFrame, label: str, score: str, threshold: float = 0.5,
@@ -182,7 +187,7 @@ def f2_threshold(df: DataFrame, label: str, score: str, key: str) -> DataFrame:
     sums over at most 62 buckets.
     """
     scores = score_table(df.select(key, score, label), label, score).checkpoint(eager=True)
-    grid = exact_quantiles(scores, score, GRID_PROBS, weight=F.col("pos") + F.col("neg"))
+    grid = exact_quantiles(scores, score, GRID_PROBS, weight=F.col("pos") + F.col("neg"), written=True)
     arr = grid.agg(F.array_sort(F.collect_list(F.struct(F.col("_i").alias("grid_index"), F.col("q").alias("t")))).alias("_g"))  # 61 entries
     reach = F.size(F.filter(F.col("_g"), lambda e: F.col(score) >= e["t"]))
     buckets = scores.crossJoin(F.broadcast(arr)).groupBy("_g", reach.alias("_reach")).agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
@@ -237,13 +242,12 @@ def segment_quality(df: DataFrame, segment_cols: list[str] | str, label: str, sc
     (segment, value) and every metric runs once, grouped by that pair."""
     cols = [segment_cols] if isinstance(segment_cols, str) else list(segment_cols)
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
-    long = df.selectExpr(f"`{key}`", f"`{label}`", f"`{score}`", f"`{loss}`",
-                         f"stack({len(cols)}, {pairs}) as (segment, value)")
-    long = long.checkpoint(eager=True)  # narrow; read by the sums and by the scores
+    rows = df.select(key, label, score, loss, *cols).checkpoint(eager=True)  # each row once; unpivoted where it is read
+    long = rows.selectExpr(f"`{key}`", f"`{label}`", f"`{score}`", f"`{loss}`", f"stack({len(cols)}, {pairs}) as (segment, value)")
     g = ["segment", "value"]
     base = long.groupBy(*g).agg(F.count(F.lit(1)).alias("rows"), F.avg(_y(label)).alias("cancel_rate"),
                                 F.sum(loss).alias("expected_loss_sum"))
-    metrics = score_metrics(long, label, score, key, [0.20], "ceil", g).select(
+    metrics = score_metrics(long, label, score, key, [0.20], "ceil", g, written=True).select(
         F.col("segment").alias("_s"), F.col("value").alias("_v"), "roc_auc", "pr_auc", "precision_at_20", "recall_at_20", "lift_at_20")
     out = base.join(metrics, F.col("segment").eqNullSafe(F.col("_s")) & F.col("value").eqNullSafe(F.col("_v")))
     return out.where(F.col("rows") >= min_rows).select(

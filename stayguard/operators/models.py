@@ -4,7 +4,7 @@ Pipeline = train-only target / frequency encoder (``encode.py``) ->
 median imputation of numeric features -> rare categories pooled -> one-hot
 -> vector assembly -> scaling without centring -> classifier. Probabilities
 are calibrated on the validation split (Platt or isotonic). Candidate settings
-are a short driver-side list; each candidate is one distributed fit.
+are a short driver-side list; each candidate is one distributed fit, a few run side by side.
 
 Class balance ("balanced" weights) enters as ``weightCol``. Spark's GBT cannot
 reproduce the original boosting library (no leaf-count control), so metrics are
@@ -14,8 +14,10 @@ our own and are never claimed to equal the original numbers.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -30,6 +32,10 @@ from . import evaluate as EV
 
 LABEL = "is_canceled"
 KEY = "booking_id"
+#: Marks the rows on which boosting watches its error, to stop where it no longer falls.
+VALID = "_valid"
+#: Candidates fitted at a time: their jobs share the executors, so that the short ones of one fill the gaps of another.
+FITS_AT_ONCE = 4
 
 
 def class_weight_column(train: DataFrame, label: str = LABEL) -> DataFrame:
@@ -44,7 +50,7 @@ def class_weight_column(train: DataFrame, label: str = LABEL) -> DataFrame:
 class CategoryTables:
     """Train-only category state: the text mode of each column (one row) and the kept categories."""
     modes: DataFrame   # one row: _mode_<column>
-    kept: DataFrame    # column, value  (categories seen >= min_frequency times in train)
+    kept: DataFrame    # column, value, n  (categories seen n >= min_frequency times in train)
 
 
 def fit_category_tables(train: DataFrame, columns: list[str], min_frequency: int = 10) -> CategoryTables:
@@ -52,21 +58,31 @@ def fit_category_tables(train: DataFrame, columns: list[str], min_frequency: int
     modes = train.agg(*[F.mode(c).alias(f"_mode_{c}") for c in columns])
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in columns)
     long = train.selectExpr(f"stack({len(columns)}, {pairs}) as (column, value)")
-    kept = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n")).where(
-        F.col("_n") >= min_frequency).select("column", "value")
+    kept = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_frequency)
     return CategoryTables(modes=modes, kept=kept)
 
 
-def apply_category_tables(df: DataFrame, tables: CategoryTables, columns: list[str]) -> DataFrame:
-    """M6: NULL -> train mode; M8: categories outside the kept set -> 'infrequent'."""
+def with_modes(df: DataFrame, tables: CategoryTables, columns: list[str]) -> DataFrame:
+    """M6: NULL -> train mode."""
     j = df.crossJoin(F.broadcast(tables.modes))
-    out = j.withColumns({c: F.coalesce(F.col(c), F.col(f"_mode_{c}")) for c in columns}).drop(
-        *[f"_mode_{c}" for c in columns])
-    for c in columns:
-        kept = tables.kept.where(F.col("column") == c).select(F.col("value").alias("_kept"))
-        out = out.join(kept, F.col(c) == F.col("_kept"), "left").withColumn(
-            c, F.when(F.col("_kept").isNotNull(), F.col(c)).otherwise(F.lit("infrequent"))).drop("_kept")
-    return out
+    return j.withColumns({c: F.coalesce(F.col(c), F.col(f"_mode_{c}")) for c in columns}).drop(*[f"_mode_{c}" for c in columns])
+
+
+def category_lookup(tables: CategoryTables) -> DataFrame:
+    """The kept categories as a lookup table, their columns named apart from those of the encoder."""
+    return tables.kept.select(F.concat(F.lit("cat_"), "column").alias("column"), F.col("value").alias("key"), "n")
+
+
+def pooled(columns: list[str], found: str = "_found") -> dict[str, Column]:
+    """M8: categories outside the kept set -> 'infrequent'."""
+    return {c: F.when(F.col(f"`{found}`.`cat_{c}`").isNotNull(), F.col(c)).otherwise(F.lit("infrequent")) for c in columns}
+
+
+def apply_category_tables(df: DataFrame, tables: CategoryTables, columns: list[str]) -> DataFrame:
+    """M6 + M8, all columns in one lookup."""
+    out = with_modes(df, tables, columns)
+    out = ENC.lookup_columns(out, {f"cat_{c}": F.col(c) for c in columns}, category_lookup(tables), ["n"])
+    return out.withColumns(pooled(columns)).drop("_found")
 
 
 def classifier(kind: str, params: dict | None = None, seed: int = 42, rows: int = 1):
@@ -86,7 +102,8 @@ def classifier(kind: str, params: dict | None = None, seed: int = 42, rows: int
                              maxIter=params.get("maxIter", 60), stepSize=params.get("stepSize", 0.1),
                              maxDepth=params.get("maxDepth", 6),
                              minInstancesPerNode=params.get("minInstancesPerNode", 70),
-                             subsamplingRate=params.get("subsamplingRate", 0.9))
+                             subsamplingRate=params.get("subsamplingRate", 0.9), validationIndicatorCol=VALID,
+                             validationTol=params.get("validationTol", 0.002), maxMemoryInMB=512)
     raise ValueError(kind)
 
 
@@ -114,17 +131,25 @@ class TrainedModel:
     calibrator: object | None = None
     name: str = ""
     metrics: dict = field(default_factory=dict)
+    categorical: list[str] = field(default_factory=lambda: list(CATEGORICAL_FEATURES))
 
 
-def _encode(df: DataFrame, encoder: ENC.EncoderModel, categories: CategoryTables) -> DataFrame:
+def _encode(df: DataFrame, encoder: ENC.EncoderModel, categories: CategoryTables, categorical: list[str]) -> DataFrame:
+    """Encoded columns and pooled categories, from one lookup over both tables."""
     base = df.drop(*[c for c in df.columns if c.endswith("_target_mean_smooth") or c.endswith("_freq_log")])
-    out = ENC.transform_target_encoder(base, encoder)
-    return apply_category_tables(out, categories, CATEGORICAL_FEATURES)
+    own = base.withColumns({f"_own_{c}": k for c, k in ENC.encoder_keys(base, encoder.columns).items()})  # as it came, before a mode fills it
+    out = with_modes(own, categories, categorical).crossJoin(F.broadcast(encoder.prior))
+    keys = {**{c: F.col(f"_own_{c}") for c in encoder.columns}, **{f"cat_{c}": F.col(c) for c in categorical}}
+    table = encoder.stats.select("column", "key", "n", "smooth_mean").unionByName(
+        category_lookup(categories).withColumn("smooth_mean", F.lit(None).cast("double")))
+    out = ENC.lookup_columns(out, keys, table, ["n", "smooth_mean"])
+    encoded = ENC.encoded_columns(encoder.columns, [c for c in encoder.columns if c in ENC.FREQUENCY_COLUMNS])
+    return out.withColumns({**encoded, **pooled(categorical)}).drop("prior", "_found", *[f"_own_{c}" for c in encoder.columns])
 
 
 def raw_probability(model: TrainedModel, df: DataFrame) -> DataFrame:
     """Probability of the positive class as a double column ``raw_score``."""
-    enc = _encode(df, model.encoder, model.categories)
+    enc = _encode(df, model.encoder, model.categories, model.categorical)
     scored = model.pipeline.transform(enc)
     return scored.withColumn("raw_score", vector_to_array("probability").getItem(1))
 
@@ -189,51 +214,61 @@ DEFAULT_CANDIDATES = [
 
 
 def train_model(prepared: DataFrame, candidates=None, calibration: str = "platt", seed: int = 42,
-                max_rows: int | None = None) -> TrainedModel:
-    """M17 + M22: fit each candidate on train, select by 0.5 ROC + 0.3 AP + 0.2 Lift@20/3 on valid,
+                max_rows: int | None = None, numeric: list[str] | None = None, categorical: list[str] | None = None,
+                encoded: list[str] | None = None) -> TrainedModel:
+    """M17 + M22: fit the candidates on train, select by 0.5 ROC + 0.3 AP + 0.2 Lift@20/3 on valid,
     calibrate on valid, report test metrics. ``prepared`` needs ``is_canceled``; the split
     is the existing column, else creation-date cutoffs, else chronological (D8, D10, W7);
     an empty test or valid split falls back to seeded hash buckets (U4). ``max_rows``, if given,
     bounds about the train rows that the classifier fit reads (those of the least seeded hashes);
-    splits, encoder, categories, imputing, scaling, choice, calibration and metrics use all rows."""
+    splits, encoder, categories, imputing, scaling, choice, calibration and metrics use all rows.
+
+    The feature vectors of train and valid are written once and read by all candidates, which are fitted side by side; boosting
+    stops where its error on valid no longer falls (M12). ``numeric``, ``categorical`` and ``encoded``: the input columns, those of the
+    engine if not given; the columns that encoding adds come on top of ``numeric``."""
     from .filters import id_hash
     from .rank import assign_split, fill_empty_splits
     candidates = candidates or DEFAULT_CANDIDATES
+    categorical = list(CATEGORICAL_FEATURES if categorical is None else categorical)
+    encoded = list(ENC.TARGET_ENCODED_COLUMNS if encoded is None else encoded)
+    made = list(ENC.encoded_columns(encoded, [c for c in encoded if c in ENC.FREQUENCY_COLUMNS]))
+    numeric = [c for c in (NUMERIC_FEATURES if numeric is None else numeric) if c not in ENCODED_FEATURES] + made
     prepared, strategy = assign_split(prepared)
     sizes = _split_sizes(prepared)
     prepared, moved = fill_empty_splits(prepared, sizes, seed)
     if moved:
         strategy, sizes = "random_fallback", _split_sizes(prepared)
-    train = prepared.where(F.col("split") == "train")
-    valid = prepared.where(F.col("split") == "valid")
-    test = prepared.where(F.col("split") == "test")
-    # train rows are read by every candidate fit: materialise once in the shared checkpoint folder
-    train = train.checkpoint(eager=True)
-    encoder = ENC.fit_target_encoder(train, LABEL)
-    categories = fit_category_tables(train, CATEGORICAL_FEATURES)
-    # the feature stages and every candidate fit (each of its iterations) read the encoded train set: materialise it once
-    enc_train = _encode(train, encoder, categories).checkpoint(eager=True)
-    features = Pipeline(stages=feature_stages(list(NUMERIC_FEATURES), CATEGORICAL_FEATURES)).fit(enc_train)
+    split = lambda name: prepared.where(F.col("split") == name)
+    # train rows are read by the statistics and by the features: materialise once in the shared checkpoint folder
+    train = split("train").checkpoint(eager=True)
+    encoder = ENC.fit_target_encoder(train, LABEL, encoded)
+    categories = fit_category_tables(train, categorical)
+    enc_train = _encode(train, encoder, categories, categorical).select(KEY, LABEL, *numeric, *categorical).checkpoint(eager=True)
+    features = Pipeline(stages=feature_stages(numeric, categorical)).fit(enc_train)
     fit_rows, rows = enc_train, sizes.get("train", 0)
     if max_rows and rows > max_rows:
         fit_rows = enc_train.where(id_hash(F.col(KEY), seed + 2) < int(max_rows / rows * (1 << 60)))
         rows = fit_rows.count()
-    fit_table = features.transform(class_weight_column(fit_rows).checkpoint(eager=True))
-    best = None
-    report = []
-    for name, kind, params in candidates:
-        fitted = PipelineModel(stages=[*features.stages, classifier(kind, params, seed, rows).fit(fit_table)])
-        tm = TrainedModel(pipeline=fitted, encoder=encoder, categories=categories, name=name)
-        v = raw_probability(tm, valid).select(KEY, LABEL, "raw_score").checkpoint(eager=True)  # for choice and calibration
+    enc_valid = _encode(split("valid"), encoder, categories, categorical).select(KEY, LABEL, *numeric, *categorical)
+    table = features.transform(class_weight_column(fit_rows).withColumn(VALID, F.lit(False)).unionByName(
+        enc_valid.withColumns({"weight": F.lit(1.0), VALID: F.lit(True)}))).select(KEY, LABEL, "weight", VALID, "features").checkpoint(eager=True)
+    fit_table, valid_table = table.where(~F.col(VALID)), table.where(F.col(VALID))
+
+    def fit(candidate: tuple) -> tuple:
+        name, kind, params = candidate
+        fitted = classifier(kind, params, seed, rows).fit(table if kind == "gbt" else fit_table)
+        v = fitted.transform(valid_table).select(KEY, LABEL, vector_to_array("probability").getItem(1).alias("raw_score")).checkpoint(eager=True)
         m = evaluate_scores(v, "raw_score")
-        sel = EV.selection_score(m["roc_auc"], m["pr_auc"], m["lift_at_20"])
-        report.append({"name": name, "valid_roc_auc": m["roc_auc"], "valid_pr_auc": m["pr_auc"],
-                       "valid_lift@20": m["lift_at_20"], "selection_score": sel})
-        if best is None or sel > best[0]:
-            best = (sel, tm, v)
-    _, model, valid_scored = best
+        return name, fitted, v, m, EV.selection_score(m["roc_auc"], m["pr_auc"], m["lift_at_20"])
+
+    with ThreadPoolExecutor(max_workers=min(FITS_AT_ONCE, len(candidates))) as pool:
+        results = list(pool.map(inheritable_thread_target(prepared.sparkSession)(fit), candidates))
+    report = [{"name": name, "valid_roc_auc": m["roc_auc"], "valid_pr_auc": m["pr_auc"], "valid_lift@20": m["lift_at_20"], "selection_score": sel,
+               "rounds": len(fitted.trees) if hasattr(fitted, "trees") else None} for name, fitted, _, m, sel in results]
+    name, fitted, valid_scored, *_ = max(results, key=lambda r: r[-1])  # the first of equal ones
+    model = TrainedModel(pipeline=PipelineModel(stages=[*features.stages, fitted]), encoder=encoder, categories=categories, name=name, categorical=categorical)
     model.calibrator = fit_platt(valid_scored) if calibration == "platt" else fit_isotonic(valid_scored)
-    scored_test = raw_probability(model, test).select(KEY, LABEL, "raw_score").checkpoint(eager=True)
+    scored_test = raw_probability(model, split("test")).select(KEY, LABEL, "raw_score").checkpoint(eager=True)
     t = apply_calibration(scored_test, model.calibrator)
     cal = evaluate_scores(t, "calibrated")
     raw = evaluate_scores(scored_test, "raw_score")
@@ -360,10 +395,43 @@ def select_feature_columns(df: DataFrame, deny: tuple[str, ...] = ()) -> tuple[l
     return numeric, categorical
 
 
-def cross_dataset_validation(model: TrainedModel, other_prepared: DataFrame) -> dict:
-    """Score a second source with a model trained on the first and evaluate it."""
-    scored = apply_calibration(raw_probability(model, other_prepared), model.calibrator)
-    return evaluate_scores(scored, "calibrated")
+def usable_columns(df: DataFrame, numeric: list[str], categorical: list[str]) -> list[str]:
+    """Columns that tell rows apart: there, with two known values at least (one pass, one row)."""
+    known = lambda c: F.col(c) if c in numeric else F.when(~F.col(c).isin("Unknown"), F.col(c))
+    there = [c for c in [*numeric, *categorical] if c in df.columns]
+    row = df.agg(*[(F.min(known(c)) < F.max(known(c))).alias(c) for c in there]).first()
+    return [c for c in there if row[c]]
+
+
+def shared_columns(first: DataFrame, second: DataFrame, numeric: list[str] | None = None, categorical: list[str] | None = None) -> tuple[list[str], list[str]]:
+    """Numeric and categorical inputs that both sources can feed: a column that is missing, constant or
+    unknown in either one leaves the set."""
+    numeric = [c for c in (NUMERIC_FEATURES if numeric is None else numeric) if c not in ENCODED_FEATURES]
+    categorical = list(CATEGORICAL_FEATURES if categorical is None else categorical)
+    both = set(usable_columns(first, numeric, categorical)) & set(usable_columns(second, numeric, categorical))
+    return [c for c in numeric if c in both], [c for c in categorical if c in both]
+
+
+def cross_dataset_validation(first: DataFrame, second: DataFrame, candidates=None, seed: int = 42) -> tuple[TrainedModel, DataFrame]:
+    """Train on the columns that both sources share, then evaluate on the first one's test rows and on all of the second.
+
+    Returns the model and two rows: dataset, n, base_cancel, roc_auc, pr_auc, brier, precision20, recall20, lift20."""
+    from .rank import assign_split, fill_empty_splits
+    numeric, categorical = shared_columns(first, second)
+    encoded = [c for c in ENC.TARGET_ENCODED_COLUMNS if c in categorical or (c not in CATEGORICAL_FEATURES and c in usable_columns(first, [], [c])
+                                                                             and c in usable_columns(second, [], [c]))]
+    first, _ = assign_split(first)
+    first, _ = fill_empty_splits(first, _split_sizes(first), seed)
+    model = train_model(first, candidates, seed=seed, numeric=numeric, categorical=categorical, encoded=encoded)
+    out = None
+    for name, rows in (("main_test_common", first.where(F.col("split") == "test")), ("external_additional", second)):
+        scored = apply_calibration(raw_probability(model, rows), model.calibrator).select(KEY, LABEL, "calibrated").checkpoint(eager=True)
+        base = scored.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(LABEL).cast("double")).alias("base_cancel"))
+        m = EV.score_metrics(scored, LABEL, "calibrated", KEY, [0.20], "ceil", written=True)
+        row = base.crossJoin(m).select(F.lit(name).alias("dataset"), "n", "base_cancel", "roc_auc", "pr_auc", "brier", F.col("precision_at_20").alias("precision20"),
+                                       F.col("recall_at_20").alias("recall20"), F.col("lift_at_20").alias("lift20"))
+        out = row if out is None else out.unionByName(row)
+    return model, out
 
 
 def score_bookings(spark, prepared: DataFrame, model_path: str | None = None, require_trained: bool = False) -> DataFrame:

@@ -77,39 +77,6 @@ def global_order(df: DataFrame, order: list[Column], rank_col: str = "rank",
                     *[f"{x}_{k}" for k in cumulative for x in ("_v", "_c", "_o")])
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], key: str | None = None,
-                    partition_by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
-    """Exact linearly interpolated quantiles (numpy / pandas default, DuckDB ``quantile_cont``).
-
-    Distinct values are ranked with their multiplicities (a value repeated by many rows, or
-    given with a ``weight``, is one row); value v covers the order statistics
-    (_cum - _c, _cum]. One conditional aggregate per group then picks the two neighbours of
-    each probability. NULL values are ignored.
-    Returns one row per (group, prob): ``prob``, ``q``.
-    """
-    groups = list(partition_by or [])
-    vals = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_x"),
-                                                     (F.lit(1) if weight is None else weight).alias("_w"))
-    dist = vals.groupBy(*groups, "_x").agg(F.sum("_w").cast("long").alias("_c")).where("_c > 0")
-    ranked = global_order(dist, [F.col("_x").asc()], "_k", cumulative={"_cum": F.col("_c")}, partition_by=groups, totals={"_n": "_cum"})
-
-    def at(position: Column) -> Column:
-        """The value at a 1-based order statistic."""
-        return F.max(F.when((position > F.col("_cum") - F.col("_c")) & (position <= F.col("_cum")), F.col("_x")))
-
-    picked = []
-    for i, q in enumerate(probs):
-        pos = F.lit(float(q)) * (F.col("_n") - 1)
-        picked += [at(F.floor(pos) + 1).alias(f"_lo{i}"), at(F.ceil(pos) + 1).alias(f"_hi{i}")]
-    wide = ranked.groupBy(*groups).agg(F.max("_n").alias("_size"), *picked).where("_size is not null")
-    rows = []
-    for i, q in enumerate(probs):
-        pos = F.lit(float(q)) * (F.col("_size") - 1)
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        rows.append(F.struct(F.lit(i).alias("_i"), F.lit(float(q)).alias("prob"), (lo + (hi - lo) * (pos - F.floor(pos))).alias("q")))
-    return wide.select(*groups, F.explode(F.array(*rows)).alias("_r")).select(*groups, "_r.*")
-
-
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     """Contiguous 1..n surrogate id in input order, without a global sort.
 

@@ -2,9 +2,9 @@
 
 Small top-k (k bounded by a constant: 10, 15, 20) is ``orderBy().limit(k)``,
 which Spark plans as TakeOrderedAndProject: each task keeps only k rows.
-Ranks that grow with the data (top 20 %, equal-count bins, 70/15/15 split,
-running loss) use the distributed ``global_order`` instead of a
-single-partition window. Every ordering ends with ``booking_id`` so ties are
+Sums of a top share and the best prefix count cells of values and order rows only
+in the cells that hold a cut (``select``); row numbers that every row needs (equal-count
+bins, 70/15/15 split) use the distributed ``global_order`` instead of a single-partition window. Every ordering ends with ``booking_id`` so ties are
 deterministic.
 """
 
@@ -17,8 +17,9 @@ from ..functions.columns import date_from_parts, month_num_from_name, normalize_
 from ..functions.constants import SPLIT_TRAIN_CUTOFF, SPLIT_VALID_CUTOFF
 from ..sources.bookings import split_label
 from .filters import hash_bucket
-from .ordered import exact_quantiles, global_order
+from .ordered import global_order
 from .schema import calendar_date
+from .select import best_prefix, exact_quantiles, top_sums
 
 KEY = "booking_id"
 
@@ -33,70 +34,43 @@ def top_n(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
     return df.orderBy(*order).limit(int(n))
 
 
-def top_fraction_rank(df: DataFrame, score: str = "business_priority_score") -> DataFrame:
-    """Rank by priority (1 = highest) with the table size attached."""
-    return global_order(df, [F.desc_nulls_last(score), F.asc(KEY)], "priority_rank", size_col="_rows")
-
-
 def economics(df: DataFrame, shares=(0.1, 0.2, 0.3), success_rate: float = 0.25,
               cost_per_action: float = 150.0, rounding: str = "floor") -> DataFrame:
-    """Intervention economics of the top share by priority, one row per scenario.
+    """A26 + O3: intervention economics of the top share by priority, one row per scenario.
 
     n_sel = max(1, int(n*share)); loss of the selected rows, protected = loss*rate,
     cost = n_sel*cost, net. Empty input gives zeros.
     """
-    ranked = top_fraction_rank(df.select(KEY, "business_priority_score", "expected_loss", "deposit_type"))
-
-    def k_of(share: float) -> Column:
-        x = F.col("_rows") * F.lit(float(share))
-        return F.greatest(F.lit(1), (F.floor(x) if rounding == "floor" else F.ceil(x)).cast("long"))
-
-    # one pass with a conditional aggregate per scenario (no row multiplication)
-    no_dep = (F.col("deposit_type") == "No Deposit").cast("double")
-    non_ref = (F.col("deposit_type") == "Non Refund").cast("double")
-    aggs = []
-    for i, s in enumerate(shares):
-        sel = F.col("priority_rank") <= k_of(s)
-        aggs += [F.sum(F.when(sel, F.col("expected_loss"))).alias(f"_l{i}"), F.count_if(sel).alias(f"_c{i}"),
-                 F.sum(F.when(sel, no_dep)).alias(f"_nd{i}"), F.sum(F.when(sel, non_ref)).alias(f"_nr{i}"),
-                 F.max(k_of(s)).alias(f"_k{i}")]
-    wide = ranked.agg(*aggs)
-    rows = []
-    for i, s in enumerate(shares):
-        k = F.when(F.col(f"_c{i}") > 0, F.col(f"_k{i}")).otherwise(F.lit(0))
-        loss = F.coalesce(F.col(f"_l{i}"), F.lit(0.0))
-        rows.append(F.struct(
-            F.lit(float(s)).alias("top_share"), k.cast("double").alias("selected_bookings"), loss.alias("expected_loss"),
-            (loss * F.lit(success_rate)).alias("gross_protected_revenue"),
-            (k * F.lit(cost_per_action)).cast("double").alias("intervention_cost"),
-            (loss * F.lit(success_rate) - k * F.lit(cost_per_action)).alias("net_effect"),
-            F.try_divide(F.col(f"_nd{i}"), F.col(f"_c{i}")).alias("share_no_deposit"),
-            F.try_divide(F.col(f"_nr{i}"), F.col(f"_c{i}")).alias("share_non_refund")))
-    return wide.select(F.explode(F.array(*rows)).alias("_s")).select("_s.*")
+    rows = df.select(KEY, "business_priority_score", "expected_loss", "deposit_type").checkpoint(eager=True)  # narrow, read by each pass
+    measures = {"_loss": F.col("expected_loss"), "_nd": (F.col("deposit_type") == "No Deposit").cast("double"),
+                "_nr": (F.col("deposit_type") == "Non Refund").cast("double")}
+    whole = F.floor if rounding == "floor" else F.ceil
+    top = top_sums(rows, [], "business_priority_score", KEY, measures,
+                   [(s, F.greatest(F.lit(1).cast("long"), whole(F.col("_size") * F.lit(float(s))).cast("long"))) for s in shares])
+    names = df.sparkSession.createDataFrame([(i, float(s)) for i, s in enumerate(shares)], "_t int, top_share double")
+    k, loss = F.coalesce("_k", F.lit(0)), F.coalesce("_loss", F.lit(0.0))
+    return names.join(top, "_t", "left").select(
+        "top_share", k.cast("double").alias("selected_bookings"), loss.alias("expected_loss"), (loss * F.lit(success_rate)).alias("gross_protected_revenue"),
+        (k * F.lit(cost_per_action)).cast("double").alias("intervention_cost"), (loss * F.lit(success_rate) - k * F.lit(cost_per_action)).alias("net_effect"),
+        F.try_divide("_nd", "_k").alias("share_no_deposit"), F.try_divide("_nr", "_k").alias("share_non_refund"))
 
 
 def prefix_optimum(df: DataFrame, success_rate: float = 0.25, cost_per_action: float = 150.0,
-                   score: str = "business_priority_score") -> DataFrame:
-    """The priority prefix with the best net = cum_loss*rate - k*cost; empty if <= 0.
+                   score: str = "business_priority_score", only: str | None = None) -> DataFrame:
+    """The priority prefix with the best net = cum_loss*rate - k*cost; zeros if none gains.
 
-    Ties of the net keep the smallest k. One summary row.
+    Ties of the net keep the smallest k. ``only``: a boolean column of the rows that count (a filter above this
+    operator would be pushed below the columns it is derived from, and derive them again). One summary row.
     """
-    loss = F.greatest(F.coalesce(F.col("expected_loss").cast("double"), F.lit(0.0)), F.lit(0.0))
-    ranked = global_order(df.select(KEY, score, "expected_loss"), [F.desc_nulls_last(score), F.asc(KEY)], "k",
-                          cumulative={"cum_loss": loss})
-    net = F.col("cum_loss") * F.lit(success_rate) - F.col("k") * F.lit(cost_per_action)
-    best = ranked.withColumn("net", net).agg(
-        F.min_by(F.struct("k", "cum_loss", "net"), F.struct((-F.col("net")).alias("a"), F.col("k").alias("b"))).alias("b"),
-        F.sum(loss).alias("total"))
-    ok = (F.col("total") > 0) & (F.col("b.net") > 0)
-    z = F.lit(0.0)
-    return best.select(
-        F.when(ok, F.col("b.k").cast("double")).otherwise(z).alias("review_count"),
-        F.when(ok, F.col("b.cum_loss")).otherwise(z).alias("review_expected_loss"),
-        F.when(ok, F.col("b.cum_loss") * F.lit(success_rate)).otherwise(z).alias("protected"),
-        F.when(ok, F.col("b.k") * F.lit(cost_per_action)).otherwise(z).alias("cost"),
-        F.when(ok, F.col("b.net")).otherwise(z).alias("net"),
-    )
+    rows = df.select(KEY, score, "expected_loss", *([only] if only else [])).checkpoint(eager=True)  # narrow, read by each pass
+    rows = rows.where(F.col(only)) if only else rows
+    rows = rows.withColumn("_loss", F.greatest(F.coalesce(F.col("expected_loss").cast("double"), F.lit(0.0)), F.lit(0.0)))
+    best = best_prefix(rows, score, KEY, F.col("_loss") * F.lit(success_rate) - F.lit(cost_per_action), {"cum_loss": F.col("_loss")})
+    best = best.where("net > 0").agg(F.max("k").alias("k"), F.max("cum_loss").alias("cum_loss"))  # one row, also where none gains
+    k, cum = F.coalesce("k", F.lit(0)), F.coalesce("cum_loss", F.lit(0.0))
+    protected, cost = cum * F.lit(success_rate), (k * F.lit(cost_per_action)).cast("double")
+    return best.select(k.cast("double").alias("review_count"), cum.alias("review_expected_loss"), protected.alias("protected"),
+                       cost.alias("cost"), (protected - cost).alias("net"))
 
 
 def equal_count_bins(df: DataFrame, value: str, q: int = 5, out: str = "bin", keep: list[str] | None = None) -> DataFrame:

@@ -282,6 +282,27 @@ def q_target_encode(spark, sf):
     return out.select("booking_id", *outs)
 
 
+def _wide_sql() -> str:
+    cols, means = ENC.WIDE_FREQUENCIES, ENC.WIDE_MEANS
+    m = ENC.WIDE_SMOOTHING
+    stats = ", ".join(f"s_{c} AS (SELECT {c} AS k, COUNT(*) AS n, AVG(CAST(is_canceled AS DOUBLE)) AS mean FROM prepared WHERE split = 'train' GROUP BY {c})" for c in cols)
+    name = lambda c: "company" if c == "company_raw" else c
+    out = ", ".join([f"ROUND(ln(1 + COALESCE(s_{c}.n, 0)), 6) AS {name(c)}_freq_log" for c in cols]
+                    + [f"ROUND(COALESCE((s_{c}.mean * s_{c}.n + prior * {m}) / (s_{c}.n + {m}), prior), 6) AS {name(c)}_target_mean_smooth" for c in means])
+    joins = " ".join(f"LEFT JOIN s_{c} ON s_{c}.k = p.{c}" for c in cols)
+    return f""", pr AS (SELECT AVG(CAST(is_canceled AS DOUBLE)) AS prior FROM prepared WHERE split = 'train'), {stats}
+SELECT p.booking_id, {out} FROM prepared p CROSS JOIN pr {joins}"""
+
+
+@register("wide_encoding", _wide_sql())
+def q_wide_encoding(spark, sf):
+    """M4: nine log frequencies and six target means (100 rows of smoothing), counted on train, written to all rows"""
+    p = inputs.prepared(spark, sf)
+    out = ENC.wide_encoding(p.drop(*[c for c in p.columns if c.endswith("_target_mean_smooth") or c.endswith("_freq_log")]), p.where(F.col("split") == "train"))
+    made = [c for c in out.columns if c.endswith("_freq_log") or c.endswith("_target_mean_smooth")]
+    return out.select("booking_id", *[r6(c) for c in made])
+
+
 FREQ_COLS = ["agent", "company_raw", "country", "market_segment", "distribution_channel", "deposit_type", "meal",
              "reserved_room_type", "customer_type"]
 

@@ -142,12 +142,12 @@ def q_metric_deltas(spark, sf):
 
 @register("cross_dataset")
 def q_cross_dataset(spark, sf):
-    """The model trained on the first source scores the second one"""
+    """A model of the columns that both sources share, on the test rows of the first and on all of the second (two rows)"""
     from ..operators.features import prepare_features
     from .dataset_queries import prepared_second
     other = prepare_features(prepared_second(spark, sf), keep=("is_canceled",))
-    m = M.cross_dataset_validation(_trained(spark, sf), other)
-    return spark.createDataFrame([(k, v) for k, v in sorted(m.items())], "metric string, value double")
+    _, rows = inputs.memo(spark, sf, "model-shared", lambda: M.cross_dataset_validation(inputs.prepared(spark, sf), other))
+    return rows
 
 
 @register("text_model_metrics")
@@ -168,7 +168,7 @@ UNION ALL SELECT 'booking_value', ROUND(quantile_cont(booking_value, 0.5), 6) FR
 """)
 def q_train_medians(spark, sf):
     """M5: exact train medians of numeric features"""
-    from ..operators.ordered import exact_quantiles
+    from ..operators.select import exact_quantiles
     p = inputs.prepared(spark, sf).where(F.col("split") == "train")
     long = p.selectExpr("booking_id", "stack(3, 'lead_time', lead_time, 'adr', adr, 'booking_value', booking_value) as (column, value)")
     return exact_quantiles(long, "value", [0.5], "booking_id", partition_by=["column"]).select("column", r6("q", "median"))

@@ -96,8 +96,7 @@ FROM (SELECT b.*, (t.total > 0 AND b.net > 0) AS ok FROM b, t)
 """)
 def q_prefix_optimum(spark, sf):
     """W3 on the actionable list"""
-    s = inputs.scored(spark, sf).where("actionable")
-    o = R.prefix_optimum(s)
+    o = R.prefix_optimum(inputs.scored(spark, sf), only="actionable")
     return o.select("review_count", r6("review_expected_loss"), r6("protected"), r6("cost"), r6("net"))
 
 

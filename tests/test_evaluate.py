@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stayguard.operators import evaluate as EV
-from stayguard.operators.ordered import exact_quantiles, global_order
+from stayguard.operators.ordered import global_order
+from stayguard.operators.select import exact_quantiles
 
 
 def scores(spark, y, s, groups=None):
