@@ -19,6 +19,7 @@ from ..functions.columns import (
 from ..functions.constants import (
     CATEGORICAL_FEATURES, FEATURE_COLUMNS, NUMERIC_FEATURES, REQUIRED_COLUMNS, TARGET_ENCODING_OUTPUT_FEATURES,
 )
+from .ordered import global_order
 from .schema import calendar_date, day_number, drop_leakage, ensure_columns, normalize_input_schema, require_complete
 
 FLOORED = [
@@ -145,14 +146,36 @@ def prepare_features(df: DataFrame, strict: bool = False, keep: tuple[str, ...]
     return out.select("booking_id", "arrival_date", *FEATURE_COLUMNS, *extra)
 
 
+#: Copies of one row that one task numbers.
+COPIES = 100_000
+
+
 def _with_ids(df: DataFrame) -> DataFrame:
-    """Ids as given; a row whose id is NULL gets one of its own, ``row-<k>`` as text or ``-<k>``
-    as a number, so that it never meets a given one. Decided row by row: no job runs."""
-    dtype = df.schema["booking_id"].dataType
-    k = F.monotonically_increasing_id() + 1
+    """Ids as given; a row whose id is NULL gets one that follows from its content, however the rows are split.
+
+    Text: ``row-<digest>-<k>``, the k-th of the equal rows, counting on from given ids of that form. Numbers: below 0 and
+    below every given id, in the order of digest and k. Equal rows are counted first, so a row that most
+    rows repeat is one row until its copies are numbered.
+    """
+    dtype, others = df.schema["booking_id"].dataType, [c for c in df.columns if c != "booking_id"]
+    digest = F.sha2(F.to_json(F.struct(*others)), 256)
+    none = df.where(F.col("booking_id").isNull()).select(digest.alias("_digest"), F.struct(*others).alias("_row"))
+    some = none.groupBy("_digest").agg(F.first("_row").alias("_row"), F.count(F.lit(1)).alias("_n"))
+    parts = some.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES)))).repartition("_digest", "_part")
+    first = F.col("_part") * COPIES + 1
+    rows = parts.withColumn("_k", F.explode(F.sequence(first, F.least(F.col("_n"), first + (COPIES - 1)))))
+    given = df.where(F.col("booking_id").isNotNull())
     if isinstance(dtype, T.NumericType):
-        return df.withColumn("booking_id", F.coalesce(F.col("booking_id").cast("long"), -k))
-    return df.withColumn("booking_id", F.coalesce(F.col("booking_id").cast("string"), F.concat(F.lit("row-"), k.cast("string"))))
+        least = given.agg(F.coalesce(F.least(F.min(F.col("booking_id").cast("long")), F.lit(0)), F.lit(0)).cast("long").alias("_least"))  # one row
+        ranked = global_order(rows.select("_digest", "_row", "_k"), [F.asc("_digest"), F.asc("_k")], "_rank")
+        made = ranked.crossJoin(F.broadcast(least)).select((F.col("_least") - F.col("_rank")).alias("booking_id"), "_row.*")
+        return given.withColumn("booking_id", F.col("booking_id").cast("long")).unionByName(made)
+    own = F.col("booking_id").cast("string")
+    taken = given.where(own.rlike("^row-[0-9a-f]{64}-[0-9]+$")).groupBy(F.substring(own, 5, 64).alias("_digest")).agg(
+        F.max(F.substring_index(own, "-", -1).try_cast("long")).alias("_taken"))
+    made = rows.join(taken, "_digest", "left").select(
+        F.concat(F.lit("row-"), F.col("_digest"), F.lit("-"), (F.col("_k") + F.coalesce("_taken", F.lit(0))).cast("string")).alias("booking_id"), "_row.*")
+    return given.withColumn("booking_id", own).unionByName(made)
 
 
 def model_matrix(df: DataFrame) -> DataFrame:

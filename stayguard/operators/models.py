@@ -14,6 +14,7 @@ our own and are never claimed to equal the original numbers.
 from __future__ import annotations
 
 import json
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import CATEGORICAL_FEATURES, NUMERIC_FEATURES, TARGET_ENCODING_OUTPUT_FEATURES as ENCODED_FEATURES
 from . import encode as ENC
 from . import evaluate as EV
+from . import files
 
 LABEL = "is_canceled"
 KEY = "booking_id"
@@ -292,50 +294,65 @@ def predict(model: TrainedModel, prepared: DataFrame) -> DataFrame:
 
 
 def save_model(model: TrainedModel, path: str) -> None:
-    """Pipeline, encoder statistics, calibrator and metrics under one folder."""
-    model.pipeline.write().overwrite().save(f"{path}/pipeline")
-    model.encoder.stats.write.mode("overwrite").parquet(f"{path}/encoder_stats")
-    model.encoder.prior.write.mode("overwrite").parquet(f"{path}/encoder_prior")
-    model.categories.modes.write.mode("overwrite").parquet(f"{path}/category_modes")
-    model.categories.kept.write.mode("overwrite").parquet(f"{path}/category_kept")
-    if model.calibrator is not None:
-        model.calibrator.write().overwrite().save(f"{path}/calibrator")
+    """Pipeline, encoder statistics, calibrator and metrics, each save in a folder of its own.
+
+    The pointer ``CURRENT`` is renamed to the new folder last, so a save that dies leaves the model before it in
+    place. The folder before the one that was current is removed: a reader that follows the old pointer still finds its own.
+    """
     spark = model.encoder.stats.sparkSession
-    spark.createDataFrame([(json.dumps({"name": model.name, "metrics": model.metrics,
-                                        "calibrator": type(model.calibrator).__name__}, default=str),)],
-                          "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    folder = f"{path}/versions/{uuid.uuid4().hex}"
+    model.pipeline.write().save(f"{folder}/pipeline")
+    model.encoder.stats.write.parquet(f"{folder}/encoder_stats")
+    model.encoder.prior.write.parquet(f"{folder}/encoder_prior")
+    model.categories.modes.write.parquet(f"{folder}/category_modes")
+    model.categories.kept.write.parquet(f"{folder}/category_kept")
+    if model.calibrator is not None:
+        model.calibrator.write().save(f"{folder}/calibrator")
+    meta = {"name": model.name, "metrics": model.metrics, "calibrator": type(model.calibrator).__name__, "columns": model.encoder.columns,
+            "smoothing": model.encoder.smoothing, "categorical": model.categorical}
+    spark.createDataFrame([(json.dumps(meta, default=str),)], "value string").coalesce(1).write.text(f"{folder}/meta")
+    before = json.loads(files.read_text(spark, f"{path}/CURRENT") or "{}")
+    files.point(spark, f"{path}/CURRENT", json.dumps({"folder": folder, "previous": before.get("folder")}))
+    if before.get("previous"):
+        files.remove(spark, before["previous"])
+
+
+def current_model(spark, path: str) -> str | None:
+    """The folder of the current model: where the pointer leads, else ``path`` itself where a model was saved without one."""
+    text = files.read_text(spark, f"{path}/CURRENT")
+    if text:
+        return json.loads(text)["folder"]
+    return path if files.exists(spark, f"{path}/meta") else None
 
 
 def model_exists(spark, path: str) -> bool:
     """Asks the file system of the path (any address that Spark can read)."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
-    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
+    return current_model(spark, path) is not None
 
 
 def load_model(spark, path: str, require_trained: bool = False) -> TrainedModel | None:
     """The saved model; None (the caller falls back to the rule score) only where there is none.
 
-    ``meta`` is written last by ``save_model``, so it stands for a complete model. A model
-    that is there but cannot be read is an error.
+    A model that is there but cannot be read is an error.
     """
-    if not model_exists(spark, path):
+    folder = current_model(spark, path)
+    if folder is None:
         if require_trained:
             raise FileNotFoundError(f"trained model not found at {path}")
         return None
-    pipeline = PipelineModel.load(f"{path}/pipeline")
-    meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
+    pipeline = PipelineModel.load(f"{folder}/pipeline")
+    meta = json.loads(spark.read.text(f"{folder}/meta").first()["value"])
     cal = None
     if meta.get("calibrator") == "LogisticRegressionModel":
-        cal = LogisticRegressionModel.load(f"{path}/calibrator")
+        cal = LogisticRegressionModel.load(f"{folder}/calibrator")
     elif meta.get("calibrator") == "IsotonicRegressionModel":
-        cal = IsotonicRegressionModel.load(f"{path}/calibrator")
-    enc = ENC.EncoderModel(stats=spark.read.parquet(f"{path}/encoder_stats"),
-                           prior=spark.read.parquet(f"{path}/encoder_prior"),
-                           columns=list(ENC.TARGET_ENCODED_COLUMNS), smoothing=ENC.ENCODER_SMOOTHING)
-    cats = CategoryTables(modes=spark.read.parquet(f"{path}/category_modes"),
-                          kept=spark.read.parquet(f"{path}/category_kept"))
-    return TrainedModel(pipeline=pipeline, encoder=enc, categories=cats,
-                        calibrator=cal, name=meta.get("name", ""), metrics=meta.get("metrics", {}))
+        cal = IsotonicRegressionModel.load(f"{folder}/calibrator")
+    enc = ENC.EncoderModel(stats=spark.read.parquet(f"{folder}/encoder_stats"), prior=spark.read.parquet(f"{folder}/encoder_prior"),
+                           columns=meta.get("columns", list(ENC.TARGET_ENCODED_COLUMNS)), smoothing=meta.get("smoothing", ENC.ENCODER_SMOOTHING))
+    kept = spark.read.parquet(f"{folder}/category_kept")
+    cats = CategoryTables(modes=spark.read.parquet(f"{folder}/category_modes"), kept=kept if "n" in kept.columns else kept.withColumn("n", F.lit(1).cast("long")))
+    return TrainedModel(pipeline=pipeline, encoder=enc, categories=cats, calibrator=cal, name=meta.get("name", ""), metrics=meta.get("metrics", {}),
+                        categorical=meta.get("categorical", list(CATEGORICAL_FEATURES)))
 
 
 TEXT_ALPHAS = (1e-5, 3e-5, 1e-4, 3e-4, 1e-3)

@@ -7,7 +7,7 @@ Layout under one root folder (a shared filesystem path on a cluster):
 * ``batches/``     one header row per batch, written **last**: it is the commit marker, and
                    every reader goes through it, so a batch that died half-way is not seen
 * ``ledger/``      append-only status rows (created, queued, scoring, completed, failed)
-* ``audit/``       append-only audit events with a JSON payload
+* ``audit/``       append-only audit events with a JSON payload; both logs are folded into snapshots (``logs``)
 
 Each batch is written with dynamic partition overwrite: running it again replaces its own
 folders and nothing else, so a retry never doubles rows. Rows of a batch are matched by
@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import NUMERIC_PREDICTION_COLUMNS, PREDICTION_COLUMNS
+from . import logs
 from .business import batch_header
+from .files import exists
 from .filters import category_filter
 from .ordered import with_row_index
 
@@ -45,16 +47,10 @@ def _now() -> _dt.datetime:
     return _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Asks the file system of the path; an error of the storage is an error, not a "no"."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
-
-
 def _table(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     """A table of the store; empty before its first write."""
     path = f"{root}/{name}"
-    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def _replace(df: DataFrame, root: str, name: str) -> None:
@@ -64,14 +60,14 @@ def _replace(df: DataFrame, root: str, name: str) -> None:
 def write_audit(spark: SparkSession, root: str, event: str, entity: str, entity_id: str, payload: dict) -> None:
     """Append one audit row (payload as JSON text)."""
     row = [(str(uuid.uuid4()), event, entity, entity_id, json.dumps(payload, ensure_ascii=False, default=str), _now())]
-    spark.createDataFrame(row, AUDIT).write.mode("append").parquet(f"{root}/audit")
+    logs.append(spark.createDataFrame(row, AUDIT), root, "audit", AUDIT)
 
 
 def set_status(spark: SparkSession, root: str, batch_id: str, status: str, name: str | None = None, file_name: str | None = None,
                source: str | None = None, files: int | None = None, error: str | None = None) -> None:
     """R2: append one status row; the error text is kept whole."""
     row = [(batch_id, name, file_name, source, status, files, error, _now())]
-    spark.createDataFrame(row, LEDGER).coalesce(1).write.mode("append").parquet(f"{root}/ledger")
+    logs.append(spark.createDataFrame(row, LEDGER), root, "ledger", LEDGER)
 
 
 def create_batch(spark: SparkSession, root: str, name: str, file_name: str | None = None, source: str = "csv",
@@ -85,9 +81,14 @@ def create_batch(spark: SparkSession, root: str, name: str, file_name: str | Non
     return batch_id
 
 
+def audit_log(spark: SparkSession, root: str) -> DataFrame:
+    """All audit events."""
+    return logs.read(spark, root, "audit", AUDIT)
+
+
 def batch_status(spark: SparkSession, root: str) -> DataFrame:
     """R2: the latest state of every batch, with what its rows said about name, file and source."""
-    led = _table(spark, root, "ledger", LEDGER)
+    led = logs.read(spark, root, "ledger", LEDGER)
     order = F.struct("updated_at", F.array_position(F.array(*[F.lit(s) for s in STATUSES]), F.col("status")))
     known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
     return led.groupBy("batch_id").agg(
@@ -101,7 +102,7 @@ def headers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def is_complete(spark: SparkSession, root: str, batch_id: str) -> bool:
-    return _exists(spark, f"{root}/batches/batch_id={batch_id}")
+    return exists(spark, f"{root}/batches/batch_id={batch_id}")
 
 
 def with_row_id(raw: DataFrame) -> DataFrame:

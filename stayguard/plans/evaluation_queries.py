@@ -200,7 +200,7 @@ def q_segment_quality(spark, sf):
                       r6("precision_at_20"), r6("recall_at_20"), r6("lift_at_20"), r6("expected_loss_sum"))
 
 
-@register("evaluation_row", """
+_EVALUATION_SQL = """
 , st AS (SELECT risk_score, CAST(SUM(is_canceled) AS DOUBLE) AS pos, CAST(SUM(1 - is_canceled) AS DOUBLE) AS neg
          FROM scored GROUP BY risk_score),
 auc AS (SELECT SUM(pos * (below + 0.5 * neg)) / (SUM(pos) * SUM(neg)) AS roc_auc
@@ -229,7 +229,10 @@ SELECT ROUND(roc_auc, 6) AS roc_auc, ROUND(pr_auc, 6) AS pr_auc, ROUND(brier, 6)
   ROUND(p20, 6) AS precision_at_20, ROUND(r20, 6) AS recall_at_20, ROUND(l20, 6) AS lift_at_20, 0.5 AS threshold,
   ROUND(0.35 * roc_auc + 0.25 * pr_auc + 0.20 * LEAST(l20 / 3, 1) + 0.10 * r20 + 0.10 * (1 - brier), 6) AS quality_index
 FROM auc, ap, br, pr, t10, t20
-""")
+"""
+
+
+@register("evaluation_row", _EVALUATION_SQL)
 def q_evaluation_row(spark, sf):
     """M19 + N16: one row of metrics for the rule score over the whole table"""
     row = EV.quality_index(EV.evaluation_row(inputs.scored(spark, sf), "is_canceled", "risk_score", "booking_id"))
@@ -238,6 +241,30 @@ def q_evaluation_row(spark, sf):
     return row.select(*[r6(c) for c in cols], F.col("threshold").cast("double").alias("threshold"), r6("quality_index"))
 
 
+def _run_sql() -> str:
+    """The evaluation of one split, in long form."""
+    def of(split: str) -> str:
+        body = _EVALUATION_SQL.replace("FROM scored", f"FROM (SELECT * FROM scored WHERE split = '{split}')")
+        return f"SELECT * FROM (WITH {body.strip().removeprefix(',')}) UNPIVOT (v FOR metric IN (COLUMNS(*)))"
+    return f"""
+SELECT 'run-2' AS run_id, 'rule score' AS model, metric, 'run-1' AS previous_run, b.v AS previous, a.v AS current, ROUND(a.v - b.v, 6) AS delta
+FROM ({of('test')}) a JOIN ({of('valid')}) b USING (metric)"""
+
+
+@register("run_deltas", _run_sql())
+def q_run_deltas(spark, sf):
+    """The evaluation of a run (test) beside the stored run of the same model before it (valid), all metrics of M19"""
+    import datetime as dt
+    from ..operators.runs import record_run, run_deltas
+    from .dataset_queries import _scratch
+    root = _scratch(spark, "runs")
+    s = inputs.scored(spark, sf)
+    for k, (run, split, model) in enumerate([("run-0", "train", "other"), ("run-1", "train", "rule score"), ("run-1", "valid", "rule score"), ("run-2", "test", "rule score")]):
+        row = EV.quality_index(EV.evaluation_row(s.where(F.col("split") == split), "is_canceled", "risk_score", "booking_id"))
+        record_run(row.select(*[r6(c) for c in row.columns]), root, run, model, dt.datetime(2024, 1, 1 + k))
+    return run_deltas(spark, root, "run-2").withColumn("delta", F.round("delta", 6))
+
+
 # ---------------------------------------------------------------------------
 # encoders (fit on train, applied to every row)
 # ---------------------------------------------------------------------------

@@ -93,4 +93,4 @@ SELECT event, n FROM (VALUES ('batch_created', CAST(4 AS BIGINT)), ('batch_score
 def q_audit_log(spark, sf):
     """One audit row per event"""
     root = _two_batches(spark, sf, "audit")
-    return spark.read.parquet(f"{root}/audit").groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+    return S.audit_log(spark, root).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
