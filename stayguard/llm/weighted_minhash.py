@@ -48,6 +48,8 @@ DRAWS = 1 << 13
 STEP = 16384  # shingles sampled at a time
 #: Members of a bucket drawn in the first round, about.
 DRAWN = 4
+#: Weights of texts are compared in classes, each so many times the one before.
+WIDTH = 1.06
 
 
 class Shingles:
@@ -85,13 +87,14 @@ class Shingles:
         self.keys = self.key[self.firsts]
         self.df = np.diff(np.concatenate([self.firsts, [len(both)]]))
 
-    def weighted(self, codes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Text, key and log weight of each shingle in the order of texts; where each text starts."""
-        weight = np.log(self.tf * np.repeat(idf[codes], self.df).astype(np.float32))
+    def weighted(self, codes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, key, log weight and frequency code of each shingle in the order of texts; where each text starts."""
+        code = np.repeat(codes, self.df)
+        weight = np.log(self.tf * idf[code].astype(np.float32))
         order = np.argsort(self.text, kind="stable")
         text = self.text[order].astype(np.int64)
         begin = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.zeros(0, np.int64)
-        return text, self.key[order], weight[order], begin
+        return text, self.key[order], weight[order], code[order], begin
 
 
 def idf_table(n_texts: int) -> np.ndarray:
@@ -161,9 +164,11 @@ def _codes(order: np.ndarray, starts: np.ndarray, lens: np.ndarray, more: list[b
 def _signatures(idf: np.ndarray):
     def work(block: B.Block, right: pd.DataFrame) -> Iterator[pd.DataFrame]:
         s = Shingles(block, B.answers_of(right, 0))
-        text, key, weight, begin = s.weighted(np.frombuffer(B.answers_of(right, 1), np.uint8), idf)
+        text, key, weight, code, begin = s.weighted(np.frombuffer(B.answers_of(right, 1), np.uint8), idf)
         if len(begin):
-            yield pd.DataFrame({"id": block.ids[text[begin]], "bands": list(bands(samples(key, weight, begin)))})
+            value = np.exp(weight.astype(np.float64))
+            own = np.add.reduceat(np.where(code == 0, value, 0.0), begin) / np.add.reduceat(value, begin)  # what no other text holds
+            yield pd.DataFrame({"id": block.ids[text[begin]], "bands": list(bands(samples(key, weight, begin))), "own": own})
     return work
 
 
@@ -173,23 +178,65 @@ def _vectors(idf: np.ndarray):
         if not len(wanted):
             return
         s = Shingles(block, B.answers_of(right, 0))
-        text, key, weight, begin = s.weighted(np.frombuffer(B.answers_of(right, 1), np.uint8), idf)
+        text, key, weight, code, begin = s.weighted(np.frombuffer(B.answers_of(right, 1), np.uint8), idf)
         raw = np.ascontiguousarray(key, "<u8").view(np.uint8).reshape(-1, 8)[:, :6]
         value = np.exp(weight).astype("<f4")
-        rows = [(int(block.ids[text[a]]), raw[a:b].tobytes() + value[a:b].tobytes())
+        rows = [(int(block.ids[text[a]]), raw[a:b].tobytes() + value[a:b].tobytes() + code[a:b].tobytes())
                 for a, b in zip(begin, [*begin[1:], len(key)]) if block.ids[text[a]] in wanted]
         yield pd.DataFrame(rows, columns=["id", "vector"])
     return work
 
 
+def opened(vector: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, weights and frequency codes of a vector as ``_vectors`` lays it out: keys of six bytes in order, single floats, codes."""
+    n = len(vector) // 11
+    return B.unpacked(vector[:6 * n], 6), np.frombuffer(vector, "<f4", n, 6 * n).astype(np.float64), np.frombuffer(vector, np.uint8, n, 10 * n)
+
+
 def weighted_jaccard(a: bytes, b: bytes) -> float:
-    """Of two vectors as ``_vectors`` lays them out: keys of six bytes in order, then single floats."""
-    (ka, wa), (kb, wb) = (((B.unpacked(x[:len(x) // 10 * 6], 6)), np.frombuffer(x, "<f4", -1, len(x) // 10 * 6).astype(np.float64)) for x in (a, b))
+    (ka, wa, _), (kb, wb, _) = opened(a), opened(b)
     _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
     low = np.minimum(wa[i], wb[j]).sum()
     return float(low / (wa.sum() + wb.sum() - low))
 
 
+def rare_keys(vector: bytes, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Meeting points (step, key) of a text: any two similar enough share one.
+
+    Similar texts overlap by similarity / (1 + similarity) of their joint weight. In the order from the rarest shingle to the most common
+    one, the first shingle that two such texts share has that much of either one's weight from it on; so each text needs only the
+    rarest shingles up to where less is left than the overlap with the lightest partner of a step of weights. Steps pair the
+    two weights' classes (powers of WIDTH): the bound is near that of equal weights, a ninth of the weight at 0.8.
+    """
+    key, weight, code = opened(vector)
+    order = np.lexsort((key, code))
+    key, weight = key[order], weight[order]
+    total = weight.sum()
+    left = total - np.concatenate([[0.0], np.cumsum(weight)[:-1]])  # from each shingle on
+    mine = int(np.floor(np.log(total) / np.log(WIDTH)))
+    reach = int(np.ceil(-np.log(similarity) / np.log(WIDTH)))
+    steps, keys = [], []
+    for other in range(mine - reach, mine + reach + 1):
+        partner = max(WIDTH ** other, similarity * total) if other < mine else WIDTH ** other
+        need = similarity / (1 + similarity) * (total + partner) * (1 - 1e-6)
+        some = key[left >= need]
+        low, high = min(mine, other), max(mine, other)
+        steps.append(np.full(len(some), (low << 16) + high - low, np.int64))
+        keys.append(some)
+    return np.concatenate(steps), np.concatenate(keys).astype(np.int64)
+
+
+def meeting(vectors: DataFrame, similarity: float) -> DataFrame:
+    """(band, key, id): the texts of ``vectors`` by their meeting points."""
+    def points(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for i, v in zip(part.column("id").to_pylist(), part.column("vector")):
+                step, key = rare_keys(v.as_py(), similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(key), pa.array(np.full(len(key), i, np.int64))], ["band", "key", "id"])
+
+    return vectors.select("id", "vector").mapInArrow(points, "band bigint, key bigint, id bigint")
+
+
 def verified(pairs: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
     """The pairs (id, rep) whose vectors are similar enough."""
     mine, theirs = vectors.withColumnRenamed("vector", "a"), vectors.select(F.col("id").alias("rep"), F.col("vector").alias("b"))
@@ -228,15 +275,25 @@ def components(links: DataFrame) -> DataFrame:
 def linked(members: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
     """(id, class_id) of the classes of all similar pairs that meet in a bucket; ``members`` has band, key, id, rep.
 
-    First each member is compared with its bucket's representative. Then, in each bucket of several
-    classes, members outside its largest class are drawn, four times as many each round, and compared
-    with all members of other classes, until none is left. A pair is skipped only if it was compared
-    before or is in one class already, so the classes are those of all pairs.
+    First each member is compared with its bucket's representative, which makes one class of a text and its
+    edits. In buckets that still have several classes members meet by their rarest shingles only (``rare_keys``): similar ones share one,
+    edits that differ too much have theirs for themselves. Texts that meet there are compared until each pair was compared or is
+    in one class: those outside a meeting's largest class are drawn, four times as many each round, and compared with
+    all of other classes. So the classes are those of all pairs.
     """
     pair = (F.greatest("id", "rep").alias("id"), F.least("id", "rep").alias("rep"))
     tested = saved(members.filter("id <> rep").select(*pair).distinct(), "pairs")
     found = components(saved(verified(tested, vectors, similarity), "links"))
-    members, most = members.select("band", "key", "id", F.expr("id = rep").alias("done")), DRAWN
+    labelled = members.join(found, "id", "left").select("band", "key", "id", F.coalesce("class_id", "id").alias("class_id"))
+    labelled = saved(labelled, "labelled")
+    several = labelled.groupBy("band", "key").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).filter("a <> b").select("band", "key")
+    apart = saved(labelled.join(saved(several, "several"), ["band", "key"]).select("id").distinct(), "apart")
+    if apart.isEmpty():
+        return found
+    points = meeting(vectors.join(apart, "id"), similarity).distinct()
+    points = saved(points, "points")
+    shared = saved(points.groupBy("band", "key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("band", "key"), "shared")
+    members, most = points.join(shared, ["band", "key"]).select("band", "key", "id", F.lit(False).alias("done")), DRAWN
     while True:
         classed = members.join(found, "id", "left").select("band", "key", "id", "done", F.coalesce("class_id", "id").alias("class_id"))
         classed = saved(classed, "classed")
@@ -267,13 +324,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     answers = saved(B.later_copies(table, firsts), "copies")
     sent = B.with_answers(table, answers, _frequencies(n), B.MESSAGE)
     answers = answers.unionByName(saved(B.reduced(sent, 1, KEY_BYTES, _codes, np.ndarray.tobytes), "frequencies"))
-    signatures = saved(B.with_answers(table, answers, _signatures(idf), "id bigint, bands array<bigint>"), "signatures")
+    signatures = saved(B.with_answers(table, answers, _signatures(idf), "id bigint, bands array<bigint>, own double"), "signatures")
 
-    marks = signatures.select("id", F.posexplode("bands").alias("band", "key"))
-    rank = F.struct(F.xxhash64("id", "band"), "id")
+    marks = signatures.select("id", "own", F.posexplode("bands").alias("band", "key"))
+    rank = F.struct("own", F.xxhash64("id", "band"), "id")  # who has the least of its own is nearest to the others
     buckets = marks.groupBy("band", "key").agg(F.min_by("id", rank).alias("rep"), F.min("id").alias("low"), F.max("id").alias("high"))
     buckets = saved(buckets.filter("low <> high").select("band", "key", "rep"), "buckets")
-    members = saved(marks.join(buckets, ["band", "key"]), "members")
+    members = saved(marks.drop("own").join(buckets, ["band", "key"]), "members")
     wanted = members.select("id").distinct()
 
     def lists(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
