@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -105,3 +106,48 @@ def test_owners_tell_examples_from_credentials(spark):
     text = secret_ownership.scanned(df).join(df.select("doc_id", "text"), "doc_id").select("doc_id", secret_ownership.masked(F.col("text"), F.col("found")).alias("m"))
     out = {r["doc_id"]: r["m"] for r in text.collect()}
     assert out[10] == "my key <SECRET> ok" and out[0] == rows[0][1] and out[12] == dull
+
+
+def test_spans_of_all_kinds_by_brute_force(spark):
+    rng = random.Random(5)
+    pieces = ["password = ", "token:'", "AKIA", "ABCDEFGH12", "0123456789abcdef", "deadbeef" * 2, "zZ9_" * 6, "plain words ", "\n", "é", "api_key=", "A1b2C3d4E5f6G7h8I9j0K", "=", " "]
+    texts = ["".join(rng.choice(pieces) for _ in range(n)) for n in (0, 3, 10, 40, 40, 300, 3000)]
+    df = spark.createDataFrame([(i, t, f"s{i}", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    for r in secret_ownership.with_candidates(df, F.col("text")).collect():
+        base, more = [], []
+        for k, kind in enumerate(secret_ownership.KINDS):
+            for m in re.finditer(secret_ownership.PATTERNS[kind], r["text"]):
+                if len(m[1]) >= secret_ownership.LEAST[kind] and (kind != "owned" or re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1])):
+                    (more if kind == "owned" else base).append((m.start(), k, m.end()))
+        want = base + [s for s in more if not any(s[0] < b[2] and b[0] < s[2] for b in base)]
+        assert sorted((s["start"], s["kind"], s["end"]) for s in r["cands"]) == sorted(want)
+    for t, i in zip(texts, range(len(texts))):  # masking against plain slicing
+        spans = sorted((m.start(), 2, m.end(), rng.random() < 0.7) for m in re.finditer("[0-9a-f]{16,}", t))
+        spans += [(s[0] + 3, 3, s[2] + 2, True) for s in spans[:1]]
+        out, at = "", 0
+        for a, _, z, live in sorted(spans):
+            if live:
+                out, at = (out + t[at:a] + "<SECRET>" if a >= at else out), max(at, z)
+        one = spark.createDataFrame([(t, spans)], "text string, found array<struct<start:int,kind:int,end:int,live:boolean>>")
+        assert one.select(secret_ownership.masked(F.col("text"), F.col("found"))).first()[0] == out + t[at:]
+
+
+def test_time_grows_with_the_matches(spark):
+    def seconds(n):
+        text = " ".join(f"{i:08x}{i * 7919:024x} tok{i}A1b2C3d4E5f6G7h8" for i in range(n))
+        df = spark.createDataFrame([(1, text, "s", "en")], "doc_id long, text string, source string, lang string")
+        t0 = time.perf_counter()
+        row = secret_ownership.scanned(df).withColumn("m", F.length(secret_ownership.masked(F.lit(text), F.col("found")))).first()
+        assert row["n_hex"] == n and row["n_live"] > n // 2
+        return time.perf_counter() - t0
+
+    seconds(200)
+    few, many = seconds(2_000), seconds(20_000)
+    assert many < 10 * few + 30, (few, many)
+
+
+def test_copies_within_few_owners_are_not_live(spark):
+    value = "token=q8Zr2Lw9Xt4Vb7Nm3Kc6"
+    rows = [(i, value, "one", f"l{i}") for i in range(secret_ownership.MAX_REPOSITORIES + 1)] + [(10, "token=m5Yp1Hs8Gd2Fj4Aq9Wz7", "one", "l0")]
+    got = {r["doc_id"]: r for r in secret_ownership.scanned(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert (got[0]["n_live"], got[0]["n_shared"], got[0]["n_example"]) == (0, 1, 0) and (got[10]["n_live"], got[10]["n_shared"]) == (1, 0)
