@@ -46,8 +46,8 @@ KEY_BITS, KEY_BYTES = 48, 5
 #: Entries of the tables of draws.
 DRAWS = 1 << 13
 STEP = 16384  # shingles sampled at a time
-#: Members of a bucket drawn in the first round, about.
-DRAWN = 4
+#: Members of a meeting drawn in the first round, about, and how many times more in each later one.
+DRAWN, MORE = 32, 8
 #: Weights of texts are compared in classes, each so many times the one before.
 WIDTH = 1.06
 
@@ -200,13 +200,14 @@ def weighted_jaccard(a: bytes, b: bytes) -> float:
     return float(low / (wa.sum() + wb.sum() - low))
 
 
-def rare_keys(vector: bytes, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Meeting points (step, key) of a text: any two similar enough share one.
+def rare_keys(vector: bytes, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Meeting points (step, key, side) of a text: any two similar enough share one, on sides that meet.
 
     Similar texts overlap by similarity / (1 + similarity) of their joint weight. In the order from the rarest shingle to the most common
     one, the first shingle that two such texts share has that much of either one's weight from it on; so each text needs only the
     rarest shingles up to where less is left than the overlap with the lightest partner of a step of weights. Steps pair the
-    two weights' classes (powers of WIDTH): the bound is near that of equal weights, a ninth of the weight at 0.8.
+    two weights' classes (powers of WIDTH): the bound is near that of equal weights, a ninth of the weight at 0.8. In a step of two
+    classes the lighter texts (side 0) meet the heavier ones (side 1) only; in a step of one class all meet (side 2).
     """
     key, weight, code = opened(vector)
     order = np.lexsort((key, code))
@@ -215,7 +216,7 @@ def rare_keys(vector: bytes, similarity: float) -> tuple[np.ndarray, np.ndarray]
     left = total - np.concatenate([[0.0], np.cumsum(weight)[:-1]])  # from each shingle on
     mine = int(np.floor(np.log(total) / np.log(WIDTH)))
     reach = int(np.ceil(-np.log(similarity) / np.log(WIDTH)))
-    steps, keys = [], []
+    steps, keys, sides = [], [], []
     for other in range(mine - reach, mine + reach + 1):
         partner = max(WIDTH ** other, similarity * total) if other < mine else WIDTH ** other
         need = similarity / (1 + similarity) * (total + partner) * (1 - 1e-6)
@@ -223,18 +224,24 @@ def rare_keys(vector: bytes, similarity: float) -> tuple[np.ndarray, np.ndarray]
         low, high = min(mine, other), max(mine, other)
         steps.append(np.full(len(some), (low << 16) + high - low, np.int64))
         keys.append(some)
-    return np.concatenate(steps), np.concatenate(keys).astype(np.int64)
+        sides.append(np.full(len(some), 2 if mine == other else int(mine > other), np.int8))
+    return np.concatenate(steps), np.concatenate(keys).astype(np.int64), np.concatenate(sides)
 
 
 def meeting(vectors: DataFrame, similarity: float) -> DataFrame:
-    """(band, key, id): the texts of ``vectors`` by their meeting points."""
+    """(band, key, id, side): the texts of ``vectors`` by their meeting points. Of points where the same texts meet one is left."""
     def points(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for i, v in zip(part.column("id").to_pylist(), part.column("vector")):
-                step, key = rare_keys(v.as_py(), similarity)
-                yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(key), pa.array(np.full(len(key), i, np.int64))], ["band", "key", "id"])
+                step, key, side = rare_keys(v.as_py(), similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(key), pa.array(np.full(len(key), i, np.int64)), pa.array(side)], ["band", "key", "id", "side"])
 
-    return vectors.select("id", "vector").mapInArrow(points, "band bigint, key bigint, id bigint")
+    rows = saved(vectors.select("id", "vector").mapInArrow(points, "band bigint, key bigint, id bigint, side tinyint").distinct(), "points")
+    who = F.struct("id", "side")
+    met = rows.groupBy("band", "key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.min("side").alias("low"), F.max("side").alias("high"), F.count("*").alias("n"),
+                                          F.bit_xor(F.xxhash64(who)).alias("x"), F.sum(F.xxhash64(who, F.lit(1)) % (1 << 40)).alias("y"))
+    met = met.filter("a <> z and (low = 2 or low <> high)").groupBy("band", "n", "a", "z", "x", "y").agg(F.min("key").alias("key"))
+    return rows.join(saved(met.select("band", "key"), "met"), ["band", "key"])
 
 
 def verified(pairs: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
@@ -278,7 +285,7 @@ def linked(members: DataFrame, vectors: DataFrame, similarity: float) -> DataFra
     First each member is compared with its bucket's representative, which makes one class of a text and its
     edits. In buckets that still have several classes members meet by their rarest shingles only (``rare_keys``): similar ones share one,
     edits that differ too much have theirs for themselves. Texts that meet there are compared until each pair was compared or is
-    in one class: those outside a meeting's largest class are drawn, four times as many each round, and compared with
+    in one class: those outside a meeting's largest class are drawn, more each round, and compared with
     all of other classes. So the classes are those of all pairs.
     """
     pair = (F.greatest("id", "rep").alias("id"), F.least("id", "rep").alias("rep"))
@@ -290,12 +297,9 @@ def linked(members: DataFrame, vectors: DataFrame, similarity: float) -> DataFra
     apart = saved(labelled.join(saved(several, "several"), ["band", "key"]).select("id").distinct(), "apart")
     if apart.isEmpty():
         return found
-    points = meeting(vectors.join(apart, "id"), similarity).distinct()
-    points = saved(points, "points")
-    shared = saved(points.groupBy("band", "key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("band", "key"), "shared")
-    members, most = points.join(shared, ["band", "key"]).select("band", "key", "id", F.lit(False).alias("done")), DRAWN
+    members, most = saved(meeting(vectors.join(apart, "id"), similarity).withColumn("done", F.lit(False)), "meeting"), DRAWN
     while True:
-        classed = members.join(found, "id", "left").select("band", "key", "id", "done", F.coalesce("class_id", "id").alias("class_id"))
+        classed = members.join(found, "id", "left").select("band", "key", "id", "side", "done", F.coalesce("class_id", "id").alias("class_id"))
         classed = saved(classed, "classed")
         heads = classed.groupBy("band", "key", "class_id").agg(F.count("*").alias("n"), F.count_if(~F.col("done")).alias("open"))
         open_buckets = heads.groupBy("band", "key").agg(F.max(F.struct("n", "class_id", "open")).alias("top"), F.sum("open").alias("open"))
@@ -305,15 +309,16 @@ def linked(members: DataFrame, vectors: DataFrame, similarity: float) -> DataFra
             return found
         share = F.pmod(F.xxhash64("id", "band"), F.lit(1 << 30)) / F.lit(float(1 << 30))
         drawn = ~F.col("done") & (F.col("class_id") != F.col("largest")) & (share * F.col("open") < most)
-        members = saved(classed.join(open_buckets, ["band", "key"]).select("band", "key", "id", "class_id", "done", drawn.alias("drawn")), "members")
-        pivots = saved(members.filter("drawn").select("band", "key", F.col("id").alias("rep"), F.col("class_id").alias("rep_class")), "pivots")
-        others = members.filter("not done").join(pivots, ["band", "key"]).filter("class_id <> rep_class and (not drawn or id > rep)")
+        members = saved(classed.join(open_buckets, ["band", "key"]).select("band", "key", "id", "side", "class_id", "done", drawn.alias("drawn")), "members")
+        pivots = saved(members.filter("drawn").select("band", "key", F.col("id").alias("rep"), F.col("side").alias("rep_side"), F.col("class_id").alias("rep_class")), "pivots")
+        others = members.filter("not done").join(pivots, ["band", "key"]).filter(
+            "class_id <> rep_class and (side = 2 or side <> rep_side) and (not drawn or id > rep)")
         new = saved(others.select(*pair).distinct().join(tested, ["id", "rep"], "left_anti"), "pairs")
         more = saved(verified(new, vectors, similarity), "links")
         tested = tested.unionByName(new)
         if not more.isEmpty():
             found = components(found.select("id", F.col("class_id").alias("rep")).unionByName(more))
-        members, most = members.select("band", "key", "id", F.expr("done or drawn").alias("done")), 4 * most
+        members, most = members.select("band", "key", "id", "side", F.expr("done or drawn").alias("done")), MORE * most
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
