@@ -29,6 +29,19 @@ def listed(spark: SparkSession, folder: str) -> dict[str, tuple[int, int]]:
     return {n: v for n, v in found.items() if not n.startswith(("_", "."))}
 
 
+def data_files(spark: SparkSession, path: str) -> dict[str, tuple[int, int]]:
+    """Data files at or below a path: full name -> (bytes, time of change in ms)."""
+    fs, target = _at(spark, path)
+    if fs.getFileStatus(target).isFile():
+        found = [fs.getFileStatus(target)]
+    else:
+        found, walk = [], fs.listFiles(target, True)
+        while walk.hasNext():
+            found.append(walk.next())
+    hidden = lambda p: p.getName().startswith(("_", "."))
+    return {s.getPath().toUri().getPath(): (int(s.getLen()), int(s.getModificationTime())) for s in found if not hidden(s.getPath())}
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, target = _at(spark, path)
     fs.delete(target, True)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import NUMERIC_PREDICTION_COLUMNS, PREDICTION_COLUMNS
-from . import logs
+from . import files, logs
 from .business import batch_header
 from .files import exists
 from .filters import category_filter
@@ -214,3 +214,34 @@ def fingerprint(df: DataFrame) -> DataFrame:
     h = F.conv(F.substring(row_digest(df), 1, 15), 16, 10).cast("long")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash_sum"),
                   F.bit_xor(h).alias("hash_xor"))
+
+
+DIGESTS = "path string, bytes bigint, changed bigint, rows bigint, hash_sum decimal(38,0), hash_xor bigint"
+
+
+def fingerprint_files(spark: SparkSession, path: str, root: str) -> tuple[DataFrame, int]:
+    """S13 of a Parquet table, file by file: the digest of the table as ``fingerprint`` gives it, and how many files were read for it.
+
+    Sum and xor add up over files, so the digest of each file is kept in a log under ``root`` with its name,
+    length and time of change, and only files that the log does not know are read.
+    """
+    there = files.data_files(spark, path)
+    listed = spark.createDataFrame([(p, n, t) for p, (n, t) in there.items()], "path string, bytes bigint, changed bigint")
+    on = ["path", "bytes", "changed"]
+    known = logs.read(spark, root, "digests", DIGESTS).dropDuplicates(on)
+    new = [r["path"] for r in listed.join(known, on, "left_anti").collect()]  # names of files
+    if new:
+        scheme = path[:path.index(":") + 1] if ":" in path.split("/")[0] else ""
+        authority = path[len(scheme):].split("/")[2] if path[len(scheme):].startswith("//") else ""
+        at = [f"{scheme}//{authority}{p}" if scheme else p for p in new]
+        rows = spark.read.parquet(*at)
+        h = F.conv(F.substring(row_digest(rows), 1, 15), 16, 10).cast("long")
+        name = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:(//[^/]*)?", "")
+        made = rows.select(name.alias("path"), h.alias("_h")).groupBy("path").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum(F.col("_h").cast("decimal(38,0)")).cast("decimal(38,0)").alias("hash_sum"), F.bit_xor("_h").alias("hash_xor"))
+        fresh = listed.where(F.col("path").isin(new)).join(made, "path", "left")  # a file without rows counts as one
+        logs.append(fresh.select("path", "bytes", "changed", F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"), "hash_sum", "hash_xor"), root, "digests", DIGESTS)
+        known = logs.read(spark, root, "digests", DIGESTS).dropDuplicates(on)
+    total = listed.join(known, on).agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("rows"), F.sum("hash_sum").cast("decimal(38,0)").cast("string").alias("hash_sum"),
+                                       F.bit_xor("hash_xor").alias("hash_xor"))
+    return total, len(new)

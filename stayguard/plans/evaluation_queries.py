@@ -258,10 +258,12 @@ def q_run_deltas(spark, sf):
     from ..operators.runs import record_run, run_deltas
     from .dataset_queries import _scratch
     root = _scratch(spark, "runs")
-    s = inputs.scored(spark, sf)
+    at = [f"{name}_at_{pct}" for pct in (10, 20) for name in ("precision", "recall", "lift")]
+    metrics = ["roc_auc", "pr_auc", "brier", "precision", "recall", "f1", *at]
+    rows = EV.quality_index(EV.score_metrics(inputs.scored(spark, sf), "is_canceled", "risk_score", "booking_id", [0.10, 0.20], "ceil", SPLIT)).checkpoint(eager=True)
     for k, (run, split, model) in enumerate([("run-0", "train", "other"), ("run-1", "train", "rule score"), ("run-1", "valid", "rule score"), ("run-2", "test", "rule score")]):
-        row = EV.quality_index(EV.evaluation_row(s.where(F.col("split") == split), "is_canceled", "risk_score", "booking_id"))
-        record_run(row.select(*[r6(c) for c in row.columns]), root, run, model, dt.datetime(2024, 1, 1 + k))
+        row = rows.where(F.col("split") == split).select(*[r6(c) for c in metrics], F.lit(0.5).alias("threshold"), r6("quality_index"))
+        record_run(row, root, run, model, dt.datetime(2024, 1, 1 + k))
     return run_deltas(spark, root, "run-2").withColumn("delta", F.round("delta", 6))
 
 
@@ -372,17 +374,33 @@ register("quantile_clip_all", _clip_sql(ALL_CLIP_COLS))(_clip(ALL_CLIP_COLS))
 FINGERPRINT_COLS = ["booking_id", "hotel", "lead_time", "country", "market_segment", "agent", "company_raw", "deposit_type"]
 
 
-@register("fingerprint", ", r AS (SELECT CAST('0x' || substr(md5(" + " || ".join(
+_FINGERPRINT_SQL = (", r AS (SELECT CAST('0x' || substr(md5(" + " || ".join(
     f"CASE WHEN {c} IS NULL THEN 'N' ELSE 'V' || length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END" for c in FINGERPRINT_COLS) + """), 1, 15) AS BIGINT) AS h
   FROM bookings)
 SELECT COUNT(*) AS rows, CAST(SUM(CAST(h AS HUGEINT)) AS VARCHAR) AS hash_sum, bit_xor(h) AS hash_xor FROM r
 """)
+
+
+@register("fingerprint", _FINGERPRINT_SQL)
 def q_fingerprint(spark, sf):
     """Order-free digest of the booking view (columns whose text is alike in both engines)"""
     from ..operators.store import fingerprint
     return fingerprint(inputs.raw(spark, sf).select(*FINGERPRINT_COLS))
 
 
+@register("fingerprint_files", _FINGERPRINT_SQL)
+def q_fingerprint_files(spark, sf):
+    """The same digest added up from the digests of files, of which the second call reads the appended ones only"""
+    from ..operators.store import fingerprint_files
+    from .dataset_queries import _scratch
+    root = _scratch(spark, "digests")
+    rows = inputs.raw(spark, sf).select(*FINGERPRINT_COLS)
+    for rest in (0, 1):
+        rows.where(F.col("booking_id") % 2 == rest).write.mode("append").parquet(f"{root}/table")
+        total, _ = fingerprint_files(spark, f"{root}/table", f"{root}/store")
+    return total
+
+
 @register("target_encode_customer", """
 , c AS (SELECT p.booking_id, p.split, p.is_canceled, CAST(o.o_custkey AS VARCHAR) AS agent FROM prepared p JOIN orders o ON o.o_orderkey = p.booking_id),
 pr AS (SELECT AVG(CAST(is_canceled AS DOUBLE)) AS prior FROM c WHERE split = 'train'),

@@ -4,7 +4,8 @@ CSV files are read with a header and *no* schema: every column is STRING and
 the names come from the file (typing happens later with ``try_cast``). Spark
 binds a given schema by position and applies one header to a whole directory,
 so files are grouped by their header line and each group is read on its own,
-then the groups are unioned by name.
+then the groups are unioned by name. Only files with line ends inside quotes are read whole
+by one task each; all others are split.
 """
 
 from __future__ import annotations
@@ -35,15 +36,32 @@ def csv_headers(spark: SparkSession, paths: list[str]) -> list[str]:
         return list(pool.map(lambda p: csv_header(spark, p), paths))
 
 
+def files_with_quoted_line_ends(spark: SparkSession, paths: list[str]) -> set[str]:
+    """Files in which some line has an odd number of quotes: a field goes on in the next line there.
+
+    One pass over the lines, split like any text; a doubled quote counts twice, so it changes nothing."""
+    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    found = spark.read.text(paths).where(odd).select(F.col("_metadata.file_path").alias("path")).distinct().collect()  # names of files
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    whole = {jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r["path"])).toUri().getPath() for r in found}
+
+    def qualified(path: str) -> str:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf).makeQualified(p).toUri().getPath()
+
+    return {p for p in paths if qualified(p) in whole} if whole else set()
+
+
 def read_csv_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Many CSV files, possibly with different headers, as one all-STRING frame."""
-    groups: dict[str, list[str]] = {}
+    whole = files_with_quoted_line_ends(spark, paths)
+    groups: dict[tuple[str, bool], list[str]] = {}
     for path, header in zip(paths, csv_headers(spark, paths)):
-        groups.setdefault(header, []).append(path)
+        groups.setdefault((header, path in whole), []).append(path)
     from ..operators.schema import resolve_columns
     frames = []
-    for g in groups.values():
-        f = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("quote", '"').option("escape", '"').csv(g)
+    for (_, multi), g in groups.items():
+        f = spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi).option("quote", '"').option("escape", '"').csv(g)
         # aliases are mapped per header group, before the union, so that every
         # group's columns land on the canonical names
         renamed = resolve_columns(f).renamed

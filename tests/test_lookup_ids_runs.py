@@ -141,3 +141,36 @@ def test_boosting_stops_early_and_reports_rounds(spark):
         ("a", "gbt", {"maxIter": 8, "maxDepth": 2, "validationTol": 0.5}), ("b", "gbt", {"maxIter": 3, "maxDepth": 2, "validationTol": 0.0})])
     rounds = {r["name"]: r["rounds"] for r in model.metrics["candidate_metrics"]}
     assert 1 <= rounds["a"] < 8 and 1 <= rounds["b"] <= 3
+
+
+def test_fingerprint_reads_new_files_only(spark, tmp_path):
+    table, root = str(tmp_path / "a b+c" / "t"), str(tmp_path / "store")
+    rows = spark.range(100).selectExpr("id", "cast(id % 7 as string) as s", "if(id % 5 = 0, null, id / 3) as x")
+    rows.repartition(4).write.parquet(table)
+    whole = lambda: store.fingerprint(spark.read.parquet(table)).first()
+    first, read = store.fingerprint_files(spark, table, root)
+    assert read == 4 and tuple(first.first()) == tuple(whole())
+    rows.where("id < 10").coalesce(1).write.mode("append").parquet(table)
+    again, read = store.fingerprint_files(spark, table, root)
+    assert read == 1 and tuple(again.first()) == tuple(whole()) and again.first()["rows"] == 110
+    same, read = store.fingerprint_files(spark, f"file:{table}", root)
+    assert read == 0 and same.first() == again.first()
+
+
+def test_only_files_with_quoted_line_ends_are_read_whole(spark, tmp_path):
+    from stayguard.sources.readers import files_with_quoted_line_ends, read_csv_files
+    plain, broken = str(tmp_path / "plain 1.csv"), str(tmp_path / "broken.csv")
+    with open(plain, "w") as f:
+        f.write("booking_id,hotel\n" + "".join(f'{i},"The ""Grand"", {i}"\n' for i in range(4000)))
+    with open(broken, "w") as f:
+        f.write('booking_id,hotel\n7000,"two\nlines"\n7001,"a ""quoted\r\none"""\n7002,x\n')
+    assert files_with_quoted_line_ends(spark, [plain, broken]) == {broken}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = read_csv_files(spark, [plain, broken])
+        got = {r["booking_id"]: r["hotel"] for r in df.select("booking_id", "hotel").collect()}
+        parts = read_csv_files(spark, [plain]).select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert parts > 1 and len(got) == 4003 and got["17"] == 'The "Grand", 17' and got["7000"] == "two\nlines" and got["7002"] == "x"
