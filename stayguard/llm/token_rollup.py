@@ -4,8 +4,8 @@ A change is a signed row: +1 adds a document's count to the totals of its source
 and tokenizer version, -1 takes it away; a revised count is the old row with -1 and the
 new one with +1. A batch of changes is summed by those keys (partial sums before the
 shuffle, so a source with most rows costs no more) and written under its batch id in one
-step; the totals are the sum over committed batches. Writing a batch again replaces what
-was there, so a retried or replayed commit changes nothing.
+step; the totals are the sum over committed batches. Committing a batch again replaces what
+was there, so a retried or replayed commit changes nothing, and one that fails leaves what was committed.
 
 Rows: a null source, language or version is a key of its own; null text counts 0; repeated
 rows count as often as they stand; a key whose documents are all gone keeps no row; an
@@ -14,6 +14,8 @@ empty batch commits as empty; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import files
 from .bytewise import flat
 from .scratch import folder
 from .tokens import ChunkTokenizer, batches
@@ -72,30 +75,82 @@ def counted(docs: DataFrame, path: str, text_col: str = "text", out: str = "toke
     return docs.select(*kept, text_col).mapInArrow(count, f"{fields}`{out}` bigint")
 
 
+#: Committed batches beside the snapshot before the oldest are folded, and how many stay open for another commit.
+FOLD_AT, KEPT_OPEN = 64, 32
+
+
 class Rollup:
-    """Totals in a folder that driver and executors share."""
+    """Totals in a folder that driver and executors share.
+
+    A commit writes its sums to a folder of its own and then renames one pointer to it, so one that dies
+    leaves what was committed before, and a reader sees the old sums or the new ones. Old batches are
+    folded into a snapshot: they are closed, and committing one again changes nothing.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or folder(spark, "rollup")
 
-    def _exists(self) -> bool:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
-
-    def commit(self, batch_id: int, changes: DataFrame) -> None:
-        """Sum the batch and put it in place of whatever this batch id had committed."""
+    def _snapshot(self) -> dict:
+        text = files.read_text(self.spark, f"{self.path}/SNAPSHOT")
+        return json.loads(text) if text else {"folder": None, "closed": None, "previous": None}
+
+    def _committed(self, snapshot: dict) -> dict[int, str]:
+        """Folders of the open batches (at most about FOLD_AT)."""
+        names = files.listed(self.spark, f"{self.path}/commits")
+        ids = [int(n) for n in names if n.lstrip("-").isdigit()]  # a pointer that was never renamed has a longer name
+        found = {i: files.read_text(self.spark, f"{self.path}/commits/{i}") for i in ids if snapshot["closed"] is None or i > snapshot["closed"]}
+        return {i: at for i, at in found.items() if at}
+
+    def _state(self) -> tuple[dict, dict[int, str]]:
+        while True:
+            snapshot = self._snapshot()
+            committed = self._committed(snapshot)
+            if self._snapshot() == snapshot:  # not folded in between
+                return snapshot, committed
+
+    def commit(self, batch_id: int, changes: DataFrame) -> bool:
+        """Sum the batch and put it in place of whatever this batch id had committed; False for a closed one."""
+        closed = self._snapshot()["closed"]
+        if closed is not None and batch_id <= closed:
+            return False
         delta = changes.groupBy(*KEYS).agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("tokens")).alias("n_tokens"))
-        delta.write.mode("overwrite").parquet(f"{self.path}/batch={int(batch_id)}")
-
-    def deltas(self) -> DataFrame:
-        if not self._exists():
-            return self.spark.createDataFrame([], SCHEMA + ", batch bigint")
-        return self.spark.read.schema(SCHEMA + ", batch bigint").parquet(self.path)
+        attempt = f"{self.path}/attempts/{uuid.uuid4().hex}"
+        delta.write.parquet(attempt)
+        files.point(self.spark, f"{self.path}/commits/{int(batch_id)}", attempt)
+        open_ids = sorted(self._committed(self._snapshot()))
+        if len(open_ids) > FOLD_AT:
+            self.fold(open_ids[-KEPT_OPEN - 1])
+        return True
+
+    def _sums(self, snapshot: dict, committed: dict[int, str]) -> DataFrame:
+        paths = [*committed.values(), *([snapshot["folder"]] if snapshot["folder"] else [])]
+        rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
+        sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        return sums.filter("n_docs <> 0 or n_tokens <> 0")
 
     def totals(self) -> DataFrame:
         """Documents and tokens by source, language and version."""
-        sums = self.deltas().groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.filter("n_docs <> 0 or n_tokens <> 0")
+        return self._sums(*self._state())
+
+    def fold(self, upto: int) -> bool:
+        """Close the batches up to an id: their sums go into the snapshot. False where another process is at it."""
+        if not files.lock(self.spark, f"{self.path}/LOCK"):
+            return False
+        try:
+            snapshot, committed = self._state()
+            old = {i: at for i, at in committed.items() if i <= upto}
+            new = f"{self.path}/snapshots/{uuid.uuid4().hex}"
+            self._sums(snapshot, old).write.parquet(new)
+            closed = upto if snapshot["closed"] is None else max(upto, snapshot["closed"])
+            files.point(self.spark, f"{self.path}/SNAPSHOT", json.dumps({"folder": new, "closed": closed, "previous": snapshot["folder"]}))
+            for i, at in old.items():
+                files.remove(self.spark, f"{self.path}/commits/{i}")
+                files.remove(self.spark, at)
+            if snapshot["previous"]:
+                files.remove(self.spark, snapshot["previous"])
+        finally:
+            files.remove(self.spark, f"{self.path}/LOCK")
+        return True
 
 
 def maintained(docs: DataFrame, count_old: Callable[[str], Column] = word_tokens, count_new: Callable[[str], Column] = piece_tokens,

@@ -141,3 +141,31 @@ def test_public_tokenizer_counts(spark):
     docs = spark.read.parquet(f"{SMOKE}/documents.parquet")
     got = {r["doc_id"]: r["tokens"] for r in token_rollup.counted(docs, PATH).collect()}
     assert got == {r["doc_id"]: len(brute(r["text"])) for r in docs.collect()}
+
+
+def test_a_commit_that_dies_leaves_what_was_committed(spark, monkeypatch):
+    from stayguard.operators import files
+    rows = lambda n: spark.createDataFrame([("s", "en", "v", 1, n)], "source string, lang string, version string, sign long, tokens long")
+    r = token_rollup.Rollup(spark)
+    assert r.totals().count() == 0 and r.commit(1, rows(5)) and r.commit(2, rows(7))
+    monkeypatch.setattr(files, "point", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        r.commit(2, rows(100))  # written, not committed
+    monkeypatch.undo()
+    assert [tuple(x) for x in r.totals().collect()] == [("s", "en", "v", 2, 12)]
+    r.commit(2, rows(9))
+    assert r.totals().first()["n_tokens"] == 14
+
+
+def test_old_batches_are_folded(spark, monkeypatch):
+    from stayguard.operators import files
+    monkeypatch.setattr(token_rollup, "FOLD_AT", 4)
+    monkeypatch.setattr(token_rollup, "KEPT_OPEN", 2)
+    r = token_rollup.Rollup(spark)
+    for i in range(9):
+        r.commit(i, spark.createDataFrame([("s", None, "v", 1, i)], "source string, lang string, version string, sign long, tokens long"))
+    assert len(files.listed(spark, f"{r.path}/commits")) <= 4
+    change = spark.createDataFrame([("s", None, "v", 1, 1000)], "source string, lang string, version string, sign long, tokens long")
+    assert not r.commit(0, change) and [tuple(x) for x in r.totals().collect()] == [("s", None, "v", 9, 36)]
+    r.commit(8, change)
+    assert r.totals().first()["n_tokens"] == 1028
