@@ -388,16 +388,17 @@ def text_model(rows: DataFrame, reg_params=TEXT_ALPHAS, text_col: str = "booking
                            VectorAssembler(inputCols=["table_features", "text_features"], outputCol="features")]).fit(tr_terms)
     tr = vec.transform(tr_terms).select(LABEL, "weight", "features").checkpoint(eager=True)  # read by every iteration of every setting
     va = vec.transform(terms(split("valid"))).select(KEY, LABEL, "features").checkpoint(eager=True)
-    best, report = None, []
-    for rp in reg_params:
-        lr = LogisticRegression(featuresCol="features", labelCol=LABEL, weightCol="weight", regParam=rp, maxIter=100)
-        m = lr.fit(tr)
+
+    def fit(rp: float) -> tuple:
+        m = LogisticRegression(featuresCol="features", labelCol=LABEL, weightCol="weight", regParam=rp, maxIter=100).fit(tr)
         scored = m.transform(va).withColumn("raw_score", vector_to_array("probability").getItem(1))
-        auc = EV.roc_auc(scored.select(KEY, LABEL, "raw_score"), LABEL, "raw_score").first()["roc_auc"]
-        report.append({"regParam": rp, "valid_roc_auc": auc, "dropped_terms": max(0, frequent - vocab_size)})
-        if best is None or (auc or 0.0) > best[0]:
-            best = (auc or 0.0, (split_words, categories, vec, m))
-    return best[1], report
+        return EV.roc_auc(scored.select(KEY, LABEL, "raw_score"), LABEL, "raw_score").first()["roc_auc"], m
+
+    with ThreadPoolExecutor(max_workers=min(FITS_AT_ONCE, len(reg_params))) as pool:
+        results = list(pool.map(inheritable_thread_target(rows.sparkSession)(fit), reg_params))
+    report = [{"regParam": rp, "valid_roc_auc": auc, "dropped_terms": max(0, frequent - vocab_size)} for rp, (auc, _) in zip(reg_params, results)]
+    _, m = max(results, key=lambda r: r[0] or 0.0)  # the first of equal ones
+    return (split_words, categories, vec, m), report
 
 
 def select_feature_columns(df: DataFrame, deny: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:

@@ -372,12 +372,18 @@ def q_row_limit(spark, sf):
     return spark.createDataFrame([(n, over)], "rows long, too_many boolean")
 
 
-@register("feature_selection", "SELECT UNNEST(['adr', 'babies', 'children', 'lead_time', 'adults', 'hotel', 'meal', 'country']) AS column, "
-          "UNNEST(['number', 'number', 'number', 'number', 'number', 'category', 'category', 'category']) AS kind WHERE (SELECT COUNT(*) FROM bookings) >= 0")
+_SELECTED = {"adr": "number", "babies": "number", "children": "number", "lead_time": "number", "adults": "number", "hotel": "category", "meal": "category", "country": "category"}
+
+
+@register("feature_selection", " UNION ALL ".join(
+    f"SELECT '{c}' AS column, '{kind}' AS kind, COUNT({c}) AS known, COUNT(DISTINCT {c}) AS different FROM bookings" for c, kind in _SELECTED.items()))
 def q_feature_selection(spark, sf):
-    """Model inputs by type; target, leakage and denied columns are left out"""
+    """Model inputs by type, with what their rows hold; target, leakage and denied columns are left out"""
     from ..operators.models import select_feature_columns
     raw = inputs.raw(spark, sf).select("adr", "babies", "children", "lead_time", "adults", "hotel", "meal", "country", "is_canceled", "reservation_status",
                                        "arrival_date", "agent")
     numbers, categories = select_feature_columns(raw, deny=("agent",))
-    return spark.createDataFrame([(c, "number") for c in numbers] + [(c, "category") for c in categories], "column string, kind string")
+    pairs = ", ".join(f"'{c}', '{kind}', CAST(`{c}` AS STRING)" for kind, cols in (("number", numbers), ("category", categories)) for c in cols)
+    long = raw.selectExpr(f"stack({len(numbers) + len(categories)}, {pairs}) as (column, kind, value)")
+    values = long.groupBy("column", "kind", "value").agg(F.count("value").alias("n"))
+    return values.groupBy("column", "kind").agg(F.sum("n").alias("known"), F.count("value").alias("different"))
