@@ -200,8 +200,8 @@ def weighted_jaccard(a: bytes, b: bytes) -> float:
     return float(low / (wa.sum() + wb.sum() - low))
 
 
-def rare_keys(vector: bytes, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Meeting points (step, key, side) of a text: any two similar enough share one, on sides that meet.
+def rare_keys(vector: bytes, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Meeting points of a text (step, key, side, weight left from there on) and its weight: any two similar enough share one, on sides that meet.
 
     Similar texts overlap by similarity / (1 + similarity) of their joint weight. In the order from the rarest shingle to the most common
     one, the first shingle that two such texts share has that much of either one's weight from it on; so each text needs only the
@@ -216,31 +216,38 @@ def rare_keys(vector: bytes, similarity: float) -> tuple[np.ndarray, np.ndarray,
     left = total - np.concatenate([[0.0], np.cumsum(weight)[:-1]])  # from each shingle on
     mine = int(np.floor(np.log(total) / np.log(WIDTH)))
     reach = int(np.ceil(-np.log(similarity) / np.log(WIDTH)))
-    steps, keys, sides = [], [], []
+    steps, keys, sides, rest = [], [], [], []
     for other in range(mine - reach, mine + reach + 1):
         partner = max(WIDTH ** other, similarity * total) if other < mine else WIDTH ** other
         need = similarity / (1 + similarity) * (total + partner) * (1 - 1e-6)
-        some = key[left >= need]
+        enough = left >= need
+        some = key[enough]
+        rest.append(left[enough])
         low, high = min(mine, other), max(mine, other)
         steps.append(np.full(len(some), (low << 16) + high - low, np.int64))
         keys.append(some)
         sides.append(np.full(len(some), 2 if mine == other else int(mine > other), np.int8))
-    return np.concatenate(steps), np.concatenate(keys).astype(np.int64), np.concatenate(sides)
+    return np.concatenate(steps), np.concatenate(keys).astype(np.int64), np.concatenate(sides), np.concatenate(rest), float(total)
+
+
+POINT = "band bigint, key bigint, id bigint, side tinyint, left double, total double"
 
 
 def meeting(vectors: DataFrame, similarity: float) -> DataFrame:
-    """(band, key, id, side): the texts of ``vectors`` by their meeting points. Of points where the same texts meet one is left."""
+    """The texts of ``vectors`` by their meeting points. Of points where the same texts meet the first in the order of rarity is left."""
     def points(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for i, v in zip(part.column("id").to_pylist(), part.column("vector")):
-                step, key, side = rare_keys(v.as_py(), similarity)
-                yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(key), pa.array(np.full(len(key), i, np.int64)), pa.array(side)], ["band", "key", "id", "side"])
+                step, key, side, left, total = rare_keys(v.as_py(), similarity)
+                n = len(key)
+                yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(key), pa.array(np.full(n, i, np.int64)), pa.array(side), pa.array(left), pa.array(np.full(n, total))],
+                                                 [c.split()[0] for c in POINT.split(", ")])
 
-    rows = saved(vectors.select("id", "vector").mapInArrow(points, "band bigint, key bigint, id bigint, side tinyint").distinct(), "points")
+    rows = saved(vectors.select("id", "vector").mapInArrow(points, POINT), "points")
     who = F.struct("id", "side")
     met = rows.groupBy("band", "key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.min("side").alias("low"), F.max("side").alias("high"), F.count("*").alias("n"),
-                                          F.bit_xor(F.xxhash64(who)).alias("x"), F.sum(F.xxhash64(who, F.lit(1)) % (1 << 40)).alias("y"))
-    met = met.filter("a <> z and (low = 2 or low <> high)").groupBy("band", "n", "a", "z", "x", "y").agg(F.min("key").alias("key"))
+                                          F.bit_xor(F.xxhash64(who)).alias("x"), F.sum(F.xxhash64(who, F.lit(1)) % (1 << 40)).alias("y"), F.sum("left").alias("left"))
+    met = met.filter("a <> z and (low = 2 or low <> high)").groupBy("band", "n", "a", "z", "x", "y").agg(F.max_by("key", F.struct("left", "key")).alias("key"))
     return rows.join(saved(met.select("band", "key"), "met"), ["band", "key"])
 
 
@@ -299,7 +306,7 @@ def linked(members: DataFrame, vectors: DataFrame, similarity: float) -> DataFra
         return found
     members, most = saved(meeting(vectors.join(apart, "id"), similarity).withColumn("done", F.lit(False)), "meeting"), DRAWN
     while True:
-        classed = members.join(found, "id", "left").select("band", "key", "id", "side", "done", F.coalesce("class_id", "id").alias("class_id"))
+        classed = members.join(found, "id", "left").select("band", "key", "id", "side", "left", "total", "done", F.coalesce("class_id", "id").alias("class_id"))
         classed = saved(classed, "classed")
         heads = classed.groupBy("band", "key", "class_id").agg(F.count("*").alias("n"), F.count_if(~F.col("done")).alias("open"))
         open_buckets = heads.groupBy("band", "key").agg(F.max(F.struct("n", "class_id", "open")).alias("top"), F.sum("open").alias("open"))
@@ -309,16 +316,18 @@ def linked(members: DataFrame, vectors: DataFrame, similarity: float) -> DataFra
             return found
         share = F.pmod(F.xxhash64("id", "band"), F.lit(1 << 30)) / F.lit(float(1 << 30))
         drawn = ~F.col("done") & (F.col("class_id") != F.col("largest")) & (share * F.col("open") < most)
-        members = saved(classed.join(open_buckets, ["band", "key"]).select("band", "key", "id", "side", "class_id", "done", drawn.alias("drawn")), "members")
-        pivots = saved(members.filter("drawn").select("band", "key", F.col("id").alias("rep"), F.col("side").alias("rep_side"), F.col("class_id").alias("rep_class")), "pivots")
+        members = saved(classed.join(open_buckets, ["band", "key"]).select("band", "key", "id", "side", "left", "total", "class_id", "done", drawn.alias("drawn")), "members")
+        pivots = saved(members.filter("drawn").select("band", "key", *(F.col(c).alias(f"rep_{c}") for c in ("id", "side", "left", "total", "class_id"))), "pivots")
+        # where two similar texts meet first, each has the weight that they must share from there on
         others = members.filter("not done").join(pivots, ["band", "key"]).filter(
-            "class_id <> rep_class and (side = 2 or side <> rep_side) and (not drawn or id > rep)")
+            "class_id <> rep_class_id and (side = 2 or side <> rep_side) and (not drawn or id > rep_id)"
+            f" and least(left, rep_left) >= {similarity / (1 + similarity) * (1 - 1e-6)} * (total + rep_total)").withColumnRenamed("rep_id", "rep")
         new = saved(others.select(*pair).distinct().join(tested, ["id", "rep"], "left_anti"), "pairs")
         more = saved(verified(new, vectors, similarity), "links")
         tested = tested.unionByName(new)
         if not more.isEmpty():
             found = components(found.select("id", F.col("class_id").alias("rep")).unionByName(more))
-        members, most = members.select("band", "key", "id", "side", F.expr("done or drawn").alias("done")), MORE * most
+        members, most = members.select("band", "key", "id", "side", "left", "total", F.expr("done or drawn").alias("done")), MORE * most
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
