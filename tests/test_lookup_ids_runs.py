@@ -73,11 +73,11 @@ def test_logs_are_folded(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(logs, "TAIL", 5)
     monkeypatch.setattr(logs.append, "__defaults__", (5,))
     root = str(tmp_path)
-    for i in range(23):
+    for i in range(14):
         store.set_status(spark, root, f"b{i % 4}", store.STATUSES[i % 3], name=f"n{i}")
     assert len(files.listed(spark, f"{root}/ledger")) <= 6
     led = logs.read(spark, root, "ledger", store.LEDGER)
-    assert led.count() == 23 and {r["batch_id"] for r in store.batch_status(spark, root).collect()} == {"b0", "b1", "b2", "b3"}
+    assert led.count() == 14 and {r["batch_id"] for r in store.batch_status(spark, root).collect()} == {"b0", "b1", "b2", "b3"}
     assert files.lock(spark, f"{root}/ledger_snapshots/LOCK") and not logs.fold(spark, root, "ledger", store.LEDGER)  # another one is at it
 
 
