@@ -31,9 +31,11 @@ HELD = 10_000
 
 
 def fixed(df: DataFrame) -> DataFrame:
-    """The same rows on each later read, without the plan above them: bounds, counts and cuts are a few rows a group."""
+    """The same rows on each later read, without the plan above them: bounds, counts and cuts are a few rows a group.
+
+    What the driver holds is broadcast: its size is unknown to the planner, and a shuffled join would send all rows of a group to one task."""
     rows = df.limit(HELD + 1).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= HELD else df.checkpoint(eager=True)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= HELD else df.checkpoint(eager=True)
 
 
 def same(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -106,7 +108,10 @@ def ranks(vals: DataFrame, groups: Sequence[str], value: str, weight: str, wante
         largest = hit.where("_lo < _hi").agg(F.max("_n")).first()[0]
         if not largest:
             return done
-        rows = same(rows, targets.select(*keys).distinct(), keys, "left_semi")
+        rows = same(rows, fixed(targets.select(*keys).distinct()), keys, "left_semi")
+        if largest > LIMIT:  # equal values, mostly: one row each, added up before they move
+            rows = rows.groupBy(*keys, value).agg(F.sum(weight).cast("long").alias(weight)).checkpoint(eager=True)
+            largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0]
         if largest <= LIMIT:
             break
         level += 1
@@ -177,7 +182,7 @@ def top_sums(rows: DataFrame, groups: Sequence[str], score: str, key: str, measu
         largest, by_value = cuts.agg(F.max("_n"), F.max(F.when((F.col("_n") > LIMIT) & (F.col("_lo") < F.col("_hi")), True))).first()
         if not largest:
             return done
-        rows = same(rows, targets.select(*keys).distinct(), keys, "left_semi")
+        rows = same(rows, fixed(targets.select(*keys).distinct()), keys, "left_semi")
         if largest <= LIMIT:
             break
         level += 1
@@ -216,7 +221,7 @@ def best_prefix(rows: DataFrame, score: str, key: str, gain: Column, measures: d
         slack = 1e-9 * (1.0 + abs(best))  # sums by cell and row by row differ in the last digits
         open_ = cells.where((F.col("_up") > 0) & (F.col("_start_gain") + F.col("_up") >= best - slack))
         largest, by_value = open_.agg(F.max("_n"), F.max(F.when((F.col("_n") > LIMIT) & (F.col("_lo") < F.col("_hi")), True))).first()
-        rows = same(rows, open_.select(*keys), keys, "left_semi")
+        rows = same(rows, fixed(open_.select(*keys)), keys, "left_semi")
         if not largest or largest <= LIMIT:
             break
         level += 1
