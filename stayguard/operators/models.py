@@ -465,10 +465,14 @@ def cross_dataset_validation(first: DataFrame, second: DataFrame, candidates=Non
 
     Returns the model and two rows: dataset, n, base_cancel, roc_auc, pr_auc, brier, precision20, recall20, lift20."""
     from .rank import assign_split, fill_empty_splits
-    numeric, categorical = shared_columns(first, second)
-    encoded = [c for c in ENC.TARGET_ENCODED_COLUMNS if c in categorical or (c not in CATEGORICAL_FEATURES and c in usable_columns(first, [], [c])
-                                                                             and c in usable_columns(second, [], [c]))]
+    # both sources are read by the column tests, the training and the evaluation: their columns are written once
     first, _ = assign_split(first)
+    inputs = list(dict.fromkeys([KEY, LABEL, "split", *NUMERIC_FEATURES, *CATEGORICAL_FEATURES, *ENC.TARGET_ENCODED_COLUMNS]))
+    first, second = (df.select(*[c for c in inputs if c in df.columns]).checkpoint(eager=True) for df in (first, second))
+    numeric, categorical = shared_columns(first, second)
+    others = [c for c in ENC.TARGET_ENCODED_COLUMNS if c not in CATEGORICAL_FEATURES]
+    both = set(usable_columns(first, [], others)) & set(usable_columns(second, [], others))
+    encoded = [c for c in ENC.TARGET_ENCODED_COLUMNS if c in categorical or c in both]
     first, _ = fill_empty_splits(first, _split_sizes(first), seed)
     model = train_model(first, candidates, seed=seed, numeric=numeric, categorical=categorical, encoded=encoded)
     out = None
