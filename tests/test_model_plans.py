@@ -2,9 +2,12 @@ from __future__ import annotations
 
 import os
 import re
+import tempfile
 
 import pytest
 from conftest import SMOKE
+from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from stayguard.operators import encode as ENC
@@ -58,3 +61,39 @@ def test_training_derives_the_bookings_once(spark):
     n = rows.count()
     model = M.train_model(rows.mapInArrow(counted, rows.schema), candidates=[("lr", "logreg", {"regParam": 1e-2, "maxIter": 5})])
     assert reads.value == n and model.metrics["rows_train"] + model.metrics["rows_calibration"] + model.metrics["rows_test"] == n
+
+
+def forest_rows(spark, n=400):
+    rows = [(i, 1 if i % 7 in (1, 2, 5) else 0, 1.0, Vectors.dense([float(i % 7), float(i % 5), float(i % 11)])) for i in range(n)]
+    return spark.createDataFrame(rows, ["booking_id", "is_canceled", "weight", "features"])
+
+
+def test_a_forest_keeps_its_node_ids_and_bounds_them(spark, monkeypatch):
+    assert M.classifier("random_forest").getCacheNodeIds()
+    rows, params = forest_rows(spark), {"numTrees": 7, "maxDepth": 3, "minInstancesPerNode": 2}
+    whole = M.fit_classifier("random_forest", params, 42, 400, rows)
+    assert [m.getNumTrees for m in whole] == [7]
+    monkeypatch.setattr(M, "NODE_IDS", 400 * 3)
+    parts = M.fit_classifier("random_forest", params, 42, 400, rows)
+    assert [m.getNumTrees for m in parts] == [2, 2, 3] and all(m.getMaxDepth() == 3 for m in parts)
+    out = {r["booking_id"]: r["raw_score"] for r in M.with_votes(parts, rows).collect()}
+    trees = [m.transform(rows.drop("prediction")) for m in parts]
+    alone = [{r["booking_id"]: r[m.getProbabilityCol()][1] for r in t.collect()} for m, t in zip(parts, trees)]
+    assert len(out) == 400 and all(abs(out[i] - (2 * alone[0][i] + 2 * alone[1][i] + 3 * alone[2][i]) / 7) < 1e-12 for i in out)
+
+
+@pytest.mark.skipif(not os.path.exists(SMOKE), reason="test data missing")
+def test_a_forest_in_parts_is_saved_and_scores_in_all_partitions(spark, monkeypatch):
+    monkeypatch.setattr(M, "NODE_IDS", 1000)
+    prepared = inputs.prepared(spark, SMOKE)
+    model = M.train_model(prepared, candidates=[("rf", "random_forest", {"numTrees": 4, "maxDepth": 3})])
+    assert sum(isinstance(s, RandomForestClassificationModel) for s in model.pipeline.stages) > 1
+    assert model.metrics["candidate_metrics"][0]["rounds"] == 4
+    path = tempfile.mkdtemp(prefix="stayguard-forest-", dir="/tmp")
+    M.save_model(model, path)
+    few = prepared.coalesce(1)
+    scored = M.raw_probability(M.load_model(spark, path), few).select("booking_id", "raw_score")
+    assert scored.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    a = dict(M.raw_probability(model, prepared).select("booking_id", "raw_score").collect())
+    b = dict(scored.collect())
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
