@@ -3,6 +3,8 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
+import time
 
 import pytest
 from conftest import SMOKE
@@ -97,3 +99,60 @@ def test_a_forest_in_parts_is_saved_and_scores_in_all_partitions(spark, monkeypa
     a = dict(M.raw_probability(model, prepared).select("booking_id", "raw_score").collect())
     b = dict(scored.collect())
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+@pytest.mark.skipif(not os.path.exists(SMOKE), reason="test data missing")
+def test_the_derived_columns_are_computed_outside_whole_stage_code(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 1, "a"), (2, None, None)], "booking_id long, is_canceled int, x string")
+    assert M.in_small_methods(rows, "is_canceled").collect() == rows.collect()
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan shows its compiled stages only after it ran
+    try:
+        plain = spark.range(5).select("id", (F.col("id") + 1).alias("a"))
+        shown = [df._jdf.queryExecution().executedPlan().toString().splitlines()[0] for df in (plain, M.in_small_methods(plain, "a"))]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+    assert shown[0].startswith("*(1) Project") and shown[1].startswith("Project")
+    tops = []
+    checkpoint = type(rows).checkpoint
+
+    def seen(df, eager=True):
+        tops.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpoint(df, eager)
+    monkeypatch.setattr(type(rows), "checkpoint", seen)
+    model = M.train_model(inputs.prepared(spark, SMOKE), candidates=[("lr", "logreg", {"regParam": 1e-2, "maxIter": 5})])
+    wide = next(line for line in tops[0].splitlines() if "Project" in line)  # the first table that training writes: all derived columns
+    assert "transform(array(is_canceled" in wide and "more fields" in wide
+    scored = M.raw_probability(model, inputs.prepared(spark, SMOKE)).select("booking_id", "raw_score")
+    assert any("transform(array(booking_id" in line for line in scored._jdf.queryExecution().executedPlan().toString().splitlines() if "Project" in line)
+
+
+def test_fewer_fits_run_side_by_side_the_more_rows_they_hold(spark):
+    lock, now, most = threading.Lock(), [0], [0]
+
+    def fit(x):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.2)
+        with lock:
+            now[0] -= 1
+        return x * x
+    assert M.side_by_side(fit, [1, 2, 3, 4, 5], 10_000_000, 1_000_000, spark) == [1, 4, 9, 16, 25] and most == [1]
+    assert M.side_by_side(fit, [1, 2, 3, 4, 5], 10, 1_000_000, spark) == [1, 4, 9, 16, 25] and 1 < most[0] <= M.FITS_AT_ONCE
+
+
+def test_medians_come_from_counts_or_a_sketch_and_are_the_same(spark, monkeypatch):
+    rows = [(i, None if i % 9 == 0 else i % 4, float("nan") if i % 10 == 0 else None if i % 13 == 0 else (i * 37 % 400) / 7.0, 1.5) for i in range(400)]
+    train = spark.createDataFrame(rows, "booking_id long, a int, b double, c double")
+    imputer = M.feature_stages(["a", "b", "c"], ["x"])[0]
+    want = tuple(imputer.fit(train).surrogateDF.first())
+    taken, sketch = [], type(train).approxQuantile
+    monkeypatch.setattr(type(train), "approxQuantile", lambda df, columns, *more: taken.append(columns) or sketch(df, columns, *more))
+    fitted = M.fit_imputer(imputer, train)
+    assert tuple(fitted.surrogateDF.first()) == want and not taken  # few values: no sketch
+    assert [r["b__imp"] for r in fitted.transform(train).collect()] == [r["b__imp"] for r in imputer.fit(train).transform(train).collect()]
+    monkeypatch.setattr(M, "FEW_VALUES", -1)
+    assert tuple(M.fit_imputer(imputer, train).surrogateDF.first()) == want and taken == [["a", "b", "c"]]
+    with pytest.raises(Exception):
+        M.fit_imputer(imputer, train.withColumn("a", F.lit(None).cast("int")))
