@@ -5,6 +5,7 @@ import re
 import tempfile
 import threading
 import time
+from contextlib import contextmanager
 
 import pytest
 from conftest import SMOKE
@@ -156,3 +157,24 @@ def test_medians_come_from_counts_or_a_sketch_and_are_the_same(spark, monkeypatc
     assert tuple(M.fit_imputer(imputer, train).surrogateDF.first()) == want and taken == [["a", "b", "c"]]
     with pytest.raises(Exception):
         M.fit_imputer(imputer, train.withColumn("a", F.lit(None).cast("int")))
+
+
+@pytest.mark.skipif(not os.path.exists(SMOKE), reason="test data missing")
+def test_the_text_model_keeps_no_terms_and_leaves_no_tables(spark, monkeypatch):
+    p = inputs.prepared(spark, SMOKE)
+    rows = p.withColumn("booking_text", F.concat_ws(" ", "hotel", "meal", "market_segment"))
+    checkpoints, checkpoint = [], type(rows).checkpoint
+    monkeypatch.setattr(type(rows), "checkpoint", lambda df, eager=True: checkpoints.append(df.columns) or checkpoint(df, eager))
+    kept, keeping = [], M.files.kept_tables
+
+    @contextmanager
+    def watched(spark):
+        with keeping(spark) as keep:
+            yield lambda df: kept.append(dict(df.dtypes)) or keep(df)
+    monkeypatch.setattr(M.files, "kept_tables", watched)
+    (_, _, vec, _), report = M.text_model(rows, reg_params=(1e-3, 1e-2))
+    assert len(report) == 2 and all(0.0 <= r["valid_roc_auc"] <= 1.0 for r in report)
+    assert len(kept) == 4 and not any(t.startswith("array") for columns in kept for t in columns.values())
+    assert not any("booking_text" in columns or "features" in columns or "_terms" in columns for columns in checkpoints)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    assert os.path.isdir(folder) and not [x for x in os.listdir(folder) if x.startswith("kept-")]
